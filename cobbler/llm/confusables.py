@@ -7,8 +7,9 @@ skeletons.
 
 Defined results.  Case and accents are kept apart, as are a hyphen and a space; a letter with a
 combining accent equals the precomposed one.  Latin look-alikes of one script (I and l, O and 0)
-are kept apart.  A word all of whose letters are Cyrillic stays Cyrillic if some other word of
-the text, or the word itself, has a Cyrillic letter that looks like no Latin one.  White space
+are kept apart.  A Cyrillic word that could be read as a Latin one stays Cyrillic if the text
+has a Cyrillic letter that looks like no Latin one; other Cyrillic words differ from any Latin
+word by such a letter, whatever becomes of the rest.  White space
 at the ends is dropped.  Null has the skeleton null; a text of invisible characters only, or
 an empty one, the empty skeleton.
 """
@@ -34,7 +35,6 @@ HYPHENS = "‐‑‒–﹘−⁃"
 QUOTES = "‘’‛′ʼ＇"
 
 _TO_LATIN = {ord(a): b for a, b in zip(CYRILLIC + GREEK, CYRILLIC_LATIN + GREEK_LATIN, strict=True)}
-_GREEK_ONLY = {ord(a): b for a, b in zip(GREEK, GREEK_LATIN, strict=True)}
 _PLAIN = {ord(c): "-" for c in HYPHENS} | {ord(c): "'" for c in QUOTES}
 _INVISIBLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cc}--[\t\n\r]]", regex.V1)
 _SPACE = regex.compile(r"[\p{Z}\t\n\r]")
@@ -62,8 +62,9 @@ def skeleton(text: str | None) -> str | None:
 
         def form(m) -> str:
             word = m[0]
-            if cyrillic and len(word) > 1 and all(_OTHER.match(c) for c in _letters(word)):
-                return word
+            letters = _letters(word)
+            if cyrillic and len(letters) > 1 and all(c in _LOOKALIKE for c in letters):
+                return word  # could be read either way: the text decides
             return word.translate(_TO_LATIN)
 
         out = _WORD.sub(form, out)

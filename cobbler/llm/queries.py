@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cobbler.llm.canonical import map_values
 from cobbler.llm.components import group_pairs
 from cobbler.llm.confusables import lookalike_pairs
 from cobbler.llm.tokenizing import encode
@@ -20,6 +21,12 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return group_pairs(pairs, "offer_id_a", "offer_id_b", linked).select(F.col("id").alias("offer_id"), "group_id")
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The listed brand that each listing's brand means, 0 for none."""
+    brands = table(spark, sf, "brand").select("brand_id", "brand_name", "aliases")
+    return map_values(table(spark, sf, "normalized_offer"), "offer_id", "brand", "title", brands).select("offer_id", F.col("entry").alias("brand_id"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of listings whose titles or search texts look alike but differ."""
     offers = table(spark, sf, "normalized_offer")
@@ -32,7 +39,7 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p5_found, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p8_ids)}
 
 
 #: Transitive closure by recursion: fit for the small tables of the SQL check.

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from cobbler.llm.canonical import map_values
 from cobbler.llm.components import group_pairs
 from cobbler.llm.confusables import lookalike_pairs
+from cobbler.llm.search_cards import sound_model, sound_picture, sound_title
+from cobbler.llm.survivorship import survivors
 from cobbler.llm.tokenizing import encode
 from cobbler.sources.tables import table
 
@@ -33,13 +35,30 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike_pairs(offers, "offer_id", ["title", "search_doc"]).select("field_name", F.col("id_a").alias("offer_id_a"), F.col("id_b").alias("offer_id_b"))
 
 
+P7_FIELDS = ("title", "image_url", "model")
+
+
+def p7_record(spark: SparkSession, sf: str) -> DataFrame:
+    """One surviving record per product."""
+    cards = table(spark, sf, "search_result").where(F.col("offer_id").isNotNull())
+    sound = {"title": sound_title("title", "product_slug"), "image_url": sound_picture("image_url"), "model": sound_model("model", "product_slug", "brand")}
+    return survivors(cards, "product_id", "offer_id", "checked_at", sound)
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The listing whose value survives, by product and field."""
+    best = p7_record(spark, sf).where("several")
+    long = best.select("product_id", F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"{f}.source").alias("offer_id")) for f in P7_FIELDS])))
+    return long.where("offer_id is not null")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document."""
     return encode(table(spark, sf, "documents"), "doc_id", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p7_found, p7_record, p8_ids)}
 
 
 #: Transitive closure by recursion: fit for the small tables of the SQL check.

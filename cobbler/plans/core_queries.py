@@ -5,13 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cobbler.operators.bitemporal import Ledger, bitemporal_ledger
+from cobbler.operators.units import to_eu_sizes
 from cobbler.sources.tables import table
 
 SNAPSHOT = {"keys": ["shop_id", "external_id"], "valid": "observed_at", "recorded": "ingested_at", "attrs": ["price_minor", "original_price_minor", "in_stock"], "required": ["price_minor", "in_stock"]}
 
 
+def p3_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every size that names one, in EU sizes, with how its unit is known; uncertain ones for review."""
+    return to_eu_sizes(table(spark, sf, "normalized_size"), table(spark, sf, "normalized_offer"), table(spark, sf, "size_chart"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes whose EU size is missing or wrong, with the right one."""
+    rows = p3_sizes(spark, sf).where("status = 'converted'")
+    wrong = F.col("size_eu").isNull() | (F.round(F.col("size_eu").cast("double") * 100).cast("int") != F.col("eu_x100"))
+    return rows.where(wrong).select("size_id", "eu_x100")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """The start of each version of each listing."""
     return Ledger(table(spark, sf, "offer_snapshot"), **SNAPSHOT).versions().select("shop_id", "external_id", "valid_from_us")
@@ -23,7 +37,7 @@ def p6_ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_ledger)}
+    return {f.__name__: f for f in (p3_found, p3_sizes, p6_found, p6_ledger)}
 
 
 P6_SQL = """

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cobbler.llm.canonical import map_values
 from cobbler.llm.components import group_pairs
 from cobbler.llm.confusables import lookalike_pairs
+from cobbler.llm.same_product import product_pairs, same_product
 from cobbler.llm.search_cards import sound_model, sound_picture, sound_title
 from cobbler.llm.survivorship import survivors
 from cobbler.llm.tokenizing import encode
@@ -29,6 +30,20 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return map_values(table(spark, sf, "normalized_offer"), "offer_id", "brand", "title", brands).select("offer_id", F.col("entry").alias("brand_id"))
 
 
+def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The product group of every listing."""
+    offers = table(spark, sf, "normalized_offer").select(F.col("offer_id").alias("id"), "title", "brand", "model", "sku", "gender")
+    codes = table(spark, sf, "match_candidate").select(F.col("offer_id").alias("id"), "gtins")
+    groups = same_product(offers, codes, table(spark, sf, "brand").select("brand_id", "brand_name", "aliases"))
+    return groups.select(F.col("id").alias("offer_id"), "group_id")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of listings that sell the same product."""
+    pairs = product_pairs(p4_groups(spark, sf).withColumnRenamed("offer_id", "id"))
+    return pairs.select(F.col("a").alias("offer_id_a"), F.col("b").alias("offer_id_b"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of listings whose titles or search texts look alike but differ."""
     offers = table(spark, sf, "normalized_offer")
@@ -58,7 +73,7 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p5_found, p7_found, p7_record, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_groups, p5_found, p7_found, p7_record, p8_ids)}
 
 
 #: Transitive closure by recursion: fit for the small tables of the SQL check.

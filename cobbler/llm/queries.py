@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cobbler.llm.canonical import map_values
 from cobbler.llm.components import group_pairs
 from cobbler.llm.confusables import lookalike_pairs
+from cobbler.llm.languages import fit_scores, language_cases, language_stretches
 from cobbler.llm.same_product import product_pairs, same_product
 from cobbler.llm.search_cards import sound_model, sound_picture, sound_title
 from cobbler.llm.survivorship import survivors
@@ -72,8 +73,20 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a missing or wrong language label, and the languages of mixed ones."""
+    docs = table(spark, sf, "documents")
+    return language_cases(docs, "doc_id", "text", "lang", fit_scores(docs, "doc_id", "text", "lang")).select("doc_id", "kind", "lang")
+
+
+def p10_stretches(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stretch of one language, with offsets and confidence."""
+    docs = table(spark, sf, "documents")
+    return language_stretches(docs, "doc_id", "text", fit_scores(docs, "doc_id", "text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_groups, p5_found, p7_found, p7_record, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_groups, p5_found, p7_found, p7_record, p8_ids, p10_found, p10_stretches)}
 
 
 #: Transitive closure by recursion: fit for the small tables of the SQL check.

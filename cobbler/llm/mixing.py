@@ -95,20 +95,24 @@ def landing(sizes: list[float], chances: list[float]) -> list[float]:
     return out
 
 
-def _walk(seed: int, turn: int, final: bool):
+def _walk(seed: int, turn: int):
     def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        lone, block = bool(pdf["lone"].iloc[0]), int(pdf["block"].iloc[0])
+        pdf = pdf[["id", "source", "size", "chance"]]
+        if block == 0 and not lone:
+            return pdf  # kept whole for the last round, so that landing has texts to exchange
         rng = random.Random(zlib.crc32(f"{seed} {turn} {key[0]} {key[1]}".encode()))
         # largest texts first, so that the few left to the landing are small; chance decides among equals
         pdf = pdf.sort_values("id").sample(frac=1, random_state=rng.randrange(1 << 31)).sort_values("size", ascending=False, kind="stable")
         sizes = [float(x) for x in pdf["size"]]
         p = flight(sizes, pdf["chance"].tolist(), rng)
-        return pdf[["id", "source", "size"]].assign(chance=[float(x) for x in (landing(sizes, p) if final else p)])
+        return pdf[["id", "source", "size"]].assign(chance=[float(x) for x in (landing(sizes, p) if lone else p)])
 
     return walk
 
 
 def balanced_sample(df: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """``df``: id, source, size, chance; gives (id, source, size, taken 0 or 1), balanced in each source."""
+    """``df``: id, source, size, chance in (0, 1); gives (id, source, size, taken 0 or 1), balanced in each source."""
     schema = "id long, source string, size long, chance double"
     done: list[DataFrame] = []
     left = df.select("id", "source", "size", "chance")
@@ -116,13 +120,11 @@ def balanced_sample(df: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFra
         counts = {r["source"]: r["count"] for r in left.groupBy("source").count().collect()}  # one row per source of the bounded target table
         if not counts:
             break
-        final = all(n <= block for n in counts.values())
         blocks = F.create_map(*[F.lit(x) for s, n in counts.items() for x in (s, max(1, -(-n // block)))])[F.col("source")]
-        keyed = left.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed + turn)), blocks))
-
-        walked = cut(keyed.groupBy("source", "block").applyInPandas(_walk(seed, turn, final), schema))
+        keyed = left.withColumns({"block": F.pmod(F.xxhash64("id", F.lit(seed + turn)), blocks).cast("int"), "lone": blocks == 1})
+        walked = cut(keyed.groupBy("source", "block").applyInPandas(_walk(seed, turn), schema))
         done.append(walked.where("chance = 0 or chance = 1"))
-        if final:
+        if all(n <= block for n in counts.values()):
             break
         left = walked.where("chance > 0 and chance < 1")
     if not done:

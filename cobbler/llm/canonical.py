@@ -94,8 +94,8 @@ class Names:
                 found.add(n)
         return found.pop() if len(found) == 1 else None
 
-    def of_value(self, value: str) -> tuple[str, int | None, int | None]:
-        """(key, entry, entry that is only similar) of one value."""
+    def of_value(self, value: str, similar: bool = True) -> tuple[str, int | None, int | None]:
+        """(key, entry, entry that is only similar) of one value; ``similar`` tells whether to look for slips of the pen."""
         folded = plain(value)
         words = folded.split()
         key = "".join(words)
@@ -131,6 +131,8 @@ class Names:
             if all(w in self.line_words for w in rest):
                 return key, 0, None
         # slips of the pen: the closest name, its digits kept
+        if not similar:
+            return key, None, None
         digits = "".join(c for c in joined if c.isdigit())
         most = 1 if len(joined) < 8 else 2 if len(joined) < 12 else 3
         if len(joined) < 4:

@@ -6,7 +6,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cobbler.llm.canonical import Names
@@ -33,7 +34,6 @@ SCHEMA = T.StructType(
         T.StructField("id", T.LongType()),
         T.StructField("brand", T.IntegerType()),
         *[T.StructField(c, T.StringType()) for c in ("word", "line", "version", "colours", "audience", "sku", "style")],
-        T.StructField("gtins", T.ArrayType(T.StringType())),
     ]
 )
 
@@ -84,36 +84,41 @@ def title_parts(title: str | None) -> tuple[str, str]:
     return "/".join(sorted(colours)), audience
 
 
-def barcode(text: str | None) -> str | None:
-    """A barcode's 13 digits, or null where it is none."""
-    digits = "".join(c for c in text or "" if c.isdigit()).lstrip("0").zfill(13)
-    if len(digits) != 13 or len(set(digits)) < 3:
-        return None
-    return digits if (10 - sum(int(c) * (3 if i % 2 else 1) for i, c in enumerate(digits[:12]))) % 10 == int(digits[12]) else None
+def barcodes(column: str) -> Column:
+    """The sound 13-digit codes of an array of barcode texts, as numbers; null and junk fall away."""
+    digit = lambda n, k: F.pmod(F.floor(n / F.lit(10**k)), F.lit(10))
+    number = lambda x: F.regexp_replace(x, r"\D", "").try_cast("long")
+
+    def sound(n: Column) -> Column:
+        total = F.lit(0)
+        for k in range(13):
+            total = total + digit(n, k) * (3 if k % 2 else 1)
+        return n.isNotNull() & n.between(10**7, 10**13 - 1) & (F.pmod(total, F.lit(10)) == 0) & (F.pmod(n, F.lit(1111111111111)) != 0)
+
+    return F.array_distinct(F.filter(F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), number), sound))
 
 
 def parsed(df: DataFrame, names: list[tuple[int, str, list[str]]]) -> DataFrame:
-    """``df`` has id, title, brand, model, sku, gender, gtins; one row of ``SCHEMA`` for each."""
+    """``df`` has id, title, brand, model, sku, gender; one row of ``SCHEMA`` for each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, brands, models = Names(names), {}, {}
         for pdf in batches:
             out = []
-            for i, title, brand, model, sku, gender, gtins in zip(pdf.id, pdf.title, pdf.brand, pdf.model, pdf.sku, pdf.gender, pdf.gtins, strict=True):
+            for i, title, brand, model, sku, gender in zip(pdf.id, pdf.title, pdf.brand, pdf.model, pdf.sku, pdf.gender, strict=True):
                 if len(brands) > 300_000:
                     brands.clear()
                 if len(models) > 300_000:
                     models.clear()
                 if (b := brands.get(brand)) is None:
-                    _, entry, near = known.of_value(brand) if brand else ("", 0, None)
-                    b = brands[brand] = entry or near or 0
+                    _, entry, _ = known.of_value(brand, similar=False) if brand else ("", 0, None)
+                    b = brands[brand] = entry or 0
                 if (m := models.get(model)) is None:
                     m = models[model] = model_parts(model)
                 colours, audience = title_parts(title)
                 code = STYLE.search(re.sub("[^A-Z0-9]", "", sku.upper())) if sku else None
                 style, suffix = (code[1], code[2]) if code else ("", None)
-                codes = sorted({x for g in gtins if (x := barcode(g))}) if gtins is not None else []
-                out.append((i, b, m[0], m[1], m[2], colours or m[3], gender or audience or m[4], f"{style}-{suffix}" if suffix else "", style, codes))
+                out.append((i, b, m[0], m[1], m[2], colours or m[3], gender or audience or m[4], f"{style}-{suffix}" if suffix else "", style))
             yield pd.DataFrame(out, columns=SCHEMA.names)
 
-    return df.mapInPandas(run, SCHEMA)
+    return df.select("id", "title", "brand", "model", "sku", "gender").mapInPandas(run, SCHEMA)

@@ -11,6 +11,7 @@ from cobbler.llm.canonical import map_values
 from cobbler.llm.components import group_pairs
 from cobbler.llm.confusables import lookalike_pairs
 from cobbler.llm.languages import fit_scores, language_cases, language_stretches
+from cobbler.llm.mixing import mix, shares
 from cobbler.llm.same_product import product_pairs, same_product
 from cobbler.llm.search_cards import sound_model, sound_picture, sound_title
 from cobbler.llm.survivorship import survivors
@@ -73,6 +74,18 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """How many times each text of a target source is used."""
+    targets = table(spark, sf, "mix_target").select("source", "target_share", "max_repeats")
+    return mix(table(spark, sf, "documents"), targets, "doc_id", "text", "source").withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and reached shares of the mix."""
+    targets = table(spark, sf, "mix_target").select("source", "target_share", "max_repeats")
+    return shares(p9_mix(spark, sf).withColumnRenamed("doc_id", "id"), targets)
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with a missing or wrong language label, and the languages of mixed ones."""
     docs = table(spark, sf, "documents")
@@ -86,7 +99,7 @@ def p10_stretches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_groups, p5_found, p7_found, p7_record, p8_ids, p10_found, p10_stretches)}
+    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_groups, p5_found, p7_found, p7_record, p8_ids, p9_mix, p9_shares, p10_found, p10_stretches)}
 
 
 #: Transitive closure by recursion: fit for the small tables of the SQL check.

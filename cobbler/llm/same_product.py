@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from cobbler.llm.canonical import MOST_NAMES
 from cobbler.llm.components import group_pairs
-from cobbler.llm.listings import parsed
+from cobbler.llm.listings import SCHEMA, barcodes, parsed
 from cobbler.plans.durable import cut, written
 
 #: Score from which a pair is a link; change of a score that counts as none; most rounds.
@@ -99,58 +99,66 @@ def _evidence(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _reinforced(evidence: DataFrame) -> DataFrame:
-    """(a, b, score) once weights and scores agree."""
-    prior = F.aggregate("shared", F.lit(0.0), lambda s, t: s + t["prior"])
-    scores = cut(evidence.withColumn("score", F.coalesce(F.try_divide(prior, prior + F.col("against")), F.lit(0.0))))
+    """(a, b, score) once weights and scores agree.
+
+    A pair that nothing contradicts has the score 1 whatever the weights, so only contested pairs are
+    walked on; the others enter the weights of their terms as a count.
+    """
+    evidence = written(evidence, "evidence")
+    clean, contested = evidence.where("against = 0"), evidence.where("against > 0")
+    said = contested.select("a", "b", "against", F.explode("shared").alias("t")).select("a", "b", "against", "t.*")
+    full = clean.select(F.explode("shared.term").alias("term")).join(said.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("clean"))
+    said = cut(said.join(full, "term", "left").withColumn("clean", F.coalesce("clean", F.lit(0))))
+    prior = F.sum("prior")
+    scores = cut(said.groupBy("a", "b").agg((prior / (prior + F.first("against"))).alias("score")))
     for _ in range(MOST_ROUNDS):
-        terms = scores.select("a", "b", "score", "against", F.explode("shared").alias("t")).select("a", "b", "score", "against", "t.term", "t.prior")
-        weights = terms.groupBy("term").agg(F.avg("score").alias("weight"))
-        got = terms.join(weights, "term").groupBy("a", "b").agg(F.sum(F.col("prior") * F.col("weight")).alias("for"))
-        fresh = scores.join(got, ["a", "b"], "left").select(
-            "a", "b", "shared", "against", F.coalesce(F.try_divide(F.col("for"), F.col("for") + F.col("against")), F.lit(0.0)).alias("new"), F.col("score").alias("old")
-        )
-        scores = cut(fresh.select("a", "b", "shared", "against", F.col("new").alias("score"), F.abs(F.col("new") - F.col("old")).alias("moved")))
-        if (scores.agg(F.max("moved")).first()[0] or 0.0) <= STILL:
+        weights = said.join(scores, ["a", "b"]).groupBy("term").agg(((F.first("clean") + F.sum("score")) / (F.first("clean") + F.count("*"))).alias("weight"))
+        fresh = said.join(weights, "term").groupBy("a", "b").agg(F.sum(F.col("prior") * F.col("weight")).alias("for"), F.first("against").alias("against"))
+        fresh = cut(fresh.join(scores, ["a", "b"]).select("a", "b", (F.col("for") / (F.col("for") + F.col("against"))).alias("score"), F.col("score").alias("old")))
+        moved = fresh.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
+        scores = fresh.select("a", "b", "score")
+        if moved <= STILL:
             break
-        scores = scores.drop("moved")
-    return scores.select("a", "b", "score")
+    return clean.select("a", "b", F.when(F.size("shared") > 0, 1.0).otherwise(0.0).alias("score")).unionByName(scores)
 
 
-def same_product(offers: DataFrame, barcodes: DataFrame, brands: DataFrame) -> DataFrame:
-    """(id, group_id) of every listing.
+def same_product(offers: DataFrame, codes: DataFrame, brands: DataFrame) -> DataFrame:
+    """(id, group_id) of every listing; group_id is a stable label.
 
-    ``offers``: id, title, brand, model, sku, gender; ``barcodes``: id, gtins; ``brands``: id, name, aliases.
+    ``offers``: id, title, brand, model, sku, gender; ``codes``: id, gtins; ``brands``: id, name, aliases.
     """
     if (n := brands.count()) > MOST_NAMES:
         raise ValueError(f"{n} brands; the automaton is built for {MOST_NAMES} at most")
     names = [(int(r[0]), r[1], list(r[2]) if r[2] is not None else []) for r in brands.collect() if r[0] is not None]
-    once = offers.where("id is not null").select("id", F.struct("title", "brand", "model", "sku", "gender").alias("s")).groupBy("id").agg(F.min("s").alias("s")).select("id", "s.*")
-    codes = barcodes.groupBy("id").agg(F.flatten(F.collect_set("gtins")).alias("gtins"))
-    listings = _mended(written(parsed(once.join(codes, "id", "left"), names), "listings"))
+    said = [c for c in SCHEMA.names if c != "id"]
+    once = parsed(offers.where("id is not null"), names).groupBy("id").agg(F.min(F.struct(*said)).alias("s")).select("id", "s.*")
+    held = codes.where("id is not null").select("id", barcodes("gtins").alias("g")).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("g")))).alias("gtins"))
+    listings = written(once.join(held, "id", "left"), "listings")
+    listings = _mended(listings)
     whole = (F.col("sku") != "") | ((F.col("colours") != "") & (F.col("audience") != "") & (F.col("word") != ""))
-    apart = F.when(whole, "").otherwise(F.coalesce(F.get("gtins", F.lit(0)), F.when((F.col("word") == ""), F.col("id").cast("string")).otherwise("")))
-    key = ["word", "line", "version", "colours", "audience", "brand", "sku", "style", "apart"]
-    keyed = listings.withColumn("apart", apart)
-    nodes = written(keyed.groupBy(*key).agg(F.min("id").alias("node"), F.count("*").alias("n")), "nodes")
-    of = written(keyed.select("id", *key, "gtins").join(nodes.drop("n"), key).select("id", "node", "gtins"), "members")
-    gtins = of.select("node", F.explode("gtins").alias("gtin")).distinct()
+    apart = F.when(whole, "").when(F.size("gtins") > 0, F.get("gtins", F.lit(0)).cast("string")).when(F.col("word") == "", F.concat(F.lit("id "), F.col("id").cast("string"))).otherwise("")
+    key = [*said, "apart"]
+    # the node of a listing is the 64-bit hash of what it says: no join is needed to find it
+    keyed = written(listings.withColumn("apart", apart).withColumn("node", F.xxhash64(*key)), "nodes")
+    nodes = keyed.groupBy("node").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in said])
+    gtins = keyed.select("node", F.explode("gtins").alias("gtin")).distinct()
+    nodes = written(nodes, "profiles")
     pairs = written(_pairs(nodes, gtins), "pairs")
-    scored = _reinforced(_evidence(pairs, nodes))
-    links = scored.where(F.col("score") >= THRESHOLD).join(pairs, ["a", "b"])
+    links = _reinforced(_evidence(pairs, nodes)).where(F.col("score") >= THRESHOLD).select("a", "b").join(pairs, ["a", "b"])
     # a node that leaves something out needs partners that are one product; a shared code or barcode decides
     profile = nodes.select("node", "sku", F.struct("colours", "audience").alias("p"), ((F.col("sku") == "") & ((F.col("colours") == "") | (F.col("audience") == ""))).alias("loose"))
     d = links.join(profile.withColumnsRenamed({"node": "a", "p": "pa", "loose": "la", "sku": "sa"}), "a").join(profile.withColumnsRenamed({"node": "b", "p": "pb", "loose": "lb", "sku": "sb"}), "b")
-    d = d.withColumn("sure", F.col("gtin") | ((F.col("sa") == F.col("sb")) & (F.col("sa") != "")))
-    open_ = d.where("not sure and (la or lb)").select("a", "b", F.when(F.col("la"), F.col("a")).otherwise(F.col("b")).alias("me"), F.when(F.col("la"), F.col("pb")).otherwise(F.col("pa")).alias("them"))
+    sure = F.col("gtin") | ((F.col("sa") == F.col("sb")) & (F.col("sa") != ""))
+    d = cut(d.select("a", "b", sure.alias("sure"), (F.col("la") | F.col("lb")).alias("loose"), F.when(F.col("la"), F.col("a")).otherwise(F.col("b")).alias("me"), F.when(F.col("la"), F.col("pb")).otherwise(F.col("pa")).alias("them")))
+    open_ = d.where("not sure and loose")
     decided = d.where("sure").select(F.explode(F.array("a", "b")).alias("me")).distinct()
     one = open_.groupBy("me").agg(F.min("them").alias("lo"), F.max("them").alias("hi")).where("lo = hi").select("me").join(decided, "me", "left_anti")
-    kept = d.where("sure or not (la or lb)").select("a", "b").unionByName(open_.join(one, "me").select("a", "b"))
+    kept = cut(d.where("sure or not loose").select("a", "b").unionByName(open_.join(one, "me").select("a", "b")))
+    groups = group_pairs(kept, "a", "b").withColumnRenamed("id", "node")
+    loose = nodes.select("node", ((F.col("sku") == "") & ((F.col("colours") == "") | (F.col("audience") == ""))).alias("loose"))
+    out = keyed.select("id", "node").join(loose.join(groups, "node", "left"), "node")
     # nodes that say too little and found no partner are not known to be one product
-    met = kept.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("met", F.lit(True))
-    weak = profile.where("loose").select("node").join(met, "node", "left_anti").withColumn("weak", F.lit(True))
-    groups = group_pairs(kept, "a", "b")
-    out = of.join(groups.withColumnRenamed("id", "node"), "node", "left").join(weak, "node", "left")
-    return out.select("id", F.when(F.col("weak"), F.col("id")).otherwise(F.coalesce("group_id", "node")).alias("group_id"))
+    return out.select("id", F.coalesce("group_id", F.when(F.col("loose"), F.xxhash64(F.lit("alone"), "id")).otherwise(F.col("node"))).alias("group_id"))
 
 
 def product_pairs(groups: DataFrame) -> DataFrame:

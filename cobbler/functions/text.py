@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Latin letters with marks (Latin-1 and Latin Extended-A) and the letters they fold to.
 MARKED = "àáâãäåāăąçćĉċčďđèéêëēĕėęěĝğġģĥħìíîïĩīĭįıĵķĺļľŀłñńņňòóôõöøōŏőŕŗřśŝşšţťŧùúûüũūŭůűųŵýÿŷźżž"
 FOLDED = "aaaaaaaaacccccddeeeeeeeeegggghhiiiiiiiiijklllllnnnnooooooooorrrsssstttuuuuuuuuuuwyyyzzz"
+#: Blanks of every kind.
+BLANK = "[\\s\u00a0\u2000-\u200a\u202f\u205f\u3000\ufeff]"
 # Letters that fold to two.
 DOUBLE = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th"}
 # Typographic quotes and dashes and their plain forms.
@@ -38,7 +40,7 @@ def _upper_folded() -> str:
 
 def search_text(x: Column | str) -> Column:
     """Accents and case dropped, white space single; punctuation kept."""
-    return F.btrim(F.regexp_replace(fold_lower(x), r"[\s ]+", " "))
+    return F.btrim(F.regexp_replace(fold_lower(x), f"{BLANK}+", " "))
 
 
 def folded(x: Column | str) -> Column:

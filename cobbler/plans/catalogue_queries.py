@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cobbler.functions.text import DOUBLE, FOLDED, MARKED, TYPED, TYPOGRAPHIC, fold_diacritics, fold_lower, folded, search_text, slugify, spaced, words
+from cobbler.functions.text import BLANK, DOUBLE, FOLDED, MARKED, TYPED, TYPOGRAPHIC, fold_diacritics, fold_lower, folded, search_text, slugify, spaced, words
 from cobbler.functions.trigram import similarity, text_similarity, word_similarity
 from cobbler.operators import search as S
 from cobbler.plans.catalogue import Catalogue, catalogue_sql
@@ -245,7 +245,7 @@ def _whole(x: str) -> str:
     return f"[substr('  ' || {x} || ' ', i, 3) for i in range(1, length({x}) + 2)]"
 
 
-_t, _m = (f"trim(regexp_replace({fl(c)}, '[\\s ]+', ' ', 'g'))" for c in ("title", "model"))
+_t, _m = (f"trim(regexp_replace({fl(c)}, '{BLANK}+', ' ', 'g'))" for c in ("title", "model"))
 
 
 @query(f"SELECT offer_id, coalesce(len(list_intersect({_whole(_t)}, {_whole(_m)}))::double / nullif(len(list_distinct(list_concat({_whole(_t)}, {_whole(_m)}))), 0), 0) AS score FROM normalized_offer WHERE title IS NOT NULL AND model IS NOT NULL")
@@ -271,13 +271,15 @@ def fold_brand_case(cat: Catalogue) -> DataFrame:
     return cat.coded.where("raw_brand rlike '^[A-Za-z čćžšđČĆŽŠĐ]+$'").select("offer_id", F.upper(fold_diacritics("raw_brand")).alias("plain"))
 
 
-def queries() -> dict[str, Query]:
-    from cobbler.plans import domain_queries
+def _all() -> tuple[dict[str, Query], dict[str, str]]:
+    from cobbler.plans import domain_queries  # noqa: F401  registers its own
 
-    return QUERIES | domain_queries.QUERIES
+    return QUERIES, SQL
 
 
-def oracle_sql() -> dict[str, str]:
-    from cobbler.plans import domain_queries
+def queries() -> dict[str, Query]:
+    return dict(_all()[0])
 
-    return SQL | domain_queries.SQL
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_all()[1])

@@ -31,24 +31,28 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: evaluates ``df`` once and forgets how it was made."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+def written(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Evaluates ``df`` once into a Parquet table of the shared folder and gives a frame that reads it.
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """As ``cut``, but as a Parquet table: smaller on disk, and columns can be pruned on the way back."""
+    A table rather than ``checkpoint()``: columns are pruned and compressed on the way back, and the
+    new plan starts from a file scan, so that the constraints of former rounds, which a checkpointed
+    plan hands on and which multiply with every join, end here too.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cobbler/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a round of an iteration."""
+    return written(df, "round")
+
+
 def drop_written(*frames: DataFrame) -> None:
-    """Deletes the tables that ``written`` made, once nothing will read them again."""
+    """Deletes tables that ``written`` made, once nothing will read them again."""
     for df in frames:
         spark = df.sparkSession
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -21,17 +21,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cobbler.plans.durable import cut
+from cobbler.plans.durable import cut, drop_written
 
 
 def _jump(hooks: DataFrame) -> DataFrame:
     """hooks: x -> m, m < x.  Follows m until it is no x any more; each pass doubles the steps taken."""
+    table = cut(hooks)
     while True:
-        to = hooks.select(F.col("x").alias("m"), F.col("m").alias("mm"))
-        moved = cut(hooks.join(to, "m", "left").select("x", F.coalesce("mm", "m").alias("m"), F.col("mm").isNotNull().alias("moved")))
+        to = table.select(F.col("x").alias("m"), F.col("m").alias("mm"))
+        moved = cut(table.join(to, "m", "left").select("x", F.coalesce("mm", "m").alias("m"), F.col("mm").isNotNull().alias("moved")))
+        drop_written(table)
         if moved.where("moved").isEmpty():
             return moved.select("x", "m")
-        hooks = moved.select("x", "m")
+        table = moved.select("x", "m")
 
 
 def group_pairs(pairs: DataFrame, a: str, b: str, linked: Column | None = None) -> DataFrame:
@@ -47,12 +49,13 @@ def group_pairs(pairs: DataFrame, a: str, b: str, linked: Column | None = None)
         rounds.append(roots)
         left = edges.join(roots.select(F.col("x").alias("a"), F.col("m").alias("ma")), "a", "left").select("b", F.coalesce("ma", "a").alias("a"))
         moved = left.join(roots.select(F.col("x").alias("b"), F.col("m").alias("mb")), "b", "left").select("a", F.coalesce("mb", "b").alias("b"))
-        edges = cut(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        before, edges = edges, cut(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        drop_written(before)
     if not rounds:
         return vertices.select("id", F.col("id").alias("group_id"))
     final = rounds.pop()
     while rounds:
         earlier = rounds.pop()
         on = earlier.join(final.select(F.col("x").alias("m"), F.col("m").alias("mm")), "m", "left").select("x", F.coalesce("mm", "m").alias("m"))
-        final = cut(on.unionByName(final)) if len(rounds) % 4 == 3 else on.unionByName(final)
+        final = cut(on.unionByName(final))
     return vertices.join(final.select(F.col("x").alias("id"), "m"), "id", "left").select("id", F.coalesce("m", "id").alias("group_id"))

@@ -51,7 +51,7 @@ SWITCH, MOST_EVIDENCE = 7.0, 6.0
 SENTENCE_WORDS = 6
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*")
-_END = regex.compile(r"[.!?…]+(?=\s|$|[\"'”)])|[\n\r  ]+|\s[/|•]\s")
+_END = regex.compile(r"[.!?…]+(?=\s|$|[\"'”)])|[\n\r\u2028\u2029]+|\s[/|•]\s")
 _CYRILLIC = regex.compile(r"\p{Cyrillic}")
 _LATIN_ONLY = [i for i, x in enumerate(LANGUAGES) if x not in SCRIPTS]
 _SR = LANGUAGES.index("sr")

@@ -54,7 +54,8 @@ def parsed_label(raw: str) -> tuple[Column, Column]:
     whole = F.regexp_extract(c, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
     part = F.regexp_extract(c, r"\d[\s-]+(\d)/(\d)", 1).try_cast("double")
     of = F.regexp_extract(c, r"\d[\s-]+(\d)/(\d)", 2).try_cast("double")
-    number = whole + F.coalesce(F.try_divide(part, of), F.lit(0.0))
+    # beyond any size in any unit, a number is only "too large": long digit strings would be infinite
+    number = F.least(whole + F.coalesce(F.try_divide(part, of), F.lit(0.0)), F.lit(1e6))
     unit = F.lit(None).cast("string")
     for name, mark in reversed(UNIT_MARKS):
         unit = F.when(c.rlike(mark), F.lit(name)).otherwise(unit)

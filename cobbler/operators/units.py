@@ -55,7 +55,8 @@ def parsed_label(raw: str) -> tuple[Column, Column]:
     part = F.regexp_extract(c, r"\d[\s-]+(\d)/(\d)", 1).try_cast("double")
     of = F.regexp_extract(c, r"\d[\s-]+(\d)/(\d)", 2).try_cast("double")
     # beyond any size in any unit, a number is only "too large": long digit strings would be infinite
-    number = F.least(whole + F.coalesce(F.try_divide(part, of), F.lit(0.0)), F.lit(1e6))
+    number = whole + F.coalesce(F.try_divide(part, of), F.lit(0.0))
+    number = F.when(number > 1e6, 1e6).otherwise(number)
     unit = F.lit(None).cast("string")
     for name, mark in reversed(UNIT_MARKS):
         unit = F.when(c.rlike(mark), F.lit(name)).otherwise(unit)
@@ -130,7 +131,7 @@ def _weighed(df: DataFrame) -> DataFrame:
     df = df.withColumn("votes", votes)
     total = F.aggregate("votes", F.lit(0.0), lambda a, b: a + b)
     best = F.array_max("votes")
-    return df.withColumns({"p": F.coalesce(F.try_divide(best, total), F.lit(0.0)), "best": F.array_position("votes", best) - 1})
+    return df.withColumns({"p": F.coalesce(F.try_divide(best, total), F.lit(0.0)), "best": F.when(best > 0, F.array_position("votes", best) - 1).otherwise(-1)})
 
 
 def _predict(rows: DataFrame, ranges: dict[str, tuple[float, float]], chart: DataFrame) -> DataFrame:
@@ -165,7 +166,9 @@ def _predict(rows: DataFrame, ranges: dict[str, tuple[float, float]], chart: Dat
         # the calibration is a step function with few steps
         xs, ys = [float(x) for x in iso.boundaries], [float(y) for y in iso.predictions]
         at = F.array_size(F.filter(F.array(*map(F.lit, xs)), lambda x: x <= F.col("p")))
-        out = out.withColumn("confidence", F.get(F.array(*map(F.lit, ys)), F.greatest(at - 1, F.lit(0))))
+        # less sure than anything seen while calibrating: the raw votes, at most the first step
+        low = F.least(F.col("p"), F.lit(ys[0]))
+        out = out.withColumn("confidence", F.when(at == 0, low).otherwise(F.get(F.array(*map(F.lit, ys)), at - 1)))
     return out.drop("features", "rawPrediction", "probability", "prediction", "p", "best", "votes", "feasible")
 
 

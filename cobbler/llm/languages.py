@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,11 +45,13 @@ NAMES = {
 NAMED = {n: lang for lang, names in NAMES.items() for n in names.split()}
 
 #: Documents the scores are fitted on at most; hash buckets of n-grams; rounds of relabelling.
-FIT_DOCS, BUCKETS, ROUNDS = 6_000, 1 << 17, 3
+FIT_DOCS, BUCKETS, ROUNDS = 3_000, 1 << 17, 2
 #: What a switch of language costs, in nats; the bounds of one word's evidence.
 SWITCH, MOST_EVIDENCE = 7.0, 6.0
 #: Words that make a whole sentence.
 SENTENCE_WORDS = 6
+#: Share of letters from which words are prose and not codes.
+PROSE = 0.6
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*")
 _END = regex.compile(r"[.!?…]+(?=\s|$|[\"'”)])|[\n\r\u2028\u2029]+|\s[/|•]\s")
@@ -65,7 +68,8 @@ def named_language(label: str | None) -> str | None:
     return NAMED.get(text) or NAMED.get(regex.split(r"[-_ ]", text)[0])
 
 
-def _grams(word: str) -> list[int]:
+@lru_cache(maxsize=100_000)
+def _grams(word: str) -> tuple[int, ...]:
     """Hash buckets of a word's character n-grams (two to four, with its borders)."""
     w = f"^{word}$"
     out = []
@@ -75,7 +79,7 @@ def _grams(word: str) -> list[int]:
             for c in w[i : i + n]:
                 h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
             out.append((h ^ (h >> 15)) & (BUCKETS - 1))
-    return out
+    return tuple(out)
 
 
 class Scores:
@@ -101,7 +105,7 @@ class Scores:
         if (known := self.words.get(w)) is not None:
             return known
         # a word not met in fitting is often a name: its letters count little
-        x = self.grams[_grams(w)].mean(axis=0)
+        x = self.grams[list(_grams(w))].mean(axis=0)
         x = 0.5 * (x - x[_LATIN_ONLY].max())
         x[_SR] = -0.7
         return tuple(float(max(v, -MOST_EVIDENCE / 3)) for v in x)
@@ -195,10 +199,11 @@ def sentence_languages(text: str, scores: Scores) -> dict[str, tuple[int, float]
                 for k, v in enumerate(evidence[j]):
                     total[k] += v
                 j += 1
-            if j - i >= SENTENCE_WORDS or (i == first and j == at):
+            end = b if j == at else spots[j][0]
+            letters = sum(y - x for x, y in spots[i:j])
+            if j - i >= SENTENCE_WORDS and letters >= PROSE * len("".join(text[spots[i][0] : end].split())):
                 own = total[path[i]]
                 conf = 1.0 / sum(math.exp(min(max(t - own, -50.0), 50.0)) for t in total)
-                end = b if j == at else spots[j][0]
                 chars, best = out.get(LANGUAGES[path[i]], (0, 0.0))
                 out[LANGUAGES[path[i]]] = (chars + end - spots[i][0], max(best, conf))
             i = j
@@ -216,7 +221,7 @@ def _counted(sentences: list[tuple[int, set[str], int | None]]) -> Scores:
     sums = np.ones(n)
     for w, row in words.items():
         sums += row
-        np.add.at(grams, _grams(w), np.minimum(row, 50))
+        np.add.at(grams, list(_grams(w)), np.minimum(row, 50))
     logs = np.log(grams / grams.sum(axis=0))
     known: dict[str, tuple[float, ...]] = {}
     even = sums[_LATIN_ONLY].mean() / sums
@@ -258,13 +263,9 @@ def fit_scores(docs: DataFrame, id_col: str, text: str, label: str, fit_docs: in
     for _ in range(ROUNDS):
         again = []
         for doc, ws, _ in sentences:
-            total = np.zeros(len(LANGUAGES))
-            for w in ws:
-                total += scores.of(w)
-            order = np.argsort(-total[_LATIN_ONLY])
-            best = _LATIN_ONLY[order[0]]
-            sure = total[best] - total[_LATIN_ONLY[order[1]]] > 3.0 if len(order) > 1 else True
-            again.append((doc, ws, best if sure else None))
+            total = [sum(x) for x in zip(*map(scores.of, ws), strict=True)]
+            (second, _), (first, best) = sorted((total[k], k) for k in _LATIN_ONLY)[-2:]
+            again.append((doc, ws, best if first - second > 3.0 else None))
         sentences = again
         scores = _counted(sentences)
     return scores

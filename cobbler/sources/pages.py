@@ -250,8 +250,45 @@ def json_ld_product(html: str) -> dict:
     return {"title": data.get("name"), "brand": brand, "sku": data.get("sku"), "image_url": image[0] if isinstance(image, list) and image else image if isinstance(image, str) else None, "price_raw": None if price is None else str(price), "old_price_raw": f"{max(higher):.2f}" if higher else None, "currency": "EUR" if offers.get("priceCurrency") == "EUR" else "BAM", "description": data.get("description"), "sizes": sizes, "error": None if data.get("name") and price is not None and sizes else "incomplete"}
 
 
+def _found(data, key: str) -> Iterator:
+    """Every value under ``key``, however deep."""
+    if isinstance(data, dict):
+        if key in data:
+            yield data[key]
+        for v in data.values():
+            yield from _found(v, key)
+    elif isinstance(data, list):
+        for v in data:
+            yield from _found(v, key)
+
+
+def script_product(html: str) -> dict:
+    """A product page whose data stands in script configurations: sizes, prices, gallery, brand variables."""
+    tree = Tree(html)
+    scripts = [n for n in tree.root.walk() if n.tag == "script"]
+    configs = [x for n in scripts if n.attrs.get("type") == "text/x-magento-init" and (x := _lenient(n.said())) is not None]
+    config = next((c for x in configs for c in _found(x, "jsonConfig") if isinstance(c, dict)), None)
+    title = next((" ".join(n.said().split()) for n in tree.root.walk() if n.tag == "h1"), None)
+    if config is None or not title:
+        return _failed("no product")
+    said = "".join(n.said() for n in scripts if "type" not in n.attrs)
+    variable = lambda name: m[1] if (m := re.search(rf'var\s+{name}\s*=\s*"([^"]*)"', said)) and m[1] else None
+    prices = config.get("prices") or {}
+    amount = lambda k: (prices.get(k) or {}).get("amount")
+    final, old = amount("finalPrice"), amount("oldPrice")
+    attributes = config.get("attributes") or []
+    attributes = attributes.values() if isinstance(attributes, dict) else attributes
+    labels = [str(o.get("label", "")).strip() for a in attributes if a.get("code") == "size" for o in a.get("options") or []]
+    gallery = [p for x in configs for g in _found(x, "mage/gallery/gallery") if isinstance(g, dict) for p in g.get("data") or []]
+    pictures = [p["img"] for p in sorted(gallery, key=lambda p: not p.get("isMain")) if p.get("img")]
+    sizes = [{"raw": x, "in_stock": True, "gtin": None} for x in dict.fromkeys(labels) if x]
+    error = "no price" if final is None else None if sizes else "sold out"
+    dear = old is not None and final is not None and old > final
+    return {"title": title, "brand": variable("productBrand"), "sku": None, "image_url": pictures[0] if pictures else None, "price_raw": None if final is None else f"{final:.2f}", "old_price_raw": f"{old:.2f}" if dear else None, "currency": "BAM", "description": variable("productGender"), "sizes": sizes, "error": error}
+
+
 #: Platform -> reader of its product pages.
-READERS = {"microdata": microdata_product, "json_ld": json_ld_product}
+READERS = {"microdata": microdata_product, "json_ld": json_ld_product, "script": script_product}
 
 
 def product_pages(df: DataFrame, body: str, platform: str, *keep: str) -> DataFrame:

@@ -83,6 +83,18 @@ def test_product_pages(spark):
     assert [got[i].error for i in (1, 2, 3, 4, 5, 6)] == [None, "sold out", "no product", "empty", "unknown platform", "no product"]
 
 
+def test_script_page():
+    html = """<h1> Air  Presto </h1><script>var productBrand="Nike"; var productGender="men";</script>
+    <script type="text/x-magento-init">{"x": {"y": {"jsonConfig": {"productId": 7, "attributes": {"9": {"code": "size", "options": [{"label": "44"}, {"label": "44.67"}]}},
+    "prices": {"finalPrice": {"amount": 90.93}, "oldPrice": {"amount": 129.9}}}}}}</script>
+    <script type="text/x-magento-init">{"[data]": {"mage/gallery/gallery": {"data": [{"img": "a"}, {"img": "b", "isMain": true}], "options": {}}}}</script>"""
+    got = pages.script_product(html)
+    assert (got["title"], got["brand"], got["price_raw"], got["old_price_raw"], got["image_url"], got["error"]) == ("Air Presto", "Nike", "90.93", "129.90", "b", None)
+    assert [s["raw"] for s in got["sizes"]] == ["44", "44.67"]
+    assert pages.script_product(html.replace('[{"label": "44"}, {"label": "44.67"}]', "[]"))["error"] == "sold out"
+    assert pages.script_product("<h1>x</h1>")["error"] == "no product"
+
+
 def test_redaction(spark):
     d = spark.createDataFrame([("mail a@b.example and Bearer abcdefghijklmnop1234",), (None,), ("",)], "t string")
     text, n = pages.redacted(F.col("t"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cobbler.functions import display
 from cobbler.functions import money as M
 from cobbler.functions import size as Z
-from cobbler.functions.text import fold_lower, search_text, slugify
+from cobbler.functions.text import fold_lower, search_text, slugify, words
 from cobbler.functions.titles import SYNONYMS, cleaned_models
 from cobbler.operators import matching, upsert
 from cobbler.plans.catalogue import Catalogue
-from cobbler.plans.catalogue_queries import BASE, fl, query
+from cobbler.plans.catalogue_queries import BASE, fl, query, wd
 from cobbler.sources import pages
 
 from cobbler.functions.text import BLANK as _B  # noqa: E402
@@ -297,6 +298,43 @@ def redact_text(cat: Catalogue) -> DataFrame:
     return d.select("doc_id", (F.length(text) + 4).alias("n_chars"), n.alias("secrets"))
 
 
+@query("SELECT offer_id, 'v3/products/' || slug || '/' || left(sha256(image_url), 32) || '.webp' AS key FROM (SELECT o.offer_id, s.slug, o.image_url FROM normalized_offer o JOIN shop s USING (shop_id)) WHERE image_url IS NOT NULL")
+def object_keys(cat: Catalogue) -> DataFrame:
+    """Where each listing's picture is stored."""
+    d = cat.coded.join(cat.shop, "shop_id").where("image_url is not null")
+    return d.select("offer_id", display.object_key("shop_slug", "image_url").alias("key"))
+
+
+_KIND = "lower(regexp_extract(brand_logo_url, '\\.([A-Za-z0-9]+)(?:[?#].*)?$', 1))"
+
+
+@query(f"WITH c AS (SELECT brand, brand_logo_url AS url, CASE {_KIND} WHEN 'svg' THEN 0 WHEN 'png' THEN 1 WHEN 'webp' THEN 1 ELSE 2 END AS kind, count(*) AS uses FROM normalized_offer WHERE brand IS NOT NULL AND brand_logo_url IS NOT NULL GROUP BY ALL) SELECT brand, url, row_number() OVER (PARTITION BY brand ORDER BY kind, uses DESC, url) AS place FROM c QUALIFY place <= 4")
+def logo_candidates(cat: Catalogue) -> DataFrame:
+    """Up to four logos per brand (a top-k report): drawings first, then the most used."""
+    from pyspark.sql import Window
+
+    d = cat.raw("normalized_offer").where("brand is not null and brand_logo_url is not null").groupBy("brand", F.col("brand_logo_url").alias("url")).agg(F.count("*").alias("uses"))
+    w = Window.partitionBy("brand").orderBy(display.logo_rank("url"), F.col("uses").desc(), "url")
+    return d.withColumn("place", F.row_number().over(w)).where("place <= 4").select("brand", "url", "place")
+
+
+@query("SELECT image_url AS url, min(offer_id) AS offer_id FROM normalized_offer WHERE image_url LIKE 'http%' AND image_url NOT IN (SELECT image_url FROM search_result WHERE image_url IS NOT NULL) GROUP BY 1")
+def pictures_to_fetch(cat: Catalogue) -> DataFrame:
+    """Each picture once, unless it is there already."""
+    seen = cat.raw("search_result").select(F.col("image_url").alias("url"))
+    d = cat.coded.where("image_url like 'http%'").groupBy(F.col("image_url").alias("url")).agg(F.min("offer_id").alias("offer_id"))
+    return d.join(seen, "url", "left_anti")
+
+
+_AUD = wd("title")
+
+
+@query(f"SELECT offer_id, CASE WHEN regexp_matches({_AUD}, '(^| )(djecij|djecj|djecji|kid|kids)') THEN 'kids' WHEN regexp_matches({_AUD}, '(^| )musk') THEN 'men' WHEN regexp_matches({_AUD}, '(^| )zensk') THEN 'women' WHEN regexp_matches({_AUD}, '(^| )unisex') THEN 'unisex' END AS audience FROM normalized_offer")
+def audiences(cat: Catalogue) -> DataFrame:
+    """Who each title is for."""
+    return cat.coded.select("offer_id", display.audience(words("title")).alias("audience"))
+
+
 # --- joins of the star schema, the logs --------------------------------------------------------
 
 

@@ -13,6 +13,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables written by this process.
+_WRITTEN: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only if none is configured and the master is local."""
     sc = spark.sparkContext
@@ -40,10 +44,18 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cobbler/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_all(spark: SparkSession) -> None:
+    """Deletes every table written by this process that is still there: for the end of a session."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a round of an iteration."""
     return written(df, "round")

@@ -100,3 +100,21 @@ def test_names():
     assert titles.expand_query("patike tenisice") == ["patike", "tenisice"]
     assert titles.clean_model(None, "x") is None
     assert titles.is_placeholder("Patike")
+
+
+def test_display(spark):
+    import datetime as dt
+
+    from cobbler.functions import display
+
+    assert display.page_window(10, 20) == [1, None, 9, 10, 11, None, 20]
+    assert display.page_window(3, 6) == [1, 2, 3, 4, 5, 6]
+    assert display.page_window(3, 8) == [1, 2, 3, 4, None, 8]
+    d = spark.createDataFrame([(dt.datetime(2026, 9, 17, 23, 30, tzinfo=dt.UTC),)], "t timestamp")
+    now = F.lit("2026-09-18 16:45:00").cast("timestamp")
+    assert d.select(display.checked_at("t", now)).first()[0] == "danas u 01:30"
+    assert d.select(display.is_stale("t", now), display.is_stale("t", F.lit("2026-09-19 01:31:00").cast("timestamp"))).first()[:] == (False, True)
+    assert [one(spark, u, display.logo_rank) for u in ("a/b.SVG", "a.png?x=1", "a.jpg", "")] == [0, 1, 2, 2]
+    p = spark.createDataFrame([("b", ["a", "b"], ["a", "b"]), ("a", ["a"], ["c", "a"]), (None, [], ["c"]), ("x", ["a"], [])], "s string, o array<string>, n array<string>")
+    assert [r[0] for r in p.select(display.kept_picture("s", "o", "n")).collect()] == ["b", "c", "c", None]
+    assert [one(spark, t, display.audience) for t in ("muske patike", "djecija obuca muska", "za zenske", "unisex", "x", None)] == ["men", "kids", "women", "unisex", None, None]

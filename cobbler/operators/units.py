@@ -51,12 +51,11 @@ def parsed_label(raw: str) -> tuple[Column, Column]:
     for sign, text in FRACTIONS.items():
         c = F.replace(c, F.lit(sign), F.lit(text))
     c = F.replace(c, F.lit(","), F.lit("."))
-    whole = F.regexp_extract(c, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
+    # six digits are beyond any size in any unit; longer strings would be infinite
+    whole = F.regexp_extract(c, r"(\d{1,6}(?:\.\d{1,6})?)", 1).try_cast("double")
     part = F.regexp_extract(c, r"\d[\s-]+(\d)/(\d)", 1).try_cast("double")
     of = F.regexp_extract(c, r"\d[\s-]+(\d)/(\d)", 2).try_cast("double")
-    # beyond any size in any unit, a number is only "too large": long digit strings would be infinite
     number = whole + F.coalesce(F.try_divide(part, of), F.lit(0.0))
-    number = F.when(number > 1e6, 1e6).otherwise(number)
     unit = F.lit(None).cast("string")
     for name, mark in reversed(UNIT_MARKS):
         unit = F.when(c.rlike(mark), F.lit(name)).otherwise(unit)
@@ -127,11 +126,12 @@ def _feasible() -> Column:
 
 def _weighed(df: DataFrame) -> DataFrame:
     """``unit`` and raw confidence ``p``: the forest's votes among the units that are feasible."""
-    votes = F.zip_with(vector_to_array("probability"), F.col("feasible"), lambda a, b: a * b)
+    # units that no fitted row has are missing at the end of the forest's votes
+    votes = F.zip_with(vector_to_array("probability"), F.col("feasible"), lambda a, b: F.coalesce(a * b, F.lit(0.0)))
     df = df.withColumn("votes", votes)
     total = F.aggregate("votes", F.lit(0.0), lambda a, b: a + b)
     best = F.array_max("votes")
-    return df.withColumns({"p": F.coalesce(F.try_divide(best, total), F.lit(0.0)), "best": F.when(best > 0, F.array_position("votes", best) - 1).otherwise(-1)})
+    return df.withColumns({"p": F.coalesce(F.try_divide(best, total), F.lit(0.0)), "best": F.array_position("votes", best) - 1})
 
 
 def _predict(rows: DataFrame, ranges: dict[str, tuple[float, float]], chart: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def _predict(rows: DataFrame, ranges: dict[str, tuple[float, float]], chart: Dat
     fit = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(with_spans(fit)).select("size_id", "label", "features", "feasible").cache()
     held = F.pmod(F.xxhash64("size_id", F.lit(1)), F.lit(4)) == 0
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxBins=64, maxMemoryInMB=64).fit(fit.where(~held))
-    seen = _weighed(model.transform(fit.where(held))).select("p", (F.col("best") == F.col("label")).cast("double").alias("label"), F.lit(1.0).alias("weight"))
+    seen = _weighed(model.transform(fit.where(held))).select("p", ((F.col("best") == F.col("label")) & (F.col("p") > 0)).cast("double").alias("label"), F.lit(1.0).alias("weight"))
     iso = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight").fit(seen) if not fit.where(held).isEmpty() else None
     fit.unpersist()
     loose = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(with_spans(loose))

@@ -86,7 +86,8 @@ def _featured(sizes: DataFrame, offers: DataFrame, ranges: dict[str, tuple[float
     within = lambda u: F.col("number").between(*ranges[u])
     column_unit = F.when(F.col("size_eu").isNull() & near("us") & ~near("uk") & within("US"), "US").when(F.col("size_eu").isNull() & near("uk") & ~near("us") & within("UK"), "UK")
     d = d.withColumns({"eq_us": near("us").cast("double"), "eq_uk": near("uk").cast("double"), "eq_eu": near("size_eu").cast("double"), "stated": F.coalesce("text_unit", column_unit)})
-    d = d.where("number is not null and offer_id is not null")
+    # parsing costs most: it is done once, and rows that stand there twice go while they are narrow
+    d = written(d.where("number is not null and offer_id is not null").dropDuplicates(["size_id"]), "parsed")
     sums = d.groupBy("offer_id").agg(
         *[F.count_if(F.col("stated") == u).alias(f"c_{u}") for u in UNITS],
         F.min("number").alias("low"), F.max("number").alias("high"), F.count("*").alias("n"),
@@ -178,7 +179,7 @@ def to_eu_sizes(sizes: DataFrame, offers: DataFrame, chart: DataFrame, confident
     ``how`` is 'stated' or 'predicted'; ``status`` is 'converted' or 'review'.
     """
     lookup, ranges = _chart(chart)
-    rows = written(_featured(sizes, offers, ranges).dropDuplicates(["size_id"]), "sizes")
+    rows = written(_featured(sizes, offers, ranges), "sizes")
     cols = ["size_id", "size_eu", "number", "gender", "unit", "how", "confidence"]
     stated = rows.where("stated is not null").withColumns({"unit": F.col("stated"), "how": F.lit("stated"), "confidence": F.lit(1.0)}).select(cols)
     guessed = _predict(rows, ranges, chart).withColumn("how", F.lit("predicted")).select(cols)

@@ -76,7 +76,13 @@ def _chart(chart: DataFrame) -> tuple[DataFrame, dict[str, tuple[float, float]]]
     return lookup, ranges
 
 
-FEATURES = ["number", "third", "half", "audience", "source", "eq_us", "eq_uk", "eq_eu", "no_eu", "has_us", "o_eu", "o_eu10", "o_us", "o_uk", "o_mm", "o_cm", "o_in", "low", "high", "n"]
+FEATURES = ["number", "third", "half", "audience", "source", "eq_us", "eq_uk", "eq_eu", "no_eu", "has_us", "o_eu", "o_eu10", "o_us", "o_uk", "o_mm", "o_cm", "o_in", "low", "high", "n", "odd", "odd_share"]
+
+
+def _odd() -> Column:
+    """1.0 where a number is no whole, half or third, as foot lengths are."""
+    sixths = F.col("number") * 6
+    return F.when(F.abs(sixths - F.round(sixths)) > 0.03, 1.0).when(F.abs(F.col("number") * 2 - F.round(F.col("number") * 2)) < 0.01, 0.0).when(F.abs(F.col("number") * 3 - F.round(F.col("number") * 3)) < 0.03, 0.0).otherwise(1.0)
 
 
 def _featured(sizes: DataFrame, offers: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
@@ -90,7 +96,7 @@ def _featured(sizes: DataFrame, offers: DataFrame, ranges: dict[str, tuple[float
     d = written(d.where("number is not null and offer_id is not null").dropDuplicates(["size_id"]), "parsed")
     sums = d.groupBy("offer_id").agg(
         *[F.count_if(F.col("stated") == u).alias(f"c_{u}") for u in UNITS],
-        F.min("number").alias("low"), F.max("number").alias("high"), F.count("*").alias("n"),
+        F.min("number").alias("low"), F.max("number").alias("high"), F.count("*").alias("n"), F.avg(_odd()).alias("odd_share"),
     )
     who = offers.groupBy("offer_id").agg(F.max("gender").alias("gender"), F.max("shop_id").alias("shop_id"))
     listing = sums.join(who, "offer_id", "left")
@@ -105,7 +111,7 @@ def _featured(sizes: DataFrame, offers: DataFrame, ranges: dict[str, tuple[float
         F.coalesce(F.col("shop_id").cast("double"), F.lit(-1.0)).alias("source"),
         "eq_us", "eq_uk", "eq_eu", F.col("size_eu").isNull().cast("double").alias("no_eu"), F.col("us").isNotNull().cast("double").alias("has_us"),
         *[((F.col(f"c_{u}") - own(u)) / F.greatest(F.col("n") - 1, F.lit(1))).alias(f"o_{u.lower()}") for u in UNITS],
-        "low", "high", F.col("n").cast("double").alias("n"),
+        "low", "high", F.col("n").cast("double").alias("n"), _odd().alias("odd"), "odd_share",
     )
 
 

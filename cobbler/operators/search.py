@@ -63,7 +63,7 @@ def _folded_literals(values: list[str]) -> Column:
 def candidates(cat: Catalogue, p: Search) -> DataFrame:
     """The listings that pass every filter."""
     d = cat.live
-    sizes = cat.offer_size.where("size_in_stock")
+    sizes = cat.stocked
     if p.on_sale:
         d = d.where("old_price > price")
     if p.shops:
@@ -83,7 +83,7 @@ def candidates(cat: Catalogue, p: Search) -> DataFrame:
         d = d.where(reduce(lambda a, b: a & b, [F.contains(title, folded(F.lit(t))) for t in p.tokens]))
     if p.sizes:
         d = d.join(sizes.where(size_condition(p.sizes)).select("offer_id"), "offer_id", "left_semi")
-    if not p.wants_kids:  # a filter of its own: another size may satisfy it
+    elif not p.wants_kids:  # chosen sizes are adults' sizes here, or kids would be wanted
         d = d.join(sizes.where(F.col("size_eu") >= KIDS_BELOW).select("offer_id"), "offer_id", "left_semi")
     return d
 
@@ -126,7 +126,7 @@ def page(groups: DataFrame, p: Search) -> DataFrame:
 def with_lists(cat: Catalogue, pages: DataFrame, cand: DataFrame) -> DataFrame:
     """Sizes ascending and shops by their cheapest listing, of the page's groups only."""
     members = cand.join(pages.select("group_key"), "group_key", "left_semi")
-    sizes = members.join(cat.offer_size.where("size_in_stock"), "offer_id").groupBy("group_key").agg(F.array_sort(F.collect_set("size_eu")).alias("sizes"))
+    sizes = members.join(cat.stocked, "offer_id").groupBy("group_key").agg(F.array_sort(F.collect_set("size_eu")).alias("sizes"))
     shops = members.groupBy("group_key", "shop_slug").agg(F.min("price").alias("p")).groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct("p", "shop_slug"))).alias("s"))
     shops = shops.select("group_key", F.transform("s", lambda x: x["shop_slug"]).alias("shops"))
     none = lambda c, t: F.coalesce(c, F.array().cast(t))

@@ -63,6 +63,11 @@ class Catalogue:
         s = self.raw("normalized_size").where("size_eu between 15 and 52")
         return s.groupBy("offer_id", "size_eu").agg(F.bool_or("in_stock").alias("size_in_stock"))
 
+    @cached_property
+    def stocked(self) -> DataFrame:
+        """(offer_id, size_eu) of in-stock rows, repeats and all: enough for existence and sets, without an aggregation."""
+        return self.raw("normalized_size").where("in_stock and size_eu between 15 and 52").select("offer_id", "size_eu")
+
     @cached_property
     def live(self) -> DataFrame:
         """In-stock listings of active shops."""

@@ -177,7 +177,7 @@ def facet_brands(cat: Catalogue) -> DataFrame:
 
 @query(f"WITH {BASE} SELECT DISTINCT size_eu FROM live JOIN offer_size USING (offer_id) WHERE size_in_stock")
 def available_sizes(cat: Catalogue) -> DataFrame:
-    return cat.live.select("offer_id").join(cat.offer_size.where("size_in_stock"), "offer_id").select("size_eu").distinct()
+    return cat.live.select("offer_id").join(cat.stocked, "offer_id").select("size_eu").distinct()
 
 
 @query(f"WITH {BASE} SELECT shop_slug, shop_name FROM shops WHERE active AND shop_id IN (SELECT shop_id FROM offer WHERE in_stock)")

@@ -14,6 +14,7 @@ from cobbler.llm.languages import fit_scores, language_cases, language_stretches
 from cobbler.llm.mixing import mix, shares
 from cobbler.llm.same_product import product_pairs, same_product
 from cobbler.llm.search_cards import sound_model, sound_picture, sound_title
+from cobbler.llm.sql import SQL
 from cobbler.llm.survivorship import survivors
 from cobbler.llm.tokenizing import encode
 from cobbler.sources.tables import table
@@ -102,17 +103,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_groups, p5_found, p7_found, p7_record, p8_ids, p9_mix, p9_shares, p10_found, p10_stretches)}
 
 
-#: Transitive closure by recursion: fit for the small tables of the SQL check.
-P1_SQL = """
-WITH RECURSIVE link AS (
-  SELECT offer_id_a AS a, offer_id_b AS b FROM match_result
-  WHERE offer_id_a IS NOT NULL AND offer_id_b IS NOT NULL AND offer_id_a <> offer_id_b AND trim(match_method) <> ''),
-edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
-vertex AS (SELECT offer_id_a AS id FROM match_result WHERE offer_id_a IS NOT NULL UNION SELECT offer_id_b FROM match_result WHERE offer_id_b IS NOT NULL),
-reach AS (SELECT id, id AS seen FROM vertex UNION SELECT r.id, e.b FROM reach r JOIN edge e ON e.a = r.seen)
-SELECT id AS offer_id, min(seen) AS group_id FROM reach GROUP BY id
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL}
+    return dict(SQL)

@@ -170,6 +170,6 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str, text: str, source: str
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source: target and reached share, tokens, texts used and the most repeats."""
     by = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count_if(F.col("copies") > 0).alias("texts"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies"))
-    whole = by.agg(F.sum("tokens").alias("all"))
-    out = targets.join(by, "source", "left").join(F.broadcast(whole), how="cross")  # one row
-    return out.select("source", "target_share", F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.col("all").cast("double")), F.lit(0.0)).alias("reached_share"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "texts", "copies", "most_copies")], "max_repeats")
+    whole = float(by.agg(F.sum("tokens")).first()[0] or 0)
+    out = targets.join(by, "source", "left")
+    return out.select("source", "target_share", F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.lit(whole)), F.lit(0.0)).alias("reached_share"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "texts", "copies", "most_copies")], "max_repeats")

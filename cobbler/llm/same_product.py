@@ -53,8 +53,8 @@ def _mended(listings: DataFrame) -> DataFrame:
 
 
 def _most(c: str) -> Column:
-    """The value met most often that is not empty; the least of equals."""
-    return F.coalesce(F.mode(F.when(F.col(c) != "", F.col(c)), True), F.lit(""))
+    """The value of the largest node that has one; constant memory, however many nodes a code has."""
+    return F.coalesce(F.max_by(F.col(c), F.struct(F.col(c) != "", F.col("n"), F.col(c))), F.lit(""))
 
 
 def _pairs(nodes: DataFrame, gtins: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from cobbler.functions import money as M
 from cobbler.functions import size as Z
 from cobbler.functions.text import fold_lower, search_text, slugify, words
 from cobbler.functions.titles import SYNONYMS, cleaned_models
-from cobbler.operators import matching, upsert
+from cobbler.operators import matching, upsert, validate
 from cobbler.plans.catalogue import Catalogue
 from cobbler.plans.catalogue_queries import BASE, fl, query, wd
 from cobbler.sources import pages
@@ -184,6 +184,29 @@ def delete_unused_brands(cat: Catalogue) -> DataFrame:
     return upsert.delete_where_absent(cat.raw("brand").select("brand_id", "brand_name"), used, ["brand_name"])
 
 
+@query(
+    """SELECT 'offer id' AS "check", (SELECT count(*) FROM (SELECT offer_id FROM normalized_offer GROUP BY 1 HAVING count(*) > 1)) AS violations
+    UNION ALL SELECT 'external id', (SELECT count(*) FROM (SELECT shop_id, external_id FROM normalized_offer GROUP BY ALL HAVING count(*) > 1))
+    UNION ALL SELECT 'size id', (SELECT count(*) FROM (SELECT size_id FROM normalized_size GROUP BY 1 HAVING count(*) > 1))
+    UNION ALL SELECT 'offer shop', (SELECT count(*) FROM normalized_offer WHERE shop_id NOT IN (SELECT shop_id FROM shop))
+    UNION ALL SELECT 'snapshot listing', (SELECT count(*) FROM offer_snapshot s WHERE external_id IS NOT NULL AND external_id NOT IN (SELECT external_id FROM normalized_offer))
+    UNION ALL SELECT 'gender', (SELECT count(*) FROM normalized_offer WHERE gender NOT IN ('men', 'women', 'unisex', 'kids'))"""
+)
+def catalogue_violations(cat: Catalogue) -> DataFrame:
+    """Keys that repeat, parents that are missing, values that are not allowed."""
+    offers, sizes = cat.raw("normalized_offer"), cat.raw("normalized_size")
+    return validate.report(
+        {
+            "offer id": validate.repeated_keys(offers, ["offer_id"]),
+            "external id": validate.repeated_keys(offers, ["shop_id", "external_id"]),
+            "size id": validate.repeated_keys(sizes, ["size_id"]),
+            "offer shop": validate.missing_parents(offers, "shop_id", cat.raw("shop"), "shop_id"),
+            "snapshot listing": validate.missing_parents(cat.raw("offer_snapshot"), "external_id", offers, "external_id"),
+            "gender": validate.outside(offers, "gender", ["men", "women", "unisex", "kids"]),
+        }
+    )
+
+
 # --- matching ---------------------------------------------------------------------------------
 
 _CODE = "regexp_replace(upper(sku), '[^A-Z0-9]', '', 'g')"

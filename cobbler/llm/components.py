@@ -4,7 +4,7 @@ Each round, every vertex that still has an edge takes the smallest label among i
 neighbours (one aggregation, combined before the shuffle, so a vertex that stands in a third of
 all pairs costs one row per task).  The labels so chosen form a forest; pointer jumping shortens
 it until every vertex points to a root.  Edges are then rewritten to the roots, loops and repeats
-fall away, and the round's result is checkpointed.  It ends when no edge is left, that is when
+fall away, and the round's result is checkpointed as a table of the shared folder.  It ends when no edge is left, that is when
 no label changes.  The forests of all rounds are composed from the last to the first at the end,
 so settled vertices are not carried through the rounds.
 

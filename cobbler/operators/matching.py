@@ -46,6 +46,43 @@ def similar_names(names: DataFrame, threshold: float = 0.6) -> DataFrame:
     return near.withColumn("score", jaccard(whole_trigrams("name_a"), whole_trigrams("name_b"))).where(F.col("score") >= threshold)
 
 
+#: Score, rounded to three places, from which a similar name is a link; widest span of a cluster's EU sizes; share of the shorter size list that must be common.
+FUZZY_ACCEPT, MOST_SPAN, SIZES_SHARED = 0.82, 14, 0.5
+_ADULT = ("men", "women", "unisex")
+
+
+def similar_listings(listings: DataFrame) -> DataFrame:
+    """(a, b, method, confidence), a < b: listings of a brand and of different shops with equal or similar names, which no code, audience or size contradicts.
+
+    ``listings``: id, shop_id, brand_key, name (folded), code (comparable), gender, sizes.  Blank names are
+    unknown and listings without sizes match by code or barcode only.  Equal codes of five characters or more
+    are links by themselves and not repeated here.
+    """
+    d = listings.where("brand_key <> '' and name <> '' and size(sizes) > 0").select("id", "shop_id", "brand_key", "name", F.coalesce("code", F.lit("")).alias("code"), F.coalesce("gender", F.lit("")).alias("gender"), "sizes")
+    near = similar_names(d.select(F.col("brand_key").alias("block"), "name"), FUZZY_ACCEPT - 0.0005)
+    pairs = near.select(F.col("block").alias("brand_key"), F.col("name_a").alias("name"), F.col("name_b").alias("other"), F.round("score", 3).alias("confidence"))
+    pairs = pairs.where(F.col("confidence") >= FUZZY_ACCEPT)
+    same = d.select("brand_key", "name", F.col("name").alias("other"), F.lit(1.0).alias("confidence")).distinct()
+    x = d.withColumnsRenamed({c: f"{c}_x" for c in ("id", "shop_id", "code", "gender", "sizes")})
+    y = d.withColumnsRenamed({"name": "other"} | {c: f"{c}_y" for c in ("id", "shop_id", "code", "gender", "sizes")})
+    met = x.join(pairs.unionByName(same), ["brand_key", "name"]).join(y, ["brand_key", "other"]).where("(name <> other or id_x < id_y) and id_x <> id_y and shop_id_x <> shop_id_y")
+    met = met.where("code_x = '' or code_y = '' or (code_x = code_y and length(code_x) < 5)")
+    met = met.where((F.col("gender_x") == "") | (F.col("gender_y") == "") | (F.col("gender_x") == F.col("gender_y")) | (F.col("gender_x").isin(*_ADULT) & F.col("gender_y").isin(*_ADULT)))
+    # a repeated size of the first listing counts as often as it stands there
+    first = F.col("id_x") < F.col("id_y")
+    sa, sb = F.when(first, F.col("sizes_x")).otherwise(F.col("sizes_y")), F.when(first, F.col("sizes_y")).otherwise(F.col("sizes_x"))
+    shared = F.size(F.filter(sa, lambda s: F.array_contains(sb, s)))
+    met = met.where(shared >= SIZES_SHARED * F.least(F.size(sa), F.size(sb)))
+    return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), F.lit("fuzzy").alias("method"), "confidence")
+
+
+def plausible_clusters(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, cluster): members of clusters whose sizes (id, sizes) span more than ``MOST_SPAN`` are clusters of their own."""
+    span = clusters.join(sizes.select("id", F.explode("sizes").alias("s")), "id").groupBy("cluster").agg((F.max("s") - F.min("s")).alias("span"))
+    wide = span.where(F.col("span") > MOST_SPAN).select("cluster", F.lit(True).alias("wide"))
+    return clusters.join(wide, "cluster", "left").select("id", F.when(F.col("wide"), F.col("id")).otherwise(F.col("cluster")).alias("cluster"))
+
+
 def linked_components(edges: DataFrame) -> DataFrame:
     """(id, component): least labels over edges (a, b), halved in distance each round and cut from their past."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())

@@ -49,6 +49,37 @@ def test_guarded_clusters(spark):
     assert clusters([(1, 1, "AAA111", "men"), (2, 2, "BBB222", "women")], [(1, 2, "gtin", 1.0)]) == {1: 1, 2: 1}
 
 
+def test_similar_listings_become_links(spark):
+    data = [
+        (1, 1, "dunk low retro", None, "men", [40.0, 41.0]),
+        (2, 2, "dunk low retro", "", "unisex", [41.0]),
+        (3, 2, "dunk low retros", None, None, [40.0, 41.0]),
+        (4, 1, "dunk low retro", None, "men", [40.0, 41.0]),  # the shop of 1
+        (5, 3, "dunk low retro", None, "kids", [40.0, 41.0]),
+        (6, 4, "dunk low retro", None, "men", [44.0, 45.0, 46.0]),
+        (7, 5, "dunk low retro", None, "men", []),
+        (8, 6, "air max", "ABC123", None, [40.0]),
+        (9, 7, "air max", "ABC124", None, [40.0]),
+        (10, 8, "air max", "ABC123", None, [40.0]),  # equal codes link by themselves
+        (11, 9, "", None, None, [40.0]),
+        (12, 10, "", None, None, [40.0]),
+    ]
+    d = spark.createDataFrame([(i, s, "b", n, c, g, z) for i, s, n, c, g, z in data], "id long, shop_id int, brand_key string, name string, code string, gender string, sizes array<double>")
+    assert rows(matching.similar_listings(d)) == sorted([(1, 2, "fuzzy", 1.0), (2, 4, "fuzzy", 1.0), (1, 3, "fuzzy", 0.824), (3, 4, "fuzzy", 0.824), (3, 5, "fuzzy", 0.824)], key=repr)
+    clusters = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)], "id long, cluster long")
+    sizes = spark.createDataFrame([(1, [28.0]), (2, [42.5]), (3, [30.0]), (4, [44.0]), (5, None)], "id long, sizes array<double>")
+    assert rows(matching.plausible_clusters(clusters, sizes)) == [(1, 1), (2, 2), (3, 3), (4, 3), (5, 5)]
+
+
+def test_match_clusters_by_name_alone(spark, tmp_path):
+    from cobbler.plans.catalogue import Catalogue
+    from cobbler.plans.domain_queries import match_clusters
+
+    d = [(1, 1, "Brand", "Dunk Low", None, None, "men", [40.0]), (2, 2, "brand", "dunk  low", None, None, "men", [40.0]), (3, 3, "brand", "samba", None, None, "men", [40.0])]
+    spark.createDataFrame(d, "offer_id long, shop_id int, brand string, model string, sku string, gtins array<string>, gender string, sizes_eu array<double>").write.parquet(f"{tmp_path}/match_candidate.parquet")
+    assert rows(match_clusters(Catalogue(spark, str(tmp_path)))) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_consensus_and_claims(spark):
     d = spark.createDataFrame([("k", "A"), ("k", "A"), ("k", "B’"), ("l", "B’"), ("l", "B'"), (None, "x"), ("m", None)], "k string, v string")
     assert rows(matching.consensus(d, "k", "v")) == [("k", "A"), ("l", "B'")]

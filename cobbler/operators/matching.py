@@ -8,6 +8,8 @@ Names stand for all listings that bear them, so copies are never paired.
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,47 +99,123 @@ def linked_components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def guarded_clusters(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, cluster): links are taken in order of confidence, and refused where the two clusters share a shop or,
-    for similar names, where codes or audiences contradict each other.
+def code_sets(listings: DataFrame) -> DataFrame:
+    """(id, kind, value, confidence): each listing's codes of five characters or more and its barcodes, within its brand, where several listings bear them."""
+    d = listings.where("brand_key <> ''")
+    codes = d.where("length(code) >= 5").select("id", F.lit("style_code").alias("kind"), "brand_key", F.col("code").alias("key"), F.lit(0.99).alias("confidence"))
+    bars = d.select("id", F.lit("gtin").alias("kind"), "brand_key", F.explode("gtins").alias("key"), F.lit(1.0).alias("confidence")).where("key <> ''").distinct()
+    every = codes.unionByName(bars)
+    several = every.groupBy("kind", "brand_key", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return every.join(several, ["kind", "brand_key", "key"]).select("id", "kind", F.to_json(F.struct("brand_key", "key")).alias("value"), "confidence")
+
+
+def _unite(members, links) -> dict:
+    """Cluster of each member of a component; the work of ``guarded_clusters``.
+
+    Every pair of a set is a link, but pairs are not walked one by one: a refusal for a shop is final, as
+    clusters only gain shops, so once one member of a cluster has met the rest of a set, no other member
+    of it needs to.  A walk over a set jumps from shop to shop and skips clusters that are through with it.
+    """
+    parent = {i: i for i in members["id"]}
+    shops = {i: {s} for i, s in zip(members["id"], members["shop_id"], strict=True)}
+    shop = dict(zip(members["id"], members["shop_id"], strict=True))
+    codes = {i: ({c} if isinstance(c, str) and c else set()) for i, c in zip(members["id"], members["code"], strict=True)}
+    who = {i: ({g} if isinstance(g, str) and g else set()) for i, g in zip(members["id"], members["gender"], strict=True)}
+    through: dict = {}  # sets that a cluster has met as a whole
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def apart(x, y):
+        return any(g != h and not (g in _ADULT and h in _ADULT) for g in x for h in y)
+
+    def link(a, b, method):
+        a, b = root(a), root(b)
+        if a == b or not shops[a].isdisjoint(shops[b]):
+            return
+        if method == "fuzzy" and ((codes[a] and codes[b] and not codes[a] & codes[b]) or apart(who[a], who[b])):
+            return
+        a, b = min(a, b), max(a, b)
+        parent[b] = a
+        shops[a] |= shops[b]
+        codes[a] |= codes[b]
+        who[a] |= who[b]
+        if b in through:
+            through.setdefault(a, set()).update(through.pop(b))
+
+    for _, level in sorted(links.groupby("confidence"), key=lambda x: -x[0]):
+        sets: dict = {}  # set -> shop -> [ids ascending, place of the first that is not through]
+        mine: dict = {}  # id -> its sets and single links
+        for r in level.sort_values(["a", "b"]).itertuples():
+            if r.value:
+                sets.setdefault(r.value, {}).setdefault(shop[r.a], [[], 0])[0].append(r.a)
+                mine.setdefault(r.a, ([], []))[0].append(r.value)
+            else:
+                mine.setdefault(r.a, ([], []))[1].append((r.b, r.method))
+        for a in sorted(mine):
+            heap = [(b, 1, k, method) for k, (b, method) in enumerate(mine[a][1])]  # (b, single link?, ...): of equals sets come first
+            walks: list = []
+
+            def push(k, at, heap=heap, walks=walks, sets=sets):
+                v, s = walks[k]
+                ids, low = sets[v][s]
+                while at < len(ids) and v in through.get(root(ids[at]), ()):
+                    at += 1
+                    low = at if low == at - 1 else low
+                sets[v][s][1] = low
+                if at < len(ids):
+                    heapq.heappush(heap, (ids[at], 0, k, at))
+                elif low == len(ids):
+                    del sets[v][s]
+
+            heapq.heapify(heap)
+            for v in mine[a][0]:
+                met = through.setdefault(root(a), set())
+                if v in met:
+                    continue
+                met.add(v)
+                for s in list(sets[v]):
+                    walks.append((v, s))
+                    push(len(walks) - 1, sets[v][s][1])
+            while heap:
+                b, single, k, x = heapq.heappop(heap)
+                if single:
+                    link(a, b, x)
+                    continue
+                s = walks[k][1]
+                if s not in shops[root(a)]:
+                    link(a, b, "set")
+                    if s not in shops[root(a)]:
+                        push(k, x + 1)
+    return {i: root(i) for i in parent}
+
+
+def guarded_clusters(edges: DataFrame, members: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """(id, cluster): links are taken in order of confidence, then of ids, and refused where the two clusters share a
+    shop or, for similar names, where codes or audiences contradict each other.
 
     The order decides, so a component of the links is one unit of work; edges are (a, b, method, confidence),
-    members (id, shop_id, code, gender).  Ids without a link are clusters of their own.
+    members (id, shop_id, code, gender); sets (id, kind, value, confidence) link every two ids with the same
+    kind and value, without naming the pairs.  Ids without a link are clusters of their own.
     """
-    comp = linked_components(edges)
+    links = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "method", "confidence", F.lit("").alias("value"))
+    ties = links.select("a", "b")
+    if sets is not None:
+        named = sets.select("id", F.concat_ws(" ", "kind", "value").alias("value"), F.col("kind").alias("method"), "confidence").distinct()
+        ties = ties.unionByName(named.join(named.groupBy("value").agg(F.min("id").alias("a")), "value").select("a", F.col("id").alias("b")).where("a <> b"))
+        links = links.unionByName(named.select(F.col("id").alias("a"), F.col("id").alias("b"), "method", "confidence", "value"))
+    comp = linked_components(ties)
     nodes = members.join(comp, "id").select("component", "id", "shop_id", "code", "gender")
-    links = edges.join(comp.withColumnRenamed("id", "a"), "a").select(F.col("component").alias("part"), "a", "b", "method", "confidence")
+    links = links.join(comp.withColumnRenamed("id", "a"), "a").select(F.col("component").alias("part"), "a", "b", "method", "confidence", "value")
 
     def unite(key, left, right):
         import pandas as pd
 
-        parent = {i: i for i in left["id"]}
-        shops = {i: {s} for i, s in zip(left["id"], left["shop_id"], strict=True)}
-        codes = {i: ({c} if isinstance(c, str) and c else set()) for i, c in zip(left["id"], left["code"], strict=True)}
-        who = {i: ({g} if isinstance(g, str) else set()) for i, g in zip(left["id"], left["gender"], strict=True)}
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        def apart(x, y):
-            kids = {"kids"}
-            return any(g != h and (g in kids or h in kids) for g in x for h in y)
-
-        for r in right.sort_values(["confidence", "a", "b"], ascending=[False, True, True]).itertuples():
-            a, b = root(r.a), root(r.b)
-            if a == b or shops[a] & shops[b]:
-                continue
-            if r.method == "fuzzy" and ((codes[a] and codes[b] and not codes[a] & codes[b]) or apart(who[a], who[b])):
-                continue
-            a, b = min(a, b), max(a, b)
-            parent[b] = a
-            shops[a] |= shops[b]
-            codes[a] |= codes[b]
-            who[a] |= who[b]
-        return pd.DataFrame({"id": left["id"], "cluster": [root(i) for i in left["id"]]})
+        found = _unite(left, right)
+        return pd.DataFrame({"id": list(found), "cluster": list(found.values())})
 
     joined = nodes.groupBy("component").cogroup(links.groupBy("part")).applyInPandas(unite, "id long, cluster long")
     return members.select("id").join(joined, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))

@@ -251,12 +251,8 @@ def match_clusters(cat: Catalogue) -> DataFrame:
     """Guarded clusters over barcodes, codes and similar names that nothing contradicts; clusters of too many sizes fall apart."""
     sizes = cat.raw("match_candidate").select(F.col("offer_id").alias("id"), F.filter("sizes_eu", lambda s: s.isNotNull()).alias("sizes"))
     m = _candidates(cat).withColumn("code", matching.comparable_code("sku"))
-    coded = m.where("length(code) >= 5 and brand_key <> ''")
-    first = coded.groupBy("brand_key", "code").agg(F.min("id").alias("a"))
-    by_code = coded.join(first, ["brand_key", "code"]).where("id <> a").select("a", F.col("id").alias("b"), F.lit("style_code").alias("method"), F.lit(0.99).alias("confidence"))
-    by_bar = matching.barcode_links(m).select(F.col("first_id").alias("a"), F.col("id").alias("b"), F.lit("gtin").alias("method"), F.lit(1.0).alias("confidence"))
     by_name = matching.similar_listings(m.withColumn("name", search_text("model")).join(sizes, "id"))
-    return matching.plausible_clusters(matching.guarded_clusters(by_bar.unionByName(by_code).unionByName(by_name), m.select("id", "shop_id", "code", "gender")), sizes)
+    return matching.plausible_clusters(matching.guarded_clusters(by_name, m.select("id", "shop_id", "code", "gender"), matching.code_sets(m)), sizes)
 
 
 _SLUG = f"trim(regexp_replace({fl('model')}, '[^a-z0-9]+', '-', 'g'), '-')"

@@ -49,6 +49,55 @@ def test_guarded_clusters(spark):
     assert clusters([(1, 1, "AAA111", "men"), (2, 2, "BBB222", "women")], [(1, 2, "gtin", 1.0)]) == {1: 1, 2: 1}
 
 
+def test_sets_are_all_their_pairs(spark):
+    members = "id long, shop_id int, code string, gender string"
+    edges = "a long, b long, method string, confidence double"
+    sets = "id long, kind string, value string, confidence double"
+    none, m = spark.createDataFrame([], edges), spark.createDataFrame([(1, 1, "CODE1", None), (2, 2, "CODE1", None), (3, 1, "CODE1", None), (4, 2, "CODE1", None)], members)
+    code = spark.createDataFrame([(i, "style_code", "CODE1", 0.99) for i in (1, 2, 3, 4)], sets)
+    assert dict(rows(matching.guarded_clusters(none, m, code))) == {1: 1, 2: 1, 3: 3, 4: 3}
+    bar = spark.createDataFrame([(1, "gtin", "9", 1.0), (4, "gtin", "9", 1.0)], sets)
+    assert dict(rows(matching.guarded_clusters(none, m, code.unionByName(bar)))) == {1: 1, 2: 2, 3: 2, 4: 1}
+
+
+def brute(members, links):
+    """Clusters by walking every pair in order of confidence and ids."""
+    at = {r[0]: {r[0]} for r in members}
+    info = {r[0]: r[1:] for r in members}
+    adult = {"men", "women", "unisex"}
+    for _, a, b, _, method in sorted(links):
+        x, y = at[a], at[b]
+        if x is y or {info[i][0] for i in x} & {info[i][0] for i in y}:
+            continue
+        if method == "fuzzy":
+            cx, cy = ({info[i][1] for i in z if info[i][1]} for z in (x, y))
+            gs = [(info[i][2], info[j][2]) for i in x for j in y if info[i][2] and info[j][2]]
+            if (cx and cy and not cx & cy) or any(g != h and not {g, h} <= adult for g, h in gs):
+                continue
+        both = x | y
+        for i in both:
+            at[i] = both
+    return {i: min(z) for i, z in at.items()}
+
+
+def test_clusters_against_every_pair():
+    import random
+    from itertools import combinations
+
+    import pandas as pd
+
+    for seed in range(1500):
+        r = random.Random(seed)
+        n = r.randint(2, 24)
+        members = [(i, r.randint(1, r.choice((2, 4, 9))), r.choice(("", "AAAAA", "BBBBB", "CCC")), r.choice((None, "men", "women", "kids"))) for i in range(n)]
+        said = [(i, "c " + m[2], 0.99) for i, m in enumerate(members) if len(m[2]) >= 5]
+        said += [(i, f"g {g}", 1.0) for i in range(n) for g in range(r.choice((1, 4))) if r.random() < 0.3]
+        single = [(a, b, "fuzzy", r.choice((1.0, 0.995, 0.99, 0.9))) for a, b in combinations(range(n), 2) if r.random() < 0.1]
+        pairs = [(-c, a, b, 0, "set") for a, v, c in said for b, w, _ in said if v == w and a < b] + [(-c, a, b, 1, m) for a, b, m, c in single]
+        links = pd.DataFrame([(i, i, "set", c, v) for i, v, c in said] + [(a, b, m, c, "") for a, b, m, c in single], columns=["a", "b", "method", "confidence", "value"])
+        assert matching._unite(pd.DataFrame(members, columns=["id", "shop_id", "code", "gender"]), links) == brute(members, pairs), seed
+
+
 def test_similar_listings_become_links(spark):
     data = [
         (1, 1, "dunk low retro", None, "men", [40.0, 41.0]),

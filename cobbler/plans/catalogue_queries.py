@@ -265,6 +265,12 @@ def trgm_word_similarity(cat: Catalogue) -> DataFrame:
     return cat.coded.where("raw_brand ilike 'd%' and title is not null").select("offer_id", word_similarity(F.lit("dratundo"), words("title")).alias("score"))
 
 
+@query()
+def trgm_word_similarity_all(cat: Catalogue) -> DataFrame:
+    """The best stretch of every title for a query; null without a title."""
+    return cat.coded.select("offer_id", word_similarity(F.lit("dratundo"), words("title")).alias("score"))
+
+
 @query("SELECT offer_id, upper(strip_accents(replace(replace(brand, 'đ', 'd'), 'Đ', 'D'))) AS plain FROM normalized_offer WHERE regexp_full_match(brand, '[A-Za-z čćžšđČĆŽŠĐ]+')")
 def fold_brand_case(cat: Catalogue) -> DataFrame:
     """Accents dropped with the case kept, shown in capitals."""

@@ -60,6 +60,29 @@ def test_sets_are_all_their_pairs(spark):
     assert dict(rows(matching.guarded_clusters(none, m, code.unionByName(bar)))) == {1: 1, 2: 2, 3: 2, 4: 1}
 
 
+OFFERS = "offer_id long, shop_id int, external_id string, url string, title string, brand string, model string, sku string, gender string, image_url string, price_minor int, original_price_minor int, currency string, in_stock boolean, first_seen_at timestamp, last_seen_at timestamp"
+
+
+def test_word_similarity_of_every_title(spark, tmp_path):
+    import re
+
+    from cobbler.plans.catalogue import Catalogue
+    from cobbler.plans.catalogue_queries import trgm_word_similarity_all
+
+    titles = ["dratundo runner 5", "Air Dratund", "tundo dra", "", None, "x dratu undo dratundo2", "nothing here"]
+    spark.createDataFrame([(i, 1, None, None, t, ("Nike", None, "Dra")[i % 3], *[None] * 10) for i, t in enumerate(titles)], OFFERS).write.parquet(f"{tmp_path}/normalized_offer.parquet")
+
+    def grams(x):
+        return [f"  {w} "[i : i + 3] for w in re.findall("[a-z0-9]+", x.lower()) for i in range(len(w) + 1)]
+
+    def best(t):
+        q, s = set(grams("dratundo")), grams(t)
+        return max((len(q & set(s[i:j])) / len(q | set(s[i:j])) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=0.0)
+
+    got = dict(rows(trgm_word_similarity_all(Catalogue(spark, str(tmp_path)))))
+    assert got == {i: None if t is None else best(t) for i, t in enumerate(titles)}
+
+
 def brute(members, links):
     """Clusters by walking every pair in order of confidence and ids."""
     at = {r[0]: {r[0]} for r in members}

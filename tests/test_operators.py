@@ -204,6 +204,16 @@ def test_redaction(spark):
     assert rows(d.select(text, n)) == [("", 0), ("mail [email] and [bearer]", 2), (None, None)]
 
 
+def test_redaction_of_every_text(spark, tmp_path):
+    from cobbler.plans.catalogue import Catalogue
+    from cobbler.plans.domain_queries import redact_every_text
+
+    d = [(1, "mail a@b.example"), (2, "api_key=abcdefghijklmnop12 and sessionid=abcdef123456"), (3, "a token of thanks, the key, a secret"), (4, None), (5, "Bearer abcdefghijklmnop1234"), (6, "plain")]
+    spark.createDataFrame(d, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(1, "mail [email]", 1), (2, "[key] and [cookie]", 2), (3, d[2][1], 0), (4, None, None), (5, "[bearer]", 1), (6, "plain", 0)]
+    assert rows(redact_every_text(Catalogue(spark, str(tmp_path)))) == want
+
+
 def test_pictures(spark):
     img = np.full((6, 6, 3), 240, dtype=np.uint8)
     img[2:4, 2:4] = 10

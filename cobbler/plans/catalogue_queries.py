@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cobbler.functions.text import BLANK, DOUBLE, FOLDED, MARKED, TYPED, TYPOGRAPHIC, fold_diacritics, fold_lower, folded, search_text, slugify, spaced, words
+from cobbler.functions.text import BLANK, DOUBLE, FOLDED, MARKED, TYPED, TYPOGRAPHIC, _upper_folded, fold_diacritics, fold_lower, folded, search_text, slugify, spaced, words
 from cobbler.functions.trigram import similarity, text_similarity, word_similarity
 from cobbler.operators import search as S
 from cobbler.plans.catalogue import Catalogue, catalogue_sql
@@ -277,6 +277,19 @@ def fold_brand_case(cat: Catalogue) -> DataFrame:
     return cat.coded.where("raw_brand rlike '^[A-Za-z čćžšđČĆŽŠĐ]+$'").select("offer_id", F.upper(fold_diacritics("raw_brand")).alias("plain"))
 
 
+def _fold_case(x: str) -> str:
+    out = f"translate({x}, {_q(MARKED + MARKED.replace('ı', '').upper())}, {_q(FOLDED + _upper_folded())})"
+    for a, b in DOUBLE.items():
+        out = f"replace({out}, {_q(a)}, {_q(b)})"
+    return out
+
+
+@query(f"SELECT offer_id, {_fold_case('brand')} AS plain FROM normalized_offer WHERE brand IS NOT NULL")
+def fold_every_brand_case(cat: Catalogue) -> DataFrame:
+    """Accents of every brand dropped with the case kept."""
+    return cat.coded.where("raw_brand is not null").select("offer_id", fold_diacritics("raw_brand").alias("plain"))
+
+
 def _all() -> tuple[dict[str, Query], dict[str, str]]:
     from cobbler.plans import domain_queries  # noqa: F401  registers its own
 

@@ -83,6 +83,15 @@ def test_word_similarity_of_every_title(spark, tmp_path):
     assert got == {i: None if t is None else best(t) for i, t in enumerate(titles)}
 
 
+def test_fold_of_every_brand(spark, tmp_path):
+    from cobbler.plans.catalogue import Catalogue
+    from cobbler.plans.catalogue_queries import fold_every_brand_case
+
+    brands = ["Žešus-9", "361°", "Øre", "Челси", None, "", "Đak"]
+    spark.createDataFrame([(i, 1, None, None, None, b, *[None] * 10) for i, b in enumerate(brands)], OFFERS).write.parquet(f"{tmp_path}/normalized_offer.parquet")
+    assert rows(fold_every_brand_case(Catalogue(spark, str(tmp_path)))) == [(0, "Zesus-9"), (1, "361°"), (2, "Ore"), (3, "Челси"), (5, ""), (6, "Dak")]
+
+
 def brute(members, links):
     """Clusters by walking every pair in order of confidence and ids."""
     at = {r[0]: {r[0]} for r in members}

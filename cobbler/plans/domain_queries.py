@@ -171,6 +171,22 @@ def upsert_offers(cat: Catalogue) -> DataFrame:
     return upsert.upsert(old, new, ["shop_id", "external_id"], keep=["currency", "first_seen_at"])
 
 
+@query(
+    """WITH n AS (SELECT shop_id, external_id, arg_max(struct_pack(price := price_minor, currency := currency, first_seen_at := observed_at), (observed_at, ingested_at, price_minor, coalesce(currency, ''))) AS r
+      FROM offer_snapshot WHERE shop_id IS NOT NULL AND external_id IS NOT NULL AND price_minor IS NOT NULL GROUP BY ALL)
+    SELECT coalesce(o.shop_id, n.shop_id) AS shop_id, coalesce(o.external_id, n.external_id) AS external_id, CASE WHEN n.r IS NULL THEN o.price_minor ELSE n.r.price END AS price,
+      CASE WHEN o.offer_id IS NULL THEN n.r.currency ELSE o.currency END AS currency, CASE WHEN o.offer_id IS NULL THEN n.r.first_seen_at ELSE o.first_seen_at END AS first_seen_at
+    FROM normalized_offer o FULL JOIN n ON o.shop_id = n.shop_id AND o.external_id = n.external_id"""
+)
+def upsert_latest_readings(cat: Catalogue) -> DataFrame:
+    """Every listing with the price of its latest reading that has one; listings known by readings alone are added."""
+    old = cat.raw("normalized_offer").select("shop_id", "external_id", F.col("price_minor").alias("price"), "currency", "first_seen_at")
+    r = cat.raw("offer_snapshot").where("shop_id is not null and external_id is not null and price_minor is not null")
+    last = F.max_by(F.struct(F.col("price_minor").alias("price"), "currency", F.col("observed_at").alias("first_seen_at")), F.struct("observed_at", "ingested_at", "price_minor", F.coalesce("currency", F.lit(""))))
+    new = r.groupBy("shop_id", "external_id").agg(last.alias("r")).select("shop_id", "external_id", "r.*")
+    return upsert.upsert(old, new, ["shop_id", "external_id"], keep=["currency", "first_seen_at"])
+
+
 @query("WITH n AS (SELECT offer_id, size_id, true AS in_stock FROM normalized_size WHERE offer_id % 5 = 0 AND size_id % 2 = 0) SELECT offer_id, size_id, in_stock FROM normalized_size WHERE offer_id NOT IN (SELECT offer_id FROM n) UNION ALL SELECT * FROM n")
 def replace_sizes(cat: Catalogue) -> DataFrame:
     """Sizes of the listings read again are replaced as a whole."""

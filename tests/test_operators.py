@@ -92,6 +92,21 @@ def test_fold_of_every_brand(spark, tmp_path):
     assert rows(fold_every_brand_case(Catalogue(spark, str(tmp_path)))) == [(0, "Zesus-9"), (1, "361°"), (2, "Ore"), (3, "Челси"), (5, ""), (6, "Dak")]
 
 
+def test_upsert_of_latest_readings(spark, tmp_path):
+    from datetime import datetime
+
+    from cobbler.plans.catalogue import Catalogue
+    from cobbler.plans.domain_queries import upsert_latest_readings
+
+    t = [datetime(2026, 1, d) for d in range(1, 5)]
+    offers = [(i, 1, f"e{i}", *[None] * 7, 100, None, "BAM", True, t[0], t[0]) for i in (1, 2, 3)]
+    spark.createDataFrame(offers, OFFERS).write.parquet(f"{tmp_path}/normalized_offer.parquet")
+    readings = [(1, "e3", 200, "EUR", t[1], t[1]), (1, "e3", 300, "EUR", t[2], t[2]), (1, "e3", None, "EUR", t[3], t[3]), (1, "e9", 50, "EUR", t[1], t[1])]
+    spark.createDataFrame(readings, "shop_id int, external_id string, price_minor int, currency string, observed_at timestamp, ingested_at timestamp").write.parquet(f"{tmp_path}/offer_snapshot.parquet")
+    got = [(r.external_id, r.price, r.currency) for r in upsert_latest_readings(Catalogue(spark, str(tmp_path))).orderBy("external_id").collect()]
+    assert got == [("e1", 100, "BAM"), ("e2", 100, "BAM"), ("e3", 300, "BAM"), ("e9", 50, "EUR")]
+
+
 def brute(members, links):
     """Clusters by walking every pair in order of confidence and ids."""
     at = {r[0]: {r[0]} for r in members}

@@ -16,9 +16,11 @@ rows, chosen by hash of their id (a documented bound); the chart is a fixed tabl
 of rows, refused beyond ``MOST_CHART_ROWS`` and broadcast.
 
 Defined results.  A label without a digit names no size and gets the status 'none'; a null label
-likewise.  A row that occurs twice comes out once.  A unit whose number the chart does not have
-gets the status 'review' and no size.  Empty tables give empty results; without stated rows to
-learn from, unstated rows are taken as EU if in the chart's range, else reviewed.
+likewise.  A row that occurs twice comes out once.  A US, UK or foot number that the chart does not
+have gets the status 'review' and no size; an EU number must be a whole size, a half or a third
+within the chart's range, else it keeps its size and gets 'review'.  Blanks of every kind are
+blanks.  Empty tables give empty results; without stated rows to fit on and to calibrate by, the
+confidence of unstated rows is 0 and they are reviewed.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cobbler.functions.text import BLANK
 from cobbler.plans.durable import written
 
 #: Calibrated confidence from which a predicted unit is believed.
@@ -40,8 +43,11 @@ TREES, DEPTH, SEED = 12, 8, 7
 MOST_CHART_ROWS = 10_000
 
 UNITS = ("EU", "EU10", "US", "UK", "MM", "CM", "IN")
-# How labels name their units, tried in this order on the lower-case label.
-UNIT_MARKS = (("MM", r"\d\s*mm\b|mondo"), ("CM", r"cm\b|stopalo|dužina|duzina|\bjp"), ("IN", r"\binch|\d\s*inch|\d\s*in\b|[\"″”]"), ("UK", r"uk|\beng\b|\beng\."), ("US", r"usa?\b|\bus"), ("EU", r"eur|eu|\bbr\b|\bbr\.|veličina|velicina"))
+# How labels name their units, tried in this order on the lower-case label.  A mark is a word: no letter beside it.
+UNIT_MARKS = (
+    ("MM", ("mm", "mondo")), ("CM", ("cm", "stopalo", "dužina", "duzina", "jp")), ("IN", ("inch", "in", '"', "″", "”")),
+    ("UK", ("uk", "eng")), ("US", ("usa", "us")), ("EU", ("eur", "eu", "br", "veličina", "velicina")),
+)
 FRACTIONS = {"½": " 1/2", "⅓": " 1/3", "⅔": " 2/3", "¼": " 1/4", "¾": " 3/4"}
 
 
@@ -50,15 +56,17 @@ def parsed_label(raw: str) -> tuple[Column, Column]:
     c = F.lower(F.col(raw))
     for sign, text in FRACTIONS.items():
         c = F.replace(c, F.lit(sign), F.lit(text))
-    c = F.replace(c, F.lit(","), F.lit("."))
+    # Java's white space knows no blank beyond ASCII
+    c = F.regexp_replace(F.replace(c, F.lit(","), F.lit(".")), BLANK, " ")
     # six digits are beyond any size in any unit; longer strings would be infinite
     whole = F.regexp_extract(c, r"(\d{1,6}(?:\.\d{1,6})?)", 1).try_cast("double")
     part = F.regexp_extract(c, r"\d[\s-]+(\d)/(\d)", 1).try_cast("double")
     of = F.regexp_extract(c, r"\d[\s-]+(\d)/(\d)", 2).try_cast("double")
     number = whole + F.coalesce(F.try_divide(part, of), F.lit(0.0))
     unit = F.lit(None).cast("string")
-    for name, mark in reversed(UNIT_MARKS):
-        unit = F.when(c.rlike(mark), F.lit(name)).otherwise(unit)
+    for name, marks in reversed(UNIT_MARKS):
+        any_mark = "|".join(rf"(?<!\p{{L}}){m}(?!\p{{L}})" if m.isalpha() else m for m in marks)
+        unit = F.when(c.rlike(any_mark), F.lit(name)).otherwise(unit)
     return number, F.when((unit == "EU") & (number >= 100), F.lit("EU10")).otherwise(unit)
 
 
@@ -141,16 +149,16 @@ def _weighed(df: DataFrame) -> DataFrame:
     return df.withColumns({"p": F.coalesce(F.try_divide(best, total), F.lit(0.0)), "best": F.array_position("votes", best) - 1})
 
 
-def _predict(rows: DataFrame, ranges: dict[str, tuple[float, float]], chart: DataFrame) -> DataFrame:
+def _predict(rows: DataFrame, chart: DataFrame) -> DataFrame:
     """``rows`` with ``unit`` and calibrated ``confidence`` for rows whose unit is not stated."""
     code = {u: float(i) for i, u in enumerate(UNITS)}
     label = F.create_map(*[F.lit(x) for u in UNITS for x in (u, code[u])])[F.col("stated")]
     stated = rows.where("stated is not null")
     n = stated.count()
     loose = rows.where("stated is null")
-    if n < 20:
-        inside = F.col("number").between(*ranges["EU"])
-        return loose.withColumns({"unit": F.lit("EU"), "confidence": F.when(inside, 1.0).otherwise(0.0)})
+    unknown = loose.withColumns({"unit": F.lit("EU"), "confidence": F.lit(0.0)})
+    if n == 0:
+        return unknown
     step = 1_000_000
     bar = step if n <= FIT_ROWS else int(step * FIT_ROWS / n)
     spans = F.broadcast(_audience_ranges(chart).withColumnRenamed("gender", "span_of"))  # one row per audience of the checked chart
@@ -159,23 +167,23 @@ def _predict(rows: DataFrame, ranges: dict[str, tuple[float, float]], chart: Dat
     fit = stated.where(F.pmod(F.xxhash64("size_id"), F.lit(step)) < bar).withColumn("label", label)
     fit = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(with_spans(fit)).select("size_id", "label", "features", "feasible").cache()
     held = F.pmod(F.xxhash64("size_id", F.lit(1)), F.lit(4)) == 0
+    if fit.where(~held).isEmpty() or fit.where(held).isEmpty():
+        fit.unpersist()
+        return unknown
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxBins=64, maxMemoryInMB=64).fit(fit.where(~held))
     seen = _weighed(model.transform(fit.where(held))).select("p", ((F.col("best") == F.col("label")) & (F.col("p") > 0)).cast("double").alias("label"), F.lit(1.0).alias("weight"))
-    iso = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight").fit(seen) if not fit.where(held).isEmpty() else None
+    iso = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight").fit(seen)
     fit.unpersist()
     loose = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(with_spans(loose))
     out = _weighed(model.transform(loose))
     names = F.array(*[F.lit(u) for u in UNITS])
     out = out.withColumn("unit", F.get(names, F.col("best").cast("int")))
-    if iso is None:
-        out = out.withColumn("confidence", F.col("p"))
-    else:
-        # the calibration is a step function with few steps
-        xs, ys = [float(x) for x in iso.boundaries], [float(y) for y in iso.predictions]
-        at = F.array_size(F.filter(F.array(*map(F.lit, xs)), lambda x: x <= F.col("p")))
-        # less sure than anything seen while calibrating: the raw votes, at most the first step
-        low = F.least(F.col("p"), F.lit(ys[0]))
-        out = out.withColumn("confidence", F.when(at == 0, low).otherwise(F.get(F.array(*map(F.lit, ys)), at - 1)))
+    # the calibration is a step function with few steps
+    xs, ys = [float(x) for x in iso.boundaries], [float(y) for y in iso.predictions]
+    at = F.array_size(F.filter(F.array(*map(F.lit, xs)), lambda x: x <= F.col("p")))
+    # less sure than anything seen while calibrating: the raw votes, at most the first step
+    low = F.least(F.col("p"), F.lit(ys[0]))
+    out = out.withColumn("confidence", F.when(at == 0, low).otherwise(F.get(F.array(*map(F.lit, ys)), at - 1)))
     return out.drop("features", "rawPrediction", "probability", "prediction", "p", "best", "votes", "feasible")
 
 
@@ -188,7 +196,7 @@ def to_eu_sizes(sizes: DataFrame, offers: DataFrame, chart: DataFrame, confident
     rows = written(_featured(sizes, offers, ranges), "sizes")
     cols = ["size_id", "size_eu", "number", "gender", "unit", "how", "confidence"]
     stated = rows.where("stated is not null").withColumns({"unit": F.col("stated"), "how": F.lit("stated"), "confidence": F.lit(1.0)}).select(cols)
-    guessed = _predict(rows, ranges, chart).withColumn("how", F.lit("predicted")).select(cols)
+    guessed = _predict(rows, chart).withColumn("how", F.lit("predicted")).select(cols)
     every = stated.unionByName(guessed)
     foot = F.when(F.col("unit") == "MM", F.round("number")).when(F.col("unit") == "CM", F.round(F.col("number") * 10)).when(F.col("unit") == "IN", F.round(F.col("number") * 25.4))
     every = every.withColumns(
@@ -202,5 +210,8 @@ def to_eu_sizes(sizes: DataFrame, offers: DataFrame, chart: DataFrame, confident
     found = every.join(k, (F.col("ku") == k["cu"]) & (F.col("kg") == k["cg"]) & (F.col("kn") == k["cn"]), "left")
     eu = F.when(F.col("unit") == "EU", F.round(F.col("number") * 100)).when(F.col("unit") == "EU10", F.round(F.col("number") * 10)).otherwise(F.col("ce")).cast("int")
     out = found.select("size_id", "size_eu", "unit", "how", "confidence", eu.alias("eu_x100"))
-    sure = (F.col("confidence") >= confident) & F.col("eu_x100").isNotNull()
+    # EU numbers are not looked up: the chart leaves out thirds; a size is whole, a half or a third within its range
+    low, high = (F.lit(round(x * 100)) for x in ranges["EU"])
+    sound = ~F.col("unit").isin("EU", "EU10") | (F.col("eu_x100").between(low, high) & F.pmod("eu_x100", F.lit(100)).isin(0, 33, 50, 67))
+    sure = (F.col("confidence") >= confident) & F.col("eu_x100").isNotNull() & sound
     return out.select("size_id", "size_eu", "unit", "how", "confidence", F.when(sure, "converted").otherwise("review").alias("status"), "eu_x100")

@@ -289,3 +289,21 @@ def test_units(spark):
 def test_units_of_nothing(spark):
     offers = spark.createDataFrame([], "offer_id long, gender string, shop_id int")
     assert to_eu_sizes(spark.createDataFrame([], SIZES), offers, chart(spark)).count() == 0
+
+
+def test_unit_labels_with_odd_blanks_words_and_numbers(spark):
+    offers = spark.createDataFrame([(1, "men", 1)], "offer_id long, gender string, shop_id int")
+    labels = ["EU 44\u00a02/3", "44\u202f1/3 EU", "veličina\u00a043\u30001/2", "EU 44\u20092/3", "EU 43.2", "EU 99", "EU 420", "basic 9", "Duke 8", "neu 41", "JP 25,5 cm"]
+    data = [(i, 1, x, None, None, None, None, None, None) for i, x in enumerate(labels)]
+    got = {r.size_id: r for r in to_eu_sizes(spark.createDataFrame(data, SIZES), offers, chart(spark)).collect()}
+    assert [(got[i].eu_x100, got[i].status) for i in (0, 1, 2, 3, 6, 10)] == [(4467, "converted"), (4433, "converted"), (4350, "converted"), (4467, "converted"), (4200, "converted"), (4100, "converted")]
+    # an EU number off the grid or the chart, and numbers beside words that only hold a unit's letters
+    assert [got[i].status for i in (4, 5)] == ["review"] * 2
+    assert [got[i].how for i in (7, 8, 9)] == ["predicted"] * 3
+
+
+def test_units_without_stated_rows_are_reviewed(spark):
+    offers = spark.createDataFrame([(1, "men", 1)], "offer_id long, gender string, shop_id int")
+    data = [(i, 1, str(40 + i), None, None, None, None, None, None) for i in range(5)]
+    got = to_eu_sizes(spark.createDataFrame(data, SIZES), offers, chart(spark)).collect()
+    assert len(got) == 5 and all(r.status == "review" and r.confidence == 0.0 for r in got)

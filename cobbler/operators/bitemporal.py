@@ -3,17 +3,19 @@
 ``bitemporal_ledger`` turns readings (entity key, valid time, recorded time, attributes) into
 rows ``[valid_from, valid_to) x [recorded_from, recorded_to)``.  A late reading splits the
 interval it falls into: the overlapped row is closed in recorded time and shorter ones are
-opened; no row is overwritten.  ``versions`` reads off what is believed now: the unbroken
-runs of equal attributes.
-
-How it scales.  Keys with more readings than ``chunk_rows`` are cut into stretches of valid time
-at quantiles of their readings, so a key that holds a third of all rows is spread over as many
-tasks as its rows need; rows are then hash-partitioned by (key, stretch).  Which keys are cut,
-and where, is decided once per plan from a count over all rows; that table has at most
-``MOST_CUTS`` rows whatever the input, so it may be broadcast.  Each stretch is swept from its
-latest valid time to its earliest with a stack of the readings known so far (amortised O(1) a
-row).  What a stretch can't know (the state before its first reading, a successor in a later
-stretch) leaves it as a few border rows, which are stitched by key.
+opened; no row is overwritten.  ``versions`` reads off what is believed now: of the swept rows
+those that are open in recorded time, neighbours of equal attributes merged.
+
+How it scales.  Readings are range-partitioned by (key, valid time), so a key that holds a third of
+all rows is spread over as many tasks as its rows need; which task gets what is Spark's own sampled
+split, and no cut points are kept or broadcast.  A task is a stretch of valid time of its first and
+its last key, and holds all of the keys between.  Each stretch is swept from its latest valid time
+to its earliest with a stack of the readings known so far (amortised O(1) a row).  What a stretch
+can't know (a successor in a later stretch) leaves it as border rows: readings still open
+towards later stretches, and the prefix minima that earlier stretches need.  Border rows are
+range-partitioned again and settled by the same sweep in fewer tasks, until one task is enough.
+They are few where readings come roughly in order; readings delivered wholly backwards leave one
+prefix minimum each, and the last round then holds them all.
 
 Defined results.  Readings with a null key part, a null valid time or a null attribute that is
 ``required`` say nothing and are left out; a null recorded time counts as the valid time, and a
@@ -25,6 +27,8 @@ empty ledger.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,39 +37,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cobbler.plans.durable import written
 
-#: Readings of one key beyond which its valid time is cut; the most cuts in all.
-CHUNK_ROWS, MOST_CUTS = 200_000, 100_000
+#: Border rows that one task settles, as long as there is more than one.
+SETTLED_ROWS = 200_000
+#: What an emitted row is: a ledger row, a reading open towards later stretches, a prefix minimum for
+#: earlier ones; the start of a version; the first and the last reading believed now of a stretch.
+ROW, OPEN, MINIMUM, VERSION, FIRST, LAST = range(6)
 
 
-def _readings(df: DataFrame, keys: list[str], valid: str, recorded: str, attrs: list[str], required: list[str], chunk_rows: int) -> DataFrame:
+def _readings(df: DataFrame, keys: list[str], valid: str, recorded: str, attrs: list[str], required: list[str]) -> DataFrame:
     v = F.unix_micros(F.col(valid).cast("timestamp"))
     r = F.greatest(F.coalesce(F.unix_micros(F.col(recorded).cast("timestamp")), v), v)
     kept = df.where(F.col(valid).isNotNull())
     for c in [*keys, *required]:
         kept = kept.where(F.col(c).isNotNull())
-    out = kept.select(F.struct(*[F.col(k) for k in keys]).alias("_k"), v.alias("_v"), r.alias("_r"), F.struct(*[F.col(a) for a in attrs]).alias("_s"))
-    counts = out.groupBy("_k").count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    chunk_rows = max(chunk_rows, total // MOST_CUTS)
-    hot = counts.where(F.col("count") > chunk_rows)
-    if hot.isEmpty():
-        return out.withColumn("_c", F.lit(0)).withColumn("_n", F.lit(0))
-    # at most total / chunk_rows keys, and as many cuts again: bounded by MOST_CUTS
-    share = F.expr(f"transform(sequence(1, cast(ceil(_w / {chunk_rows}) as int) - 1), i -> i / ceil(_w / {chunk_rows}))")
-    wide = out.join(F.broadcast(hot.select("_k", F.col("count").alias("_w"))), "_k")
-    # quantiles from a histogram by equal steps of valid time would follow the spread, not the rows; take ranks of a thinned set
-    thin = max(1, chunk_rows // 200)
-    ranks = wide.where(F.pmod(F.xxhash64("_v"), F.lit(thin)) == 0).groupBy("_k", "_w").agg(F.array_sort(F.collect_set("_v")).alias("_x")).withColumn("_q", share)
-    cuts = ranks.select("_k", F.expr("array_distinct(transform(_q, q -> get(_x, cast(floor(q * size(_x)) as int))))").alias("_b")).where("_b[0] is not null")
-    spark = df.sparkSession
-    cuts = spark.createDataFrame(cuts.toArrow(), cuts.schema)
-    return (
-        out.join(F.broadcast(cuts), "_k", "left")
-        .withColumn("_c", F.coalesce(F.expr("size(filter(_b, b -> b <= _v))"), F.lit(0)) * F.col("_b").isNotNull().cast("int"))
-        .withColumn("_n", F.when(F.col("_b").isNull(), 0).otherwise(F.size("_b")))
-        .drop("_b")
-    )
+    return kept.select(F.struct(*[F.col(k) for k in keys]).alias("_k"), v.alias("_v"), r.alias("_r"), F.struct(*[F.col(a) for a in attrs]).alias("_s"))
 
 
 def _changes(a: pa.StructArray) -> np.ndarray:
@@ -85,7 +72,7 @@ def _sweep(v: np.ndarray, r: np.ndarray, last: bool) -> tuple[list[int], list[in
     """Ledger rows of one key's readings, in order of valid time (one reading a valid time and recorded time).
 
     Returns index, valid_to, recorded_from, recorded_to (-1: open or unbounded) of the rows; indices and
-    recorded bounds of what stays open towards later stretchs; and the prefix minima (valid, recorded)
+    recorded bounds of what stays open towards later stretches; and the prefix minima (valid, recorded)
     that earlier stretches need.  ``last`` tells that the key may go on in a later stretch.
     """
     idx: list[int] = []
@@ -142,166 +129,196 @@ def _flat(x: pa.ChunkedArray | pa.Array) -> pa.Array:
     return x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
 
 
-def _ledger_batches(mode: str):
-    """``mode``: 'all' gives every ledger row, 'now' only those believed now, 'edge' only border rows."""
+def _settled(kind: list[int], v: list[int], r: list[int], known: list[int], last: bool) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
+    """Walks one key's border rows from the latest valid time to the earliest; of one valid time open rows come last in the lists.
 
-    def emit(block: pa.Table) -> Iterator[pa.RecordBatch]:
-        """``block`` holds whole stretches, sorted."""
-        k, s = _flat(block.column("_k")), _flat(block.column("_s"))
-        v, r, c, n = (block.column(x).to_numpy() for x in ("_v", "_r", "_c", "_n"))
-        new = _changes(k)
-        new[1:] |= c[1:] != c[:-1]
-        keep = np.ones(len(v), dtype=bool)  # exact repeats, and equal recorded times of one valid time: the last stays
-        keep[:-1] = new[1:] | (v[1:] != v[:-1]) | (r[1:] != r[:-1])
-        if not keep.all():
-            rows = np.flatnonzero(keep)
-            k, s, v, r, c, n = k.take(pa.array(rows)), s.take(pa.array(rows)), v[rows], r[rows], c[rows], n[rows]
-            new = _changes(k)
-            new[1:] |= c[1:] != c[:-1]
-        starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(v))
-        final = np.ones(len(v), dtype=bool)  # believed now: the last recorded reading of each valid time
-        final[:-1] = new[1:] | (v[1:] != v[:-1])
-        at = np.flatnonzero(final)
-        first = np.searchsorted(at, starts)  # of each stretch, in at
-        opens = np.zeros(len(v), dtype=np.int8)
-        opens[at] = _changes(s.take(pa.array(at)))
-        opens[at[first]] = np.where(c[starts] > 0, 2, 1)  # 2: depends on the stretch before
-        parts: list[tuple[np.ndarray, ...]] = []
-
-        def add(i, to, rf, rt, kind: int) -> None:
-            parts.append((*(np.asarray(x, dtype=np.int64) for x in (i, to, rf, rt)), np.full(len(i), kind, dtype=np.int8)))
-
-        if mode == "now":
-            later = np.append(at[1:], -1)
-            same = np.ones(len(at), dtype=bool)
-            same[np.append(first[1:], len(at)) - 1] = False
-            add(at, np.where(same, v[later], -1), np.where(same, np.maximum(r[at], r[later]), r[at]), np.full(len(at), -1), 0)
-        else:
-            for g, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-                idx, to, rf, rt, pend, pend_to, minima = _sweep(v[a:b], r[a:b], bool(c[a] < n[a]))
-                if mode == "all":
-                    add(np.asarray(idx, dtype=np.int64) + a, to, rf, rt, 0)
-                    continue
-                p = np.asarray(pend, dtype=np.int64) + a
-                add(p, np.full(len(p), -1), r[p], pend_to, 1)  # 1: open towards later stretches
-                add([a] * len(minima), [x for x, _ in minima], [y for _, y in minima], [-1] * len(minima), 2)  # 2: prefix minima, for earlier stretches
-                lead, tail = at[first[g]], at[np.searchsorted(at, b) - 1]
-                add([lead], [-1], [r[lead]], [-1], 3)  # 3 and 4: first and last reading believed now
-                add([tail], [-1], [r[tail]], [-1], 4)
-        i, to, rf, rt, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
-        none = lambda x: pa.array(x, mask=x < 0)
-        yield pa.RecordBatch.from_arrays(
-            [k.take(pa.array(i)), s.take(pa.array(i)), pa.array(v[i]), none(to), pa.array(rf), none(rt), pa.array(opens[i]), pa.array(kind), pa.array(c[i].astype(np.int32))],
-            names=["_k", "_s", "valid_from", "valid_to", "recorded_from", "recorded_to", "opens", "kind", "chunk"],
-        )
+    Returns ledger rows (index, valid_to, recorded_from, recorded_to), what is still open (index, recorded_to)
+    and the prefix minima.
+    """
+    rows, still = [], []
+    vs: list[int] = []  # the stack, its top last: valid times fall, recorded times rise
+    rs: list[int] = []
+    end = v[-1]
+    for i in range(len(v) - 1, -1, -1):
+        if kind[i] == MINIMUM:
+            while rs and rs[-1] >= r[i]:
+                rs.pop()
+                vs.pop()
+            vs.append(v[i])
+            rs.append(r[i])
+            continue
+        at = known[i]
+        for j in range((len(rs) if at == -1 else bisect_left(rs, at)) - 1, -1, -1):
+            start = max(rs[j], r[i])
+            rows.append((i, vs[j], start, at))
+            at = start
+            if rs[j] <= r[i]:
+                break
+        if at == -1 or at > r[i]:
+            if last and (at == -1 or at > end):
+                still.append((i, at))
+            else:
+                rows.append((i, -1, r[i], at))
+    return rows, still, list(zip(vs, rs, strict=True))[::-1]
+
+
+def _flat(x: pa.ChunkedArray | pa.Array) -> pa.Array:
+    x = x.combine_chunks()
+    return x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+
+
+def _batch(k: pa.Array, s: pa.Array, v: np.ndarray, parts: list[tuple]) -> pa.RecordBatch:
+    """``parts``: (index, valid_to, recorded_from, recorded_to, kind), and for minima (index, valid time, recorded time)."""
+    i, to, rf, rt = (np.concatenate([np.asarray(p[n], dtype=np.int64) for p in parts]) for n in range(4))
+    kind = np.concatenate([np.full(len(p[0]), p[4], dtype=np.int8) for p in parts])
+    at = np.where(kind == MINIMUM, to, v[i])
+    none = lambda x: pa.array(x, mask=x < 0)
+    to = np.where(kind == MINIMUM, -1, to)
+    return pa.RecordBatch.from_arrays([k.take(pa.array(i)), s.take(pa.array(i)), pa.array(at), none(to), pa.array(rf), none(rt), pa.array(kind)], names=["_k", "_s", "valid_from", "valid_to", "recorded_from", "recorded_to", "kind"])
+
+
+def _by_key(emit):
+    """Feeds ``emit(block, first, last)`` blocks of whole keys; first and last tell that it holds the task's first or last key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        first = True
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            a, b = held[0], batch
-            if a.column("_k")[0] != b.column("_k")[-1] or a.column("_c")[0] != b.column("_c")[-1]:
+            if held[0].column("_k")[0] != batch.column("_k")[-1]:
                 block = pa.Table.from_batches(held)
-                new = _changes(_flat(block.column("_k")))
-                c = block.column("_c").to_numpy()
-                new[1:] |= c[1:] != c[:-1]
-                cut = int(np.flatnonzero(new)[-1])
-                yield from emit(block.slice(0, cut))
+                cut = int(np.flatnonzero(_changes(_flat(block.column("_k"))))[-1])
+                yield emit(block.slice(0, cut), first, False)
+                first = False
                 held = block.slice(cut).combine_chunks().to_batches()
         if held:
-            yield from emit(pa.Table.from_batches(held))
+            yield emit(pa.Table.from_batches(held), first, True)
 
     return run
 
 
+def _sweeping(versions: bool):
+    """Sweeps readings: ledger rows and border rows, or the versions believed now and what stitches them."""
+
+    def emit(block: pa.Table, first: bool, last: bool) -> pa.RecordBatch:
+        k, s = _flat(block.column("_k")), _flat(block.column("_s"))
+        v, r = (block.column(x).to_numpy() for x in ("_v", "_r"))
+        new = _changes(k)
+        keep = np.ones(len(v), dtype=bool)  # exact repeats, and equal recorded times of one valid time: the last stays
+        keep[:-1] = new[1:] | (v[1:] != v[:-1]) | (r[1:] != r[:-1])
+        if not keep.all():
+            rows = np.flatnonzero(keep)
+            k, s, v, r = k.take(pa.array(rows)), s.take(pa.array(rows)), v[rows], r[rows]
+            new = _changes(k)
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(v))
+        idx, to, rf, rt, open_, open_to, minima = [], [], [], [], [], [], []
+        for g, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+            i, t, f, u, p, pt, m = _sweep(v[a:b], r[a:b], last and g == len(starts) - 1)
+            idx += [x + a for x in i] if a else i
+            to += t
+            rf += f
+            rt += u
+            open_ += [x + a for x in p]
+            open_to += pt
+            if first and g == 0:
+                minima = m
+        if not versions:
+            border = [(open_, [-1] * len(open_), r[open_] if open_ else [], open_to, OPEN), ([0] * len(minima), [x for x, _ in minima], [y for _, y in minima], [-1] * len(minima), MINIMUM)]
+            return _batch(k, s, v, [(idx, to, rf, rt, ROW), *border])
+        # the swept rows that nothing has closed, one for each valid time
+        rows, closed = np.asarray(idx, dtype=np.int64), np.asarray(rt, dtype=np.int64)
+        now = np.sort(np.concatenate([rows[closed == -1], np.asarray([i for i, t in zip(open_, open_to, strict=True) if t == -1], dtype=np.int64)]))
+        owner = np.searchsorted(starts, now, side="right")
+        begin = _changes(s.take(pa.array(now)))
+        begin[1:] |= owner[1:] != owner[:-1]
+        parts = []
+        if first:
+            begin[0] = False  # depends on the stretch before
+            parts.append((now[:1], [-1], r[now[:1]], [-1], FIRST))
+        if last:
+            parts.append((now[-1:], [-1], r[now[-1:]], [-1], LAST))
+        inner = now[begin]
+        return _batch(k, s, v, [(inner, np.full(len(inner), -1), r[inner], np.full(len(inner), -1), VERSION), *parts])
+
+    return _by_key(emit)
+
+
+def _settling(more: bool):
+    """Settles border rows; ``more`` tells that other tasks may hold later ones of the last key."""
+
+    def emit(block: pa.Table, first: bool, last: bool) -> pa.RecordBatch:
+        k, s = _flat(block.column("_k")), _flat(block.column("_s"))
+        v, r = (block.column(x).to_numpy() for x in ("valid_from", "recorded_from"))
+        kind = block.column("kind").to_numpy()
+        known = _flat(block.column("recorded_to")).fill_null(-1).to_numpy()
+        starts = np.flatnonzero(_changes(k))
+        parts = [([], [], [], [], ROW)]
+        for g, (a, b) in enumerate(zip(starts.tolist(), np.append(starts[1:], len(v)).tolist(), strict=True)):
+            rows, still, minima = _settled(*(x[a:b].tolist() for x in (kind, v, r, known)), more and last and g == len(starts) - 1)
+            if rows:
+                i, to, rf, rt = zip(*rows, strict=True)
+                parts.append((np.asarray(i) + a, to, rf, rt, ROW))
+            if still:
+                i, rt = zip(*still, strict=True)
+                i = np.asarray(i) + a
+                parts.append((i, [-1] * len(i), r[i], rt, OPEN))
+            if more and first and g == 0 and minima:
+                parts.append(([a] * len(minima), [x for x, _ in minima], [y for _, y in minima], [-1] * len(minima), MINIMUM))
+        return _batch(k, s, v, parts)
+
+    return _by_key(emit)
+
+
 def _raw(df: DataFrame, keys: list[str], attrs: list[str]) -> T.StructType:
     k = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keys])
     s = T.StructType([T.StructField(c, df.schema[c].dataType) for c in attrs])
-    long = T.LongType()
-    return T.StructType([T.StructField("_k", k), T.StructField("_s", s), T.StructField("valid_from", long), T.StructField("valid_to", long), T.StructField("recorded_from", long), T.StructField("recorded_to", long), T.StructField("opens", T.ByteType()), T.StructField("kind", T.ByteType()), T.StructField("chunk", T.IntegerType())])
+    return T.StructType([T.StructField("_k", k), T.StructField("_s", s), *[T.StructField(c, T.LongType()) for c in ("valid_from", "valid_to", "recorded_from", "recorded_to")], T.StructField("kind", T.ByteType())])
 
 
 class Ledger:
-    """Lazily planned ledger of ``df``; the methods give DataFrames."""
+    """Ledger of ``df``; the methods sweep it and give DataFrames.  ``stretches``: tasks of the sweep, the session's shuffle partitions if None."""
 
-    def __init__(self, df: DataFrame, keys: list[str], valid: str, recorded: str, attrs: list[str], required: list[str] | None = None, chunk_rows: int = CHUNK_ROWS):
-        self.keys, self.attrs = keys, attrs
-        self.readings = _readings(df, keys, valid, recorded, attrs, required or [], chunk_rows)
+    def __init__(self, df: DataFrame, keys: list[str], valid: str, recorded: str, attrs: list[str], required: list[str] | None = None, stretches: int | None = None):
+        self.keys, self.attrs, self.stretches = keys, attrs, stretches
+        self.readings = _readings(df, keys, valid, recorded, attrs, required or [])
         self.schema = _raw(df, keys, attrs)
 
-    def _run(self, mode: str) -> DataFrame:
-        df = self.readings.where("_n > 0") if mode == "edge" else self.readings
-        return df.repartition("_k", "_c").sortWithinPartitions("_k", "_c", "_v", "_r", "_s").mapInArrow(_ledger_batches(mode), self.schema)
+    def _sorted(self, df: DataFrame, tasks: int | None, *order: str | Column) -> DataFrame:
+        by = [F.col("_k").getField(k) for k in self.keys]
+        at = order[0]
+        spread = df.repartitionByRange(tasks, *by, at) if tasks else df.repartitionByRange(*by, at)
+        return spread.sortWithinPartitions(*by, *order)
 
-    def _named(self, df: DataFrame, *more: Column) -> DataFrame:
-        return df.select("_k.*", "_s.*", *more)
+    def _swept(self, versions: bool) -> DataFrame:
+        # written before it is read twice: another evaluation may split the range elsewhere
+        return written(self._sorted(self.readings, self.stretches, "_v", "_r", "_s").mapInArrow(_sweeping(versions), self.schema), "ledger")
 
     def rows(self) -> DataFrame:
         """Every ledger row: keys, attributes, valid_from, valid_to, recorded_from, recorded_to (null: unbounded)."""
-        edge = self._run("edge")
-        # prefix minima over all later stretchs of a key: a few per partition, by key and partition
-        ks, chunk = T.StructField("_k", self.schema["_k"].dataType), T.StructField("chunk", T.IntegerType())
-        later = T.StructType([ks, chunk, T.StructField("mv", T.ArrayType(T.LongType())), T.StructField("mr", T.ArrayType(T.LongType()))])
-        names = [f.name for f in self.schema["_k"].dataType]
-        flat = lambda d: d.select(*[F.col(f"_k.{n}").alias(f"k{i}") for i, n in enumerate(names)], *[c for c in d.columns if c != "_k"])
-        kcols = [f"k{i}" for i in range(len(names))]
-        heads = flat(edge.where("kind = 2 or kind = 4").select("_k", "chunk", "kind", F.col("valid_to").alias("hv"), F.col("recorded_from").alias("hr")))
-
-        def minima(pdf):
-            import pandas as pd
-
-            pdf = pdf.sort_values(["chunk", "hv"])
-            out, now = [], []  # prefix minima of all stretches after the one at hand
-            for c, g in reversed(list(pdf.groupby("chunk", sort=True))):
-                out.append([c, [int(x) for x, _ in now], [int(y) for _, y in now]])
-                own = [(int(x), int(y)) for x, y in zip(g.hv[g.kind == 2], g.hr[g.kind == 2], strict=True)]
-                if own:
-                    low = min(y for _, y in own)
-                    now = own + [(x, y) for x, y in now if y < low]
-            res = pd.DataFrame(out, columns=["chunk", "mv", "mr"])
-            for c in kcols:
-                res.insert(0, c, pdf[c].iloc[0])
-            return res[[*kcols, "chunk", "mv", "mr"]]
-
-        flat_later = T.StructType([*[T.StructField(f"k{i}", f.dataType) for i, f in enumerate(self.schema["_k"].dataType)], *later.fields[1:]])
-        pm = heads.groupBy(*kcols).applyInPandas(minima, flat_later)
-        pend = flat(edge.where("kind = 1"))
-        opened = pend.join(pm, [*kcols, "chunk"], "left")
-        # walk the minima: rows end where the next one was already recorded
-        steps = F.expr(
-            """aggregate(
-                 sequence(1, greatest(size(coalesce(mv, array())), 0) + 1),
-                 named_struct('known', recorded_to, 'done', false, 'rows', cast(array() as array<struct<valid_to: bigint, rf: bigint, rt: bigint>>)),
-                 (a, i) -> case
-                   when a.done then a
-                   when i > size(coalesce(mv, array())) then named_struct('known', a.known, 'done', true, 'rows',
-                        array_append(a.rows, named_struct('valid_to', cast(null as bigint), 'rf', recorded_from, 'rt', a.known)))
-                   when a.known is not null and mr[i - 1] >= a.known then a
-                   else named_struct('known', greatest(mr[i - 1], recorded_from), 'done', mr[i - 1] <= recorded_from, 'rows',
-                        array_append(a.rows, named_struct('valid_to', mv[i - 1], 'rf', greatest(mr[i - 1], recorded_from), 'rt', a.known)))
-                 end,
-                 a -> a.rows)"""
-        )
-        stitched = opened.select(F.struct(*[F.col(c).alias(n) for c, n in zip(kcols, names, strict=True)]).alias("_k"), "_s", "valid_from", F.inline(steps).alias("valid_to", "recorded_from", "recorded_to"))
-        plain = self._run("all").select("_k", "_s", "valid_from", "valid_to", "recorded_from", "recorded_to")
-        both = plain.unionByName(stitched.select(plain.columns))
-        return self._named(both, *[F.timestamp_micros(F.col(c)).alias(c) for c in ("valid_from", "valid_to", "recorded_from", "recorded_to")])
+        swept = self._swept(versions=False)
+        done = swept.where(F.col("kind") == ROW)
+        tasks = self.stretches or int(swept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        while left := (border := swept.where(F.col("kind") != ROW)).count():
+            tasks = max(1, min(math.ceil(left / SETTLED_ROWS), tasks // 2))
+            ordered = self._sorted(border, tasks, "valid_from", F.col("kind").desc())
+            swept = written(ordered.mapInArrow(_settling(tasks > 1), self.schema), "border")
+            done = done.unionByName(swept.where(F.col("kind") == ROW))
+        return done.select("_k.*", "_s.*", *[F.timestamp_micros(F.col(c)).alias(c) for c in ("valid_from", "valid_to", "recorded_from", "recorded_to")])
 
     def versions(self) -> DataFrame:
         """What is believed now: keys, attributes and valid_from_us of each unbroken run of equal attributes."""
-        now = self._run("now")
-        inner = now.where("opens = 1")
-        edge = self._run("edge").where("kind in (3, 4)")
-        w = Window.partitionBy("_k").orderBy("chunk", "kind")
-        first = edge.withColumn("_p", F.lag("_s").over(w)).withColumn("_n", F.row_number().over(w))
-        stitched = first.where("opens = 2 and kind = 3").where((F.col("_n") == 1) | ~F.col("_s").eqNullSafe(F.col("_p")))
-        both = inner.select("_k", "_s", "valid_from").unionByName(stitched.select("_k", "_s", "valid_from"))
-        return self._named(both, F.col("valid_from").alias("valid_from_us"))
+        swept = self._swept(versions=True)
+        # at most two border rows a task: the first reading of a stretch starts a version if the stretch before ends otherwise
+        w = Window.partitionBy("_k").orderBy("valid_from", "kind")
+        border = swept.where(F.col("kind").isin(FIRST, LAST)).withColumns({"_p": F.lag("_s").over(w), "_n": F.row_number().over(w)})
+        stitched = border.where((F.col("kind") == FIRST) & ((F.col("_n") == 1) | ~F.col("_s").eqNullSafe(F.col("_p"))))
+        both = swept.where(F.col("kind") == VERSION).select("_k", "_s", "valid_from").unionByName(stitched.select("_k", "_s", "valid_from"))
+        return both.select("_k.*", "_s.*", F.col("valid_from").alias("valid_from_us"))
 
 
-def bitemporal_ledger(df: DataFrame, keys: list[str], valid: str, recorded: str, attrs: list[str], required: list[str] | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def bitemporal_ledger(df: DataFrame, keys: list[str], valid: str, recorded: str, attrs: list[str], required: list[str] | None = None) -> DataFrame:
     """See the module's text; the ledger rows of all readings."""
-    return Ledger(df, keys, valid, recorded, attrs, required, chunk_rows).rows()
+    return Ledger(df, keys, valid, recorded, attrs, required).rows()

@@ -33,7 +33,8 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """The whole bitemporal ledger: what was believed when about which period."""
-    return bitemporal_ledger(table(spark, sf, "offer_snapshot"), **SNAPSHOT)
+    rows = bitemporal_ledger(table(spark, sf, "offer_snapshot"), **SNAPSHOT)
+    return rows.select("shop_id", "external_id", *SNAPSHOT["attrs"], *[F.unix_micros(c).alias(f"{c}_us") for c in ("valid_from", "valid_to", "recorded_from", "recorded_to")])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -52,6 +53,27 @@ SELECT shop_id, external_id, epoch_us(observed_at) AS valid_from_us FROM stepped
 WHERE p IS NULL OR p <> price_minor OR s <> in_stock OR o IS DISTINCT FROM original_price_minor
 """
 
+# Of each reading, the later readings that were recorded earlier than any between: each shortens what was believed.
+LEDGER_SQL = """
+WITH said AS (
+  SELECT DISTINCT ON (shop_id, external_id, v, r) shop_id, external_id, price_minor, original_price_minor, in_stock, v, r
+  FROM (SELECT *, epoch_us(observed_at) AS v, greatest(coalesce(epoch_us(ingested_at), epoch_us(observed_at)), epoch_us(observed_at)) AS r FROM offer_snapshot)
+  WHERE v IS NOT NULL AND shop_id IS NOT NULL AND external_id IS NOT NULL AND price_minor IS NOT NULL AND in_stock IS NOT NULL
+  ORDER BY shop_id, external_id, v, r, price_minor DESC, original_price_minor DESC NULLS LAST, in_stock DESC),
+reading AS (SELECT *, row_number() OVER () AS n, lead(r) OVER (PARTITION BY shop_id, external_id, v ORDER BY r) AS corrected FROM said),
+later AS (
+  SELECT i.n, i.r, i.corrected, j.v AS to_v, j.r AS to_r, min(j.r) OVER (PARTITION BY i.n ORDER BY j.v, j.r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least
+  FROM reading i JOIN reading j USING (shop_id, external_id) WHERE j.v > i.v),
+cut AS (
+  SELECT n, to_v, greatest(to_r, r) AS since, coalesce(lag(to_r) OVER (PARTITION BY n ORDER BY to_v), corrected) AS until
+  FROM later WHERE (least IS NULL OR to_r < least AND least > r) AND (corrected IS NULL OR to_r < corrected)),
+whole AS (
+  SELECT n, NULL AS to_v, r AS since, coalesce(low, corrected) AS until
+  FROM (SELECT i.n, i.r, i.corrected, min(c.since) AS low FROM reading i LEFT JOIN cut c USING (n) GROUP BY ALL) WHERE coalesce(low, corrected) IS NULL OR coalesce(low, corrected) > r)
+SELECT shop_id, external_id, price_minor, original_price_minor, in_stock, v AS valid_from_us, to_v AS valid_to_us, since AS recorded_from_us, until AS recorded_to_us
+FROM (SELECT * FROM cut UNION ALL SELECT * FROM whole) JOIN reading USING (n)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": P6_SQL}
+    return {"p6_found": P6_SQL, "p6_ledger": LEDGER_SQL}

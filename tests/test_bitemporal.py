@@ -39,11 +39,11 @@ def known(rows, key, at):
     return {v: s for v, (_, s) in best.items()}
 
 
-@pytest.mark.parametrize(("seed", "chunk"), [(1, 100_000), (2, 12), (3, 5)])
-def test_against_brute_force(spark, seed, chunk):
+@pytest.mark.parametrize(("seed", "stretches"), [(1, 1), (2, 5), (3, 23), (4, None)])
+def test_against_brute_force(spark, seed, stretches):
     rows = readings(seed)
     df = spark.createDataFrame(rows, SCHEMA)
-    ledger = Ledger(df, **ARGS, chunk_rows=chunk)
+    ledger = Ledger(df, **ARGS, stretches=stretches)
     off = lambda c: (F.unix_micros(c) - us(T0) - int(T0.timestamp() * 1e6)).alias(c)
     got = [tuple(r) for r in ledger.rows().select("shop", "ext", "price", F.coalesce("was", F.lit(-1)), "stock", *map(off, ("valid_from", "valid_to", "recorded_from", "recorded_to"))).collect()]
     keys = {(s, e) for s, e, *_ in rows if s is not None and e is not None}

@@ -39,8 +39,8 @@ from pyspark.sql import types as T
 
 from cobbler.plans.durable import written
 
-#: Border rows that one task settles, as long as there is more than one.
-SETTLED_ROWS = 200_000
+#: Bytes of files that one stretch holds at most, by the optimizer's estimate; border rows that one task settles, as long as there is more than one.
+STRETCH_BYTES, SETTLED_ROWS = 64 << 20, 200_000
 #: What an emitted row is: a ledger row, a reading open towards later stretches, a prefix minimum for
 #: earlier ones; the start of a version; the first and the last reading believed now of a stretch.
 ROW, OPEN, MINIMUM, VERSION, FIRST, LAST = range(6)
@@ -279,18 +279,18 @@ def _raw(df: DataFrame, keys: list[str], attrs: list[str]) -> T.StructType:
 
 
 class Ledger:
-    """Ledger of ``df``; the methods sweep it and give DataFrames.  ``stretches``: tasks of the sweep, the session's shuffle partitions if None."""
+    """Ledger of ``df``; the methods sweep it and give DataFrames.  ``stretches``: tasks of the sweep; if None, the session's shuffle partitions, or more where the input is large."""
 
     def __init__(self, df: DataFrame, keys: list[str], valid: str, recorded: str, attrs: list[str], required: list[str] | None = None, stretches: int | None = None):
-        self.keys, self.attrs, self.stretches = keys, attrs, stretches
+        self.keys, self.attrs = keys, attrs
         self.readings = _readings(df, keys, valid, recorded, attrs, required or [])
+        size = int(self.readings._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        self.stretches = stretches or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // STRETCH_BYTES, 1_000_000))
         self.schema = _raw(df, keys, attrs)
 
-    def _sorted(self, df: DataFrame, tasks: int | None, *order: str | Column) -> DataFrame:
+    def _sorted(self, df: DataFrame, tasks: int, *order: str | Column) -> DataFrame:
         by = [F.col("_k").getField(k) for k in self.keys]
-        at = order[0]
-        spread = df.repartitionByRange(tasks, *by, at) if tasks else df.repartitionByRange(*by, at)
-        return spread.sortWithinPartitions(*by, *order)
+        return df.repartitionByRange(tasks, *by, order[0]).sortWithinPartitions(*by, *order)
 
     def _swept(self, versions: bool) -> DataFrame:
         # written before it is read twice: another evaluation may split the range elsewhere
@@ -300,7 +300,7 @@ class Ledger:
         """Every ledger row: keys, attributes, valid_from, valid_to, recorded_from, recorded_to (null: unbounded)."""
         swept = self._swept(versions=False)
         done = swept.where(F.col("kind") == ROW)
-        tasks = self.stretches or int(swept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tasks = self.stretches
         while left := (border := swept.where(F.col("kind") != ROW)).count():
             tasks = max(1, min(math.ceil(left / SETTLED_ROWS), tasks // 2))
             ordered = self._sorted(border, tasks, "valid_from", F.col("kind").desc())

@@ -284,8 +284,9 @@ class Ledger:
     def __init__(self, df: DataFrame, keys: list[str], valid: str, recorded: str, attrs: list[str], required: list[str] | None = None, stretches: int | None = None):
         self.keys, self.attrs = keys, attrs
         self.readings = _readings(df, keys, valid, recorded, attrs, required or [])
-        size = int(self.readings._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-        self.stretches = stretches or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // STRETCH_BYTES, 1_000_000))
+        size = int(str(self.readings._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        size = 0 if size >= 1 << 60 else size  # what is no file has no estimate
+        self.stretches = stretches or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // STRETCH_BYTES)
         self.schema = _raw(df, keys, attrs)
 
     def _sorted(self, df: DataFrame, tasks: int, *order: str | Column) -> DataFrame:

@@ -1,21 +1,31 @@
-"""What a product listing says: brand, model, line, version, colours, audience, style code, barcodes."""
+"""What a product listing says: brand, model, line, version, colours, audience, style code, barcodes.
+
+How models and codes are written is learned from the catalogue itself (``Grammar``): the words that close
+the names of many different models are line words, and the shapes in which codes are written in groups
+("AAA9999-999") tell a style from the suffix of its colour, also where a code is written in one piece.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cobbler.functions.text import words
 from cobbler.llm.canonical import Names
 from cobbler.llm.colours import COLOUR_OF
 from cobbler.llm.folding import edit_distance, plain
 
-# Words that close a model's name, Roman version numbers, and words for the audience.
-LINES = "runner trail street glide classic pro dash court retro lite terrain motion".split()
+#: Share of all pairs of a model's first and last word from which the last is a line word, and first words it must close at least.
+LINE_SHARE, LINE_WORDS = 0.005, 3
+#: Share of the codes written in groups from which their shape is a code's shape.
+CODE_SHARE = 0.01
+# Roman version numbers, and words for the audience.
 ROMAN = {"ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9"}
 AUDIENCE = {
     "men": "men mens m muske muski muskarce muskarci herren man uomo homme".split(),
@@ -24,8 +34,8 @@ AUDIENCE = {
     "kids": "kids kid jr djecije decije djecu decu djeca kinder gs bambini enfants".split(),
 }
 AUDIENCE_OF = {w: a for a, ws in AUDIENCE.items() for w in ws}
-#: A manufacturer's style code with its colour suffix, and one without.
-STYLE = re.compile(r"([A-Z]{3}\d{4})(\d{3})?$")
+#: A label before a code, and what stands between a code's groups.
+LABEL, APART = r"^\s*[A-Z]+\s*[.:#]\s*", r"[-_/\s]+"
 _CAMEL = re.compile(r"(?<=[a-zčćžšđ])(?=[A-ZČĆŽŠĐ][a-z])")
 _VERSION = re.compile(r"v?(\d{1,2})")
 
@@ -38,7 +48,32 @@ SCHEMA = T.StructType(
 )
 
 
-def model_parts(model: str | None) -> tuple[str, str, str, str, str]:
+class Grammar(NamedTuple):
+    """How a catalogue writes: its line words, and its codes as (shape of the style, shape of the suffix); 'A' is a letter, '9' a digit."""
+
+    lines: tuple[str, ...]
+    codes: tuple[tuple[str, str], ...]
+
+
+def learned_grammar(df: DataFrame) -> Grammar:
+    """Learned from all rows of ``df`` (model, sku); at most 1 / LINE_SHARE words and 1 / CODE_SHARE shapes reach the driver."""
+    known = [*COLOUR_OF, *AUDIENCE_OF, *ROMAN]
+    said = F.filter(F.split(words(F.regexp_replace("model", "(\\p{Ll})(\\p{Lu}\\p{Ll})", "$1 $2")), " "), lambda w: ~w.rlike(r"^v?\d{1,2}$") & ~w.isin(known) & (w != ""))
+    ends = df.select(said.alias("w")).where("size(w) > 1").select(F.get("w", F.lit(0)).alias("first"), F.element_at("w", -1).alias("last")).distinct()
+    counted = ends.groupBy("last").agg(F.count("*").alias("n"))
+    sku = F.regexp_replace(F.upper("sku"), LABEL, "")
+    groups = F.filter(F.split(sku, APART), lambda g: g != "")
+    shape = lambda x: F.regexp_replace(F.regexp_replace(x, r"\d", "9"), "[A-Z]", "A")
+    cut = df.select(groups.alias("g")).where("size(g) > 1").select(shape(F.array_join(F.slice("g", F.lit(1), F.size("g") - 1), "")).alias("first"), shape(F.element_at("g", -1)).alias("last"))
+    cut = cut.where(F.col("first").rlike("^A+9[A9]*$") & F.col("last").rlike("^9{2,4}$")).groupBy("first", "last").agg(F.count("*").alias("n"))
+    total = lambda d: d.agg(F.sum("n").alias("all"))
+    few = counted.join(F.broadcast(total(counted))).where(f"n >= {LINE_WORDS} and n >= {LINE_SHARE} * all").select(F.lit("").alias("first"), "last")  # one row
+    shapes = cut.join(F.broadcast(total(cut))).where(f"n >= {CODE_SHARE} * all").select("first", "last")  # one row
+    rows = few.unionByName(shapes).collect()
+    return Grammar(tuple(sorted(r["last"] for r in rows if not r["first"])), tuple(sorted((r["first"], r["last"]) for r in rows if r["first"])))
+
+
+def model_parts(model: str | None, lines: tuple[str, ...]) -> tuple[str, str, str, str, str]:
     """(word, line, version, colours, audience) of a model text; typing slips in the line are mended."""
     ws = plain(_CAMEL.sub(" ", model)).split() if model else []
     version, colours, audience, kept = "", set(), "", []
@@ -56,25 +91,34 @@ def model_parts(model: str | None) -> tuple[str, str, str, str, str]:
             kept.append(w)
     line = ""
     if len(kept) > 1:
-        if kept[-1] in LINES:
+        if kept[-1] in lines:
             line = kept.pop()
-        elif len(kept[-1]) > 2 and (close := [x for x in LINES if edit_distance(kept[-1], x, 1 if len(x) < 5 else 2) <= (1 if len(x) < 5 else 2)]):
+        elif len(kept[-1]) > 2 and (close := [x for x in lines if edit_distance(kept[-1], x, 1 if len(x) < 5 else 2) <= (1 if len(x) < 5 else 2)]):
             line = min(close, key=lambda x: edit_distance(kept[-1], x, 2))
             kept.pop()
     word = "".join(kept)
     if not line:
-        for x in LINES:
+        for x in lines:
             if word.endswith(x) and len(word) > len(x) + 3:
                 word, line = word[: -len(x)], x
                 break
     return word, line, version, "/".join(sorted(colours)), audience
 
 
-def title_parts(title: str | None) -> tuple[str, str]:
-    """(colours, audience) of a title."""
+def colour_names(names: list[tuple[int, str, list[str]]]) -> set[str]:
+    """What follows the first word in the names of brands and holds a colour word: no colour of a shoe."""
+    said = (plain(x).split() for _, name, aliases in names for x in [name, *aliases] if x)
+    return {" ".join(ws[1:]) for ws in said if any(w in COLOUR_OF for w in ws[1:])}
+
+
+def title_parts(title: str | None, names: set[str]) -> tuple[str, str]:
+    """(colours, audience) of a title; ``names`` as ``colour_names`` gives them."""
     if not title:
         return "", ""
-    folded = plain(title).replace("black label", " ")
+    folded = plain(title)
+    for x in names:
+        if x in folded:
+            folded = re.sub(rf"\b{x}\b", " ", folded)
     colours, audience = set(), ""
     for w in folded.split():
         if w in COLOUR_OF:
@@ -84,6 +128,19 @@ def title_parts(title: str | None) -> tuple[str, str]:
     return "/".join(sorted(colours)), audience
 
 
+def code_parts(sku: str | None, shapes: list[tuple[re.Pattern, re.Pattern, int]]) -> tuple[str, str]:
+    """(whole code, style) of an article number; empty what it does not state."""
+    if not sku:
+        return "", ""
+    text = re.sub("[^A-Z0-9]", "", re.sub(LABEL, "", sku.upper()))
+    for whole, style, n in shapes:
+        if whole.fullmatch(text):
+            return f"{text[:n]}-{text[n:]}", text[:n]
+        if style.fullmatch(text):
+            return "", text
+    return "", ""
+
+
 def barcodes(column: str) -> Column:
     """The sound 13-digit codes of an array of barcode texts, as numbers; null and junk fall away."""
     digit = lambda n, k: F.pmod(F.floor(n / F.lit(10**k)), F.lit(10))
@@ -98,11 +155,15 @@ def barcodes(column: str) -> Column:
     return F.array_distinct(F.filter(F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), number), sound))
 
 
-def parsed(df: DataFrame, names: list[tuple[int, str, list[str]]]) -> DataFrame:
+def parsed(df: DataFrame, names: list[tuple[int, str, list[str]]], grammar: Grammar) -> DataFrame:
     """``df`` has id, title, brand, model, sku, gender; one row of ``SCHEMA`` for each."""
 
+    no_colours = colour_names(names)
+    form = lambda x: x.replace("9", "[0-9]").replace("A", "[A-Z]")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, brands, models = Names(names), {}, {}
+        shapes = [(re.compile(form(a) + form(b)), re.compile(form(a)), len(a)) for a, b in grammar.codes]
         for pdf in batches:
             out = []
             for i, title, brand, model, sku, gender in zip(pdf.id, pdf.title, pdf.brand, pdf.model, pdf.sku, pdf.gender, strict=True):
@@ -114,11 +175,9 @@ def parsed(df: DataFrame, names: list[tuple[int, str, list[str]]]) -> DataFrame:
                     _, entry, _ = known.of_value(brand, similar=False) if brand else ("", 0, None)
                     b = brands[brand] = entry or 0
                 if (m := models.get(model)) is None:
-                    m = models[model] = model_parts(model)
-                colours, audience = title_parts(title)
-                code = STYLE.search(re.sub("[^A-Z0-9]", "", sku.upper())) if sku else None
-                style, suffix = (code[1], code[2]) if code else ("", None)
-                out.append((i, b, m[0], m[1], m[2], colours or m[3], gender or audience or m[4], f"{style}-{suffix}" if suffix else "", style))
+                    m = models[model] = model_parts(model, grammar.lines)
+                colours, audience = title_parts(title, no_colours)
+                out.append((i, b, m[0], m[1], m[2], colours or m[3], gender or audience or m[4], *code_parts(sku, shapes)))
             yield pd.DataFrame(out, columns=SCHEMA.names)
 
     return df.select("id", "title", "brand", "model", "sku", "gender").mapInPandas(run, SCHEMA)

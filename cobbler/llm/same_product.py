@@ -1,27 +1,32 @@
 """Listings of the same product: bipartite reinforcement of term weights and pair scores.
 
-A listing is reduced to terms (style code, barcodes, model word, line and version, colours,
-audience, brand).  Listings that say exactly the same are one node.  Candidate pairs come from
-shared-term joins only: nodes with one style code and nodes with one barcode meet that group's
-centre, nodes without a code meet the nodes of the same model whose colours and audience don't
-contradict theirs.  Then, alternately,
-
-* the weight of a term is the mean score of the pairs that share it, and
-* the score of a pair is the weight of what it shares, against that plus what contradicts,
-
-until no score moves by more than ``STILL``.  Pairs from ``THRESHOLD`` on are links.  A node that
-leaves out its colour or audience is linked only if all its partners are one product; groups are
-the connected components of the links.
+A listing is reduced to terms (style code, style, barcodes, model word, line and version, colours,
+audience, brand).  Listings that say exactly the same are one node; what is said without code and
+barcodes is a profile.  Candidate pairs come from shared-term joins only: nodes with one style code
+and nodes with one barcode meet that group's centre, and profiles of listings without a code meet
+all profiles with the same model word, whatever their line, version, colours and audience.  A pair
+holds a term for every value that both share, one for every field in which they differ, and one if they share all
+that makes a product.  Then, alternately,
+
+* the weight of a term is the mean score of the pairs that hold it, and
+* the score of a pair is the chance of a match that its terms give together: their log-odds against
+  those of a pair at large, added up,
+
+until no score moves by more than ``STILL``.  Nothing is weighed by hand: that two colours tell
+products apart and two spellings of a model do not is what the rounds find.  Pairs from
+``THRESHOLD`` on are links.  A listing that leaves out its colour or audience is linked only if all
+its partners are one product; groups are the connected components of the links.
 
 Scale.  No join enumerates a group's pairs: groups of equal codes or barcodes are stars around
-their centre, and two nodes with different codes are never compared; so a block that holds a third
-of all listings costs its size times the few incomplete profiles in it.  Barcodes that stand with
-several style codes are no evidence.  Terms, pairs and links are DataFrames; the brand list is the
-one thing collected, with the bound of ``canonical.MOST_NAMES``.
+their centre, and profiles stand for all listings that say the same, so a block that holds a third
+of all listings costs the square of what can be said about one model word, not of its listings.
+Barcodes that stand with several style codes are no evidence.  Terms, pairs and links are
+DataFrames; the brand list (``canonical.MOST_NAMES``) and the catalogue's grammar (``listings``) are
+the only things collected.
 
 Defined results.  Null or blank fields are unknown and contradict nothing.  A listing without a
 model word, code and barcode is a product by itself.  Rows repeated under one id count once (the
-least by value).  Empty tables give an empty result.
+one with the least node).  Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -31,95 +36,140 @@ from pyspark.sql import functions as F
 
 from cobbler.llm.canonical import MOST_NAMES
 from cobbler.llm.components import group_pairs
-from cobbler.llm.listings import SCHEMA, barcodes, parsed
-from cobbler.plans.durable import cut, written
-
-#: Score from which a pair is a link; change of a score that counts as none; most rounds.
-THRESHOLD, STILL, MOST_ROUNDS = 0.6, 0.01, 12
-#: What agreement and contradiction count in each kind of term, before the learned weight.
-AGREE = {"sku": 3.0, "gtin": 3.0, "word": 1.5, "model": 1.0, "colours": 1.0, "audience": 1.0, "brand": 0.5, "style": 1.0}
-AGAINST = {"word": 1.5, "model": 2.5, "colours": 2.5, "audience": 2.5, "brand": 1.0, "style": 1.5}
+from cobbler.llm.listings import SCHEMA, barcodes, learned_grammar, parsed
+from cobbler.plans.durable import cut, drop_written, written
+
+#: Score from which a pair is a link, and from which it may be one; change of a score that counts as none.
+THRESHOLD, PLAUSIBLE, STILL = 0.5, 0.2, 0.02
+#: Pairs of a term's kind that are added to the term's own, and pairs added to the kind's that all match, or none for a difference: few pairs tell little.
+SMOOTHING = 50.0
+#: A term weighs as much as a chance between these bounds.
+LEAST = 0.001
+#: A misspelt model word is at most this often met, as a share of the sound one.
+SLIP_SHARE = 0.2
+#: What a profile says; the kinds of terms of a pair, by the number that a term's last bits hold.
+PROFILE = ["word", "line", "version", "colours", "audience", "brand", "style"]
+#: Odd numbers are shared values, even ones differences: of profiles (#), and beside a shared code or barcode (~), where they may be slips.
+FIELDS = ("sku", "style", "gtin", "word", "model", "colours", "audience", "brand", "every")
+KINDS = ["all", *[f"{k}{x}" for k in FIELDS for x in "=#"], *[f"{k}{x}" for k in FIELDS for x in " ~"]]
 
 
 def _mended(listings: DataFrame) -> DataFrame:
-    """Model words met once or twice without a code, one slip away from one word of coded listings, become that word."""
-    seen = listings.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.col("sku") != "").alias("coded"), F.max("brand").alias("b"))
+    """Model words that are no style's usual one, one slip away from one that is and rare beside it, become that word.
+
+    Words of fewer than five letters are too close to each other to tell slips.
+    """
+    usual = listings.where("style <> '' and word <> ''").groupBy("style", "word").agg(F.count("*").alias("n")).groupBy("style").agg(F.max_by("word", F.struct("n", "word")).alias("word"))
+    own = usual.groupBy("word").agg(F.count("*").alias("own"))
+    seen = listings.where("length(word) >= 5").groupBy("word").agg(F.count("*").alias("n"), F.max("brand").alias("b")).join(own, "word", "left")
     gone = F.expr("transform(sequence(0, length(word)), i -> if(i = 0, word, concat(left(word, i - 1), substr(word, i + 1))))")
-    keyed = seen.where("length(word) >= 5").withColumn("cut", F.explode(gone))
-    odd = keyed.where("n <= 2 and coded = 0").select("cut", F.col("word").alias("odd"), F.col("b").alias("ob"))
-    sound = keyed.where("coded > 0").select("cut", "word", "b")
-    near = odd.join(sound, "cut").where("odd <> word and (ob = 0 or b = 0 or ob = b)").groupBy("odd").agg(F.min("word").alias("lo"), F.max("word").alias("hi")).where("lo = hi").select(F.col("odd").alias("word"), F.col("lo").alias("mended"))
-    return listings.join(near, "word", "left").withColumn("word", F.coalesce("mended", "word")).drop("mended")
+    keyed = written(seen.withColumn("cut", F.explode(gone)), "slips")
+    odd = keyed.where("own is null").select("cut", F.col("word").alias("odd"), F.col("b").alias("ob"), F.col("n").alias("on"))
+    sound = keyed.where("own > 0").select("cut", "word", "b", "n")
+    near = odd.join(sound, "cut").where(f"odd <> word and on <= {SLIP_SHARE} * n and (ob = 0 or b = 0 or ob = b)").groupBy("odd").agg(F.min("word").alias("lo"), F.max("word").alias("hi")).where("lo = hi").select(F.col("odd").alias("word"), F.col("lo").alias("mended"))
+    return listings.join(written(near, "mended"), "word", "left").withColumn("word", F.coalesce("mended", "word")).drop("mended")
 
 
 def _most(c: str) -> Column:
     """The value of the largest node that has one; constant memory, however many nodes a code has."""
-    return F.coalesce(F.max_by(F.col(c), F.struct(F.col(c) != "", F.col("n"), F.col(c))), F.lit(""))
+    empty = 0 if c == "brand" else ""
+    return F.coalesce(F.max_by(F.col(c), F.struct(F.col(c) != empty, F.col("n"), F.col(c))), F.lit(empty))
+
+
+def _profile() -> Column:
+    return F.xxhash64(F.lit("profile"), *PROFILE)
+
+
+def _whole(at: str = "") -> Column:
+    return (F.col(f"{at}colours") != "") & (F.col(f"{at}audience") != "") & (F.col(f"{at}word") != "")
 
 
-def _pairs(nodes: DataFrame, gtins: DataFrame) -> DataFrame:
-    """(a, b, gtin): candidate pairs of nodes, a < b; gtin tells whether they share a barcode."""
-    coded = nodes.where("sku <> ''")
-    centres = coded.groupBy("sku").agg(F.min_by("node", F.struct(-F.col("n"), "node")).alias("centre"), *[_most(c).alias(c) for c in ("word", "line", "version", "colours", "audience")])
-    by_code = coded.select("sku", "node").join(centres.select("sku", "centre"), "sku").select("node", F.col("centre").alias("other"), F.lit(False).alias("gtin"))
+def _candidates(nodes: DataFrame, gtins: DataFrame, centres: DataFrame) -> DataFrame:
+    """(a, b, kind, x, y): candidate pairs of nodes (by 'code', 'barcode') and of profiles ('profile'), with what each says."""
+    said = F.struct(*PROFILE, "sku").alias("x")
+    by_code = nodes.where("sku <> ''").select("sku", F.col("node").alias("a"), said).join(centres.select("sku", F.col("node").alias("b"), said.alias("y")), "sku").where("a <> b").select("a", "b", F.lit("code").alias("kind"), "x", "y")
     # barcodes that stand with one style code at most; the centre is a node with that code, if there is one
-    held = gtins.join(nodes.select("node", "sku"), "node")
-    clear = held.groupBy("gtin").agg(F.min(F.when(F.col("sku") != "", F.col("sku"))).alias("s1"), F.max(F.col("sku")).alias("s2"), F.min_by("node", F.struct(F.col("sku") == "", "node")).alias("centre"), F.count("*").alias("k"))
-    clear = clear.where("k > 1 and coalesce(s1, '') = s2").select("gtin", "centre")
-    by_barcode = gtins.join(clear, "gtin").select("node", F.col("centre").alias("other"), F.lit(True).alias("gtin"))
-    # nodes without a code against the products of their model
-    free = nodes.where("sku = '' and word <> ''").select("node", "word", "line", "version", "colours", "audience")
-    whole = centres.where("word <> ''").select(F.col("centre").alias("other"), "word", "line", "version", F.col("colours").alias("c2"), F.col("audience").alias("a2"))
-    whole = whole.unionByName(free.where("colours <> '' and audience <> ''").select(F.col("node").alias("other"), "word", "line", "version", F.col("colours").alias("c2"), F.col("audience").alias("a2")))
-    full = (F.col("colours") != "") & (F.col("audience") != "")
-    full2 = (F.col("c2") != "") & (F.col("a2") != "")
-    model = ["word", "line", "version"]
-    exact = free.where(full).join(whole.where(full2).withColumnsRenamed({"c2": "colours", "a2": "audience"}), [*model, "colours", "audience"])
-    agree = lambda x, y: (F.col(x) == "") | (F.col(y) == "") | (F.col(x) == F.col(y))
-    part = free.where(~full).join(whole, model).where(agree("colours", "c2") & agree("audience", "a2"))
-    part2 = free.where(full).join(whole.where(~full2), model).where(agree("colours", "c2") & agree("audience", "a2"))
-    by_model = [d.select("node", "other", F.lit(False).alias("gtin")) for d in (exact, part, part2)]
-    every = by_code.unionByName(by_barcode)
-    for d in by_model:
-        every = every.unionByName(d)
-    return every.where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "gtin").groupBy("a", "b").agg(F.max("gtin").alias("gtin"))
-
-
-def _evidence(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, shared: array of (term, prior), against: what contradicts)."""
-    what = F.struct("word", F.concat_ws(" ", "line", "version").alias("model"), "colours", "audience", F.when(F.col("brand") > 0, F.col("brand").cast("string")).otherwise("").alias("brand"), "sku", "style")
-    side = nodes.select("node", what.alias("x"))
-    d = pairs.join(side.withColumnsRenamed({"node": "a", "x": "x"}), "a").join(side.withColumnsRenamed({"node": "b", "x": "y"}), "b")
-    same = lambda k: (F.col(f"x.{k}") != "") & (F.col(f"x.{k}") == F.col(f"y.{k}"))
-    differ = lambda k: (F.col(f"x.{k}") != "") & (F.col(f"y.{k}") != "") & (F.col(f"x.{k}") != F.col(f"y.{k}"))
-    entry = lambda k, v: F.struct(F.xxhash64(F.lit(k), v).alias("term"), F.lit(AGREE[k]).alias("prior"))
-    shared = F.array_compact(F.array(*[F.when(same(k), entry(k, F.col(f"x.{k}"))) for k in AGREE if k != "gtin"], F.when(F.col("gtin"), entry("gtin", F.concat_ws(" ", F.col("a").cast("string"), F.col("b").cast("string"))))))
-    against = sum((F.when(differ(k), F.lit(AGAINST[k])).otherwise(0.0) for k in AGAINST), F.lit(0.0))
-    return d.select("a", "b", shared.alias("shared"), against.alias("against"))
-
-
-def _reinforced(evidence: DataFrame) -> DataFrame:
-    """(a, b, score) once weights and scores agree.
-
-    A pair that nothing contradicts has the score 1 whatever the weights, so only contested pairs are
-    walked on; the others enter the weights of their terms as a count.
+    held = gtins.join(nodes.select("node", said), "node")
+    clear = held.groupBy("gtin").agg(F.min(F.when(F.col("x.sku") != "", F.col("x.sku"))).alias("s1"), F.max("x.sku").alias("s2"), F.min_by("node", F.struct(F.col("x.sku") == "", "node")).alias("b"), F.count("*").alias("k"))
+    clear = clear.where("k > 1 and coalesce(s1, '') = s2").select("gtin", "b")
+    met = gtins.join(clear, "gtin").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    by_barcode = met.join(nodes.select(F.col("node").alias("a"), said), "a").join(nodes.select(F.col("node").alias("b"), said.alias("y")), "b").select("a", "b", F.lit("barcode").alias("kind"), "x", "y")
+    free = nodes.where("sku = '' and word <> ''").select(_profile().alias("a"), said).dropDuplicates(["a"])
+    coded = centres.where("word <> ''").select(F.col("profile").alias("b"), F.struct(*PROFILE, F.lit("").alias("sku")).alias("y")).dropDuplicates(["b"])
+    there = coded.unionByName(free.where(_whole("x.")).select(F.col("a").alias("b"), F.col("x").alias("y")).join(coded.select("b"), "b", "left_anti"))
+    by_word = free.withColumn("word", F.col("x.word")).join(there.withColumn("word", F.col("y.word")), "word").where("a <> b").select("a", "b", F.lit("profile").alias("kind"), "x", "y")
+    return by_code.unionByName(by_barcode).unionByName(by_word)
+
+
+def _terms() -> Column:
+    """The terms of a pair: a hash of each value that both say, and of each field in which they differ; the last bits are the kind."""
+    number = {k: i for i, k in enumerate(KINDS)}
+    term = lambda kind, *value: F.xxhash64(F.lit(kind), *value).bitwiseAND(F.lit(-64)).bitwiseOR(F.lit(number[kind]).cast("long"))
+    differs = lambda k: F.when(F.col("kind") == "profile", term(f"{k}#")).otherwise(term(f"{k}~"))
+    out = [F.when(F.col("kind") == "barcode", term("gtin=", "a", "b"))]
+    for k in ("sku", "style", "word", "colours", "audience", "brand"):
+        x, y, none = F.col(f"x.{k}"), F.col(f"y.{k}"), F.lit(0 if k == "brand" else "")
+        out.append(F.when((x != none) & (y != none), F.when(x == y, term(f"{k}=", x)).otherwise(differs(k))))
+    # a name without line or version is a name as well
+    x, y = (F.concat_ws(" ", f"{s}.line", f"{s}.version") for s in "xy")
+    out.append(F.when((F.col("x.word") != "") & (F.col("y.word") != ""), F.when(x == y, term("model=", x)).otherwise(differs("model"))))
+    # what is shared as a whole: fields are not independent of each other
+    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("word", "colours", "audience")]
+    out.append(F.when(_whole("x.") & same[0] & same[1] & same[2] & (x == y), term("every=")))
+    return F.array_append(F.array_compact(F.array(*out)), F.lit(0).cast("long"))  # the term of all pairs
+
+
+def _reinforced(pairs: DataFrame) -> DataFrame:
+    """(p, score): ``pairs`` (p, terms) scored once weights and scores agree.
+
+    To begin with, a pair matches if it differs in nothing.
     """
-    evidence = written(evidence, "evidence")
-    clean, contested = evidence.where("against = 0"), evidence.where("against > 0")
-    said = contested.select("a", "b", "against", F.explode("shared").alias("t")).select("a", "b", "against", "t.*")
-    full = clean.select(F.explode("shared.term").alias("term")).join(said.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("clean"))
-    said = cut(said.join(full, "term", "left").withColumn("clean", F.coalesce("clean", F.lit(0))))
-    prior = F.sum("prior")
-    scores = cut(said.groupBy("a", "b").agg((prior / (prior + F.first("against"))).alias("score")))
-    for _ in range(MOST_ROUNDS):
-        weights = said.join(scores, ["a", "b"]).groupBy("term").agg(((F.first("clean") + F.sum("score")) / (F.first("clean") + F.count("*"))).alias("weight"))
-        fresh = said.join(weights, "term").groupBy("a", "b").agg(F.sum(F.col("prior") * F.col("weight")).alias("for"), F.first("against").alias("against"))
-        fresh = cut(fresh.join(scores, ["a", "b"]).select("a", "b", (F.col("for") / (F.col("for") + F.col("against"))).alias("score"), F.col("score").alias("old")))
-        moved = fresh.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
-        scores = fresh.select("a", "b", "score")
+    # kinds of differing terms have even numbers; 0 is the term of all pairs
+    differs = F.exists("terms", lambda t: (t.bitwiseAND(F.lit(63)) > 0) & (F.pmod(t.bitwiseAND(F.lit(63)), F.lit(2)) == 0))
+    scores = pairs.select("p", "terms", F.when(differs, 0.0).otherwise(1.0).alias("score"))
+    table = None
+    while True:
+        counted = cut(scores.select(F.explode("terms").alias("t"), "score").groupBy("t").agg(F.sum("score").alias("s"), F.count("*").alias("n")))
+        sums = {r["k"]: (r["s"], r["n"]) for r in counted.groupBy(F.col("t").bitwiseAND(F.lit(63)).alias("k")).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}  # a row a kind
+        if not sums:
+            return pairs.select("p", F.lit(0.0).alias("score"))
+        share = sums[0][0] / sums[0][1]
+        # until many pairs say otherwise, what is shared speaks for a match and what differs against it
+        kinds = {k: share if k == 0 else (s + SMOOTHING * (k % 2)) / (n + SMOOTHING) for k, (s, n) in sums.items()}
+        of_kind = F.get(F.array(*[F.lit(float(kinds.get(k, 0.0))) for k in range(len(KINDS))]), F.col("t").bitwiseAND(F.lit(63)).cast("int"))
+        odds = lambda x: F.log(x / (1 - x))
+        kept = lambda x: F.greatest(F.least(x, F.lit(1 - LEAST)), F.lit(LEAST))
+        base = odds(kept(F.lit(float(kinds[0]))))
+        weights = counted.select("t", (odds(kept((F.col("s") + SMOOTHING * of_kind) / (F.col("n") + SMOOTHING))) - F.when(F.col("t") == 0, 0.0).otherwise(base)).alias("w"))
+        told = scores.select("p", "score", F.explode("terms").alias("t")).join(weights, "t").groupBy("p").agg(F.sum("w").alias("w"), F.collect_list("t").alias("terms"), F.first("score").alias("old"))
+        fresh = cut(told.select("p", "terms", (1 / (1 + F.exp(-F.col("w")))).alias("score"), "old"))
+        moved = fresh.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
+        drop_written(counted, *([table] if table is not None else []))
+        scores, table = fresh.select("p", "terms", "score"), fresh
         if moved <= STILL:
-            break
-    return clean.select("a", "b", F.when(F.size("shared") > 0, 1.0).otherwise(0.0).alias("score")).unionByName(scores)
+            return scores.select("p", "score")
+
+
+def _links(scored: DataFrame, nodes: DataFrame, centres: DataFrame) -> DataFrame:
+    """(a, b): links of nodes, and of nodes with the profiles that stand between them."""
+    sure = scored.where(F.col("kind") != "profile").where(F.col("score") >= THRESHOLD).select("a", "b")
+    # a profile that leaves something out needs partners that are one product
+    may = scored.where((F.col("kind") == "profile") & (F.col("score") >= PLAUSIBLE))
+    product = lambda s: F.struct(*[f"{s}.{c}" for c in ("line", "version", "colours", "audience")])
+    la, lb = ~_whole("x."), ~_whole("y.")
+    may = may.select("a", "b", "score", la.alias("la"), lb.alias("lb"), product("x").alias("pa"), product("y").alias("pb"))
+    loose = may.where("la").select(F.col("a").alias("me"), F.col("pb").alias("them")).unionByName(may.where("lb").select(F.col("b").alias("me"), F.col("pa").alias("them")))
+    torn = loose.groupBy("me").agg(F.min("them").alias("lo"), F.max("them").alias("hi")).where("lo <> hi").select("me")
+    may = may.where(F.col("score") >= THRESHOLD).join(torn.withColumnRenamed("me", "a"), "a", "left_anti").join(torn.withColumnRenamed("me", "b"), "b", "left_anti").select("a", "b")
+    # profiles stand for their nodes; a shared barcode decides for a listing that leaves something out
+    decided = sure.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    mine = nodes.where("sku = '' and word <> ''").select("node", _profile().alias("profile"), _whole().alias("whole"))
+    mine = mine.where("whole").unionByName(mine.where("not whole").join(decided, "node", "left_anti")).select("node", "profile")
+    # whole profiles that listings with and without a code share need no pair
+    shared = centres.where(_whole()).select("profile").join(mine, "profile", "left_semi")
+    linked = may.select(F.explode(F.array("a", "b")).alias("profile")).unionByName(shared).distinct()
+    stand = mine.unionByName(centres.select("node", "profile")).join(linked, "profile").select(F.col("node").alias("a"), F.col("profile").alias("b"))
+    return sure.unionByName(may).unionByName(stand)
 
 
 def same_product(offers: DataFrame, codes: DataFrame, brands: DataFrame) -> DataFrame:
@@ -130,33 +180,23 @@ def same_product(offers: DataFrame, codes: DataFrame, brands: DataFrame) -> Data
     if (n := brands.count()) > MOST_NAMES:
         raise ValueError(f"{n} brands; the automaton is built for {MOST_NAMES} at most")
     names = [(int(r[0]), r[1], list(r[2]) if r[2] is not None else []) for r in brands.collect() if r[0] is not None]
+    offers = offers.where("id is not null")
     said = [c for c in SCHEMA.names if c != "id"]
-    once = parsed(offers.where("id is not null"), names).groupBy("id").agg(F.min(F.struct(*said)).alias("s")).select("id", "s.*")
-    held = codes.where("id is not null").select("id", barcodes("gtins").alias("g")).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("g")))).alias("gtins"))
-    listings = written(once.join(held, "id", "left"), "listings")
-    listings = _mended(listings)
-    whole = (F.col("sku") != "") | ((F.col("colours") != "") & (F.col("audience") != "") & (F.col("word") != ""))
-    apart = F.when(whole, "").when(F.size("gtins") > 0, F.get("gtins", F.lit(0)).cast("string")).when(F.col("word") == "", F.concat(F.lit("id "), F.col("id").cast("string"))).otherwise("")
-    key = [*said, "apart"]
+    held = codes.where("id is not null").select("id", barcodes("gtins").alias("g")).where("size(g) > 0").groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("g")))).alias("gtins"))
+    listings = _mended(written(parsed(offers, names, learned_grammar(offers)).join(held, "id", "left"), "listings"))
+    apart = F.when((F.col("sku") != "") | _whole(), "").when(F.size("gtins") > 0, F.get("gtins", F.lit(0)).cast("string")).when(F.col("word") == "", F.concat(F.lit("id "), F.col("id").cast("string"))).otherwise("")
     # the node of a listing is the 64-bit hash of what it says: no join is needed to find it
-    keyed = written(listings.withColumn("apart", apart).withColumn("node", F.xxhash64(*key)), "nodes")
-    nodes = keyed.groupBy("node").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in said])
-    gtins = keyed.select("node", F.explode("gtins").alias("gtin")).distinct()
-    nodes = written(nodes, "profiles")
-    pairs = written(_pairs(nodes, gtins), "pairs")
-    links = _reinforced(_evidence(pairs, nodes)).where(F.col("score") >= THRESHOLD).select("a", "b").join(pairs, ["a", "b"])
-    # a node that leaves something out needs partners that are one product; a shared code or barcode decides
-    profile = nodes.select("node", "sku", F.struct("colours", "audience").alias("p"), ((F.col("sku") == "") & ((F.col("colours") == "") | (F.col("audience") == ""))).alias("loose"))
-    d = links.join(profile.withColumnsRenamed({"node": "a", "p": "pa", "loose": "la", "sku": "sa"}), "a").join(profile.withColumnsRenamed({"node": "b", "p": "pb", "loose": "lb", "sku": "sb"}), "b")
-    sure = F.col("gtin") | ((F.col("sa") == F.col("sb")) & (F.col("sa") != ""))
-    d = cut(d.select("a", "b", sure.alias("sure"), (F.col("la") | F.col("lb")).alias("loose"), F.when(F.col("la"), F.col("a")).otherwise(F.col("b")).alias("me"), F.when(F.col("la"), F.col("pb")).otherwise(F.col("pa")).alias("them")))
-    open_ = d.where("not sure and loose")
-    decided = d.where("sure").select(F.explode(F.array("a", "b")).alias("me")).distinct()
-    one = open_.groupBy("me").agg(F.min("them").alias("lo"), F.max("them").alias("hi")).where("lo = hi").select("me").join(decided, "me", "left_anti")
-    kept = cut(d.where("sure or not loose").select("a", "b").unionByName(open_.join(one, "me").select("a", "b")))
-    groups = group_pairs(kept, "a", "b").withColumnRenamed("id", "node")
-    loose = nodes.select("node", ((F.col("sku") == "") & ((F.col("colours") == "") | (F.col("audience") == ""))).alias("loose"))
-    out = keyed.select("id", "node").join(loose.join(groups, "node", "left"), "node")
+    keyed = written(listings.withColumn("apart", apart).withColumn("node", F.xxhash64(*said, "apart")), "nodes")
+    nodes = written(keyed.groupBy("node").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in said]), "profiles")
+    gtins = keyed.where("size(gtins) > 0").select("node", F.explode("gtins").alias("gtin")).distinct()
+    centres = nodes.where("sku <> ''").groupBy("sku").agg(F.min_by("node", F.struct(-F.col("n"), "node")).alias("node"), *[_most(c).alias(c) for c in PROFILE])
+    centres = written(centres.withColumn("profile", _profile()), "centres")
+    pairs = written(_candidates(nodes, gtins, centres).withColumn("terms", _terms()).withColumn("p", F.xxhash64("a", "b", "kind")), "pairs")
+    scores = _reinforced(pairs.select("p", "terms"))
+    links = _links(pairs.drop("terms").join(scores, "p"), nodes, centres)
+    groups = group_pairs(written(links, "links"), "a", "b").withColumnRenamed("id", "node")
+    loose = (F.col("sku") == "") & ~_whole()
+    out = keyed.groupBy("id").agg(F.min("node").alias("node")).join(nodes.select("node", loose.alias("loose")).join(groups, "node", "left"), "node")
     # nodes that say too little and found no partner are not known to be one product
     return out.select("id", F.coalesce("group_id", F.when(F.col("loose"), F.xxhash64(F.lit("alone"), "id")).otherwise(F.col("node"))).alias("group_id"))
 

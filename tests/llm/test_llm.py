@@ -247,10 +247,36 @@ BRANDS = [(1, "Gaklex", []), (2, "Skeke Sport", [])]
 
 @pytest.mark.parametrize(("model", "parts"), [("Kegilubu Classic 3 plava", ("kegilubu", "classic", "3", "blue", "")), ("ZuvabokirRunner", ("zuvabokir", "runner", "", "", "")), ("SOSAPEFA TERRAIN V3 W", ("sosapefa", "terrain", "3", "", "women")), ("Zelokarux Glsde IV", ("zelokarux", "glide", "4", "", "")), ("Dozurama-Dash 5.0", ("dozurama", "dash", "5", "", "")), (None, ("", "", "", "", "")), ("", ("", "", "", "", ""))])
 def test_models(model, parts):
-    assert listings.model_parts(model) == parts
+    assert listings.model_parts(model, ("classic", "dash", "glide", "runner", "terrain", "trail")) == parts
 
 
-def test_same_product(spark):
+def test_codes_and_colour_names():
+    import re
+
+    shapes = [(re.compile("[A-Z]{3}[0-9]{7}"), re.compile("[A-Z]{3}[0-9]{4}"), 7)]
+    for sku, parts in [("ABC1234-100", ("ABC1234-100", "ABC1234")), ("Art. abc 1234/100", ("ABC1234-100", "ABC1234")), ("ABC1234", ("", "ABC1234")), ("H001234567", ("", "")), ("0000", ("", "")), (None, ("", "")), ("w" * 9000, ("", ""))]:
+        assert listings.code_parts(sku, shapes) == parts
+    names = listings.colour_names([(1, "Gaklex Black Label", []), (2, "Skeke Sport", ["Redline"])])
+    assert names == {"black label"}
+    assert listings.title_parts("Gaklex Black Label Nofu crna muške", names) == ("black", "men")
+    assert listings.title_parts("Gaklex Black Label Nofu plava", names) == ("blue", "")
+
+
+def catalogue():
+    """Twenty words, each in two versions, for two audiences and in four colours, at three shops: one states no code, one no audience."""
+    rng, out, i = random.Random(5), [], 1000
+    for m in range(20):
+        word = "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)).capitalize()
+        line, colours = ("Trail", "Dash", "Court", "Glide")[m % 4], ("crna", "plava", "siva", "zlatna") if m % 3 else ("bijela", "crvena", "roza", "braun")
+        for n, (version, who, colour) in enumerate(itertools.product("23", ("men", "women"), colours)):
+            for shop in range(3):
+                i += 1
+                sku = f"{'KLM'[m % 3] * 3}{1000 + 10 * m + n // 4}-{100 + n}" if shop < 2 else None
+                out.append((i, f"Gaklex {word} {line} {version} {colour}", "Gaklex", f"{word} {line} {version}", sku, None if shop == 1 else who))
+    return out
+
+
+def test_same_product(spark, monkeypatch):
     offers = [
         (1, "Gaklex Nofu Trail 3 crna muške", "Gaklex", "Nofu Trail 3", "ABC1234-100", "men"),
         (2, "GAKLEX NOFU TRAIL V3 BLACK", "GAKLEX", "NOFU TRAIL V3", "abc1234/100", "men"),
@@ -263,18 +289,33 @@ def test_same_product(spark):
         (9, None, None, None, None, None), (10, "", "", "", "", ""), (11, "z" * 20_000, "y" * 9_000, "x" * 9_000, "w" * 9_000, "men"), (1, "Gaklex Nofu Trail 3 crna muške", "Gaklex", "Nofu Trail 3", "ABC1234-100", "men"),
     ]
     codes = [(4, ["2000000000107", "0000000000000"]), (7, ["2000000000107 "]), (1, ["4006381333931"]), (2, None), (5, []), (6, ["1111111111111", "", None])]
-    o = spark.createDataFrame(offers, "id long, title string, brand string, model string, sku string, gender string").withColumns({"node": F.lit(1), "word": F.lit("clash")})
+    o = spark.createDataFrame(offers + catalogue(), "id long, title string, brand string, model string, sku string, gender string").withColumns({"node": F.lit(1), "word": F.lit("clash")})
     c = spark.createDataFrame(codes, "id long, gtins array<string>")
     b = spark.createDataFrame(BRANDS, "brand_id int, brand_name string, aliases array<string>")
     got = dict(tuple(r) for r in same_product.same_product(o, c, b).collect())
-    assert set(got) == set(range(1, 12))
-    groups = {frozenset(i for i in got if got[i] == g) for g in set(got.values())}
-    assert groups == {frozenset(x) for x in ((1, 2, 3), (4, 7), (5,), (6,), (8,), (9,), (10,), (11,))}
-    pairs = same_product.product_pairs(spark.createDataFrame(list(got.items()), "id long, group_id long"))
+    assert set(got) == {*range(1, 12), *(r[0] for r in catalogue())}
+    of = lambda ids: {frozenset(i for i in ids if got[i] == g) for g in {got[i] for i in ids}}
+    assert of(range(1, 12)) == {frozenset(x) for x in ((1, 2, 3), (4, 7), (5,), (6,), (8,), (9,), (10,), (11,))}
+    assert of(range(1001, 1961)) == {frozenset((i, i + 1, i + 2)) for i in range(1001, 1961, 3)}
+    pairs = same_product.product_pairs(spark.createDataFrame([x for x in got.items() if x[0] < 12], "id long, group_id long"))
     assert rows(pairs) == [(1, 2), (1, 3), (2, 3), (4, 7)]
     assert same_product.same_product(o.limit(0), c, b).count() == 0
 
 
+def test_weights_are_learned(spark):
+    """A spelling that differs between listings of one code comes to count little, a colour that differs decides."""
+    number = {k: i for i, k in enumerate(same_product.KINDS)}
+    t = lambda kind, n: (n << 6) | number[kind]
+    pairs = []
+    for n in range(1, 200):
+        pairs.append((n, [t("sku=", n), t("word~", 1), t("colours=", n % 5), 0]) if n % 3 == 0 else (n, [t("sku=", n), t("word=", n), t("colours=", n % 5), 0]))
+        pairs.append((1000 + n, [t("word=", n), t("colours#", 1), 0] if n % 2 else [t("word=", n), t("colours=", n % 5), 0]))
+    got = dict(rows(same_product._reinforced(spark.createDataFrame(pairs, "p long, terms array<long>"))))
+    assert all((got[n] >= same_product.THRESHOLD) for n in range(1, 200))  # without rounds every third has 0
+    assert all((got[1000 + n] >= same_product.THRESHOLD) == (n % 2 == 0) for n in range(1, 200))
+    assert same_product._reinforced(spark.createDataFrame([], "p long, terms array<long>")).count() == 0
+
+
 def test_barcodes(spark):
     d = spark.createDataFrame([(["4006381333931", " 4 006381 333931", "4006381333932", "0000000000000", "", None, "abc", "04006381333931"],), (None,), ([],)], "g array<string>")
     assert [r[0] for r in d.select(listings.barcodes("g")).collect()] == [[4006381333931], [], []]

@@ -33,6 +33,12 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return map_values(table(spark, sf, "normalized_offer"), "offer_id", "brand", "title", brands).select("offer_id", F.col("entry").alias("brand_id"))
 
 
+def p2_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """The brand values that mean no listed brand, and how many listings bear each."""
+    none = p2_found(spark, sf).where("brand_id = 0").select("offer_id")
+    return table(spark, sf, "normalized_offer").select("offer_id", "brand").join(none, "offer_id").groupBy("brand").agg(F.count("*").alias("listings"))
+
+
 def p4_groups(spark: SparkSession, sf: str) -> DataFrame:
     """The product group of every listing."""
     offers = table(spark, sf, "normalized_offer").select(F.col("offer_id").alias("id"), "title", "brand", "model", "sku", "gender")
@@ -100,7 +106,7 @@ def p10_stretches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_groups, p5_found, p7_found, p7_record, p8_ids, p9_mix, p9_shares, p10_found, p10_stretches)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_unmatched, p4_found, p4_groups, p5_found, p7_found, p7_record, p8_ids, p9_mix, p9_shares, p10_found, p10_stretches)}
 
 
 def oracle_sql() -> dict[str, str]:

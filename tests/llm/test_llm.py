@@ -65,17 +65,50 @@ NAMES = [(1, "Skeke Sport", []), (2, "Čevuk 87", ["House of Čevuk"]), (3, "Br
     ],
 )
 def test_values(value, entry):
-    _, exact, near = canonical.Names(NAMES).of_value(value)
+    _, exact, near = canonical.Names(NAMES, frozenset("by d o house of".split())).of_value(value)
     assert (exact if exact is not None else near) == entry
 
 
+def test_mentions_are_the_longest():
+    names = canonical.Names([(1, "Alpha Beta", []), (2, "Beta Gamma Delta", []), (3, "Gamma", [])])
+    assert [n for *_, n in names.mentions("alpha beta gamma delta")] == [2]
+    assert [n for *_, n in names.mentions("gamma alpha beta gamma")] == [3, 1, 3]
+    assert names.mentions("") == [] and canonical.Names([]).mentions("alpha beta") == []
+
+
+def test_similar_words_against_every_name():
+    """The bigram index loses no name that comparing with all of them finds."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    names = canonical.Names([(n, f"{word()} {word()}" if n % 3 else word(), []) for n in range(1, 400)])
+
+    def slip(x):
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(x))
+            x = rng.choice([x[:k] + x[k + 1 :], x[:k] + rng.choice("abcdr") + x[k:], x[:k] + x[k : k + 2][::-1] + x[k + 2 :]]) or "a"
+        return x
+
+    for name, _, _ in rng.sample(names.names, 250):
+        words = slip(name[:5] + " " + name[5:]).split() if rng.random() < 0.5 else [slip(name)]
+        joined = "".join(words)
+        most = int(len(joined) * (1 - canonical.LEAST_SIMILAR))
+        far = [(min(folding.edit_distance("".join(o), key, most) for o in itertools.permutations(words)), n) for key, n, _ in names.names]
+        best = min(d for d, _ in far)
+        want = {n for d, n in far if d == best} if best <= most else set()
+        assert names.similar(words) == (want.pop() if len(want) == 1 else None), words
+
+
 def test_mapped_values(spark):
-    data = [(1, "Skeke Sport", None), (2, None, "x"), (3, "  ", "x"), (4, "skeke sport", None), (5, "Molopomu", "Patike Gaklex Runner 5"), (6, "Molopomu", "GAKLEX TRAIL"), (7, "Fremdo", "Fremdo Trail 2"), (8, "razno", "Gaklex Pro"), (9, "Gaklexx", None), (9, "Gaklexx", None)]
+    data = [(1, "Skeke Sport", None), (2, None, "x"), (3, "  ", "x"), (4, "skeke sport", None), (5, "Molopomu", "Patike Gaklex Runner 5"), (6, "Molopomu", "GAKLEX TRAIL"), (7, "Fremdo", "Fremdo Trail 2"), (8, "razno", "Gaklex Pro"), (9, "Gaklexx", None), (9, "Gaklexx", None), (10, "ništa", "Gaklex Pro"), (11, "Skeke Spxxyy", "Skeke Sport Dash")]
     df = spark.createDataFrame(data, "id long, brand string, title string").withColumns({"key": F.lit("clash"), "entry": F.lit(1)})
     names = spark.createDataFrame(NAMES, "brand_id int, brand_name string, aliases array<string>")
-    assert rows(canonical.map_values(df, "id", "brand", "title", names).distinct()) == [(4, 1), (5, 6), (6, 6), (7, 0), (8, 0), (9, 6)]
+    assert rows(canonical.map_values(df, "id", "brand", "title", names).distinct()) == [(10, 0), (11, 1), (4, 1), (5, 6), (6, 6), (7, 0), (8, 0), (9, 6)]
     assert canonical.map_values(df.limit(0), "id", "brand", "title", names).count() == 0
     assert {r[1] for r in canonical.map_values(df, "id", "brand", "title", names.limit(0)).collect()} == {0}
+    many = spark.createDataFrame([(n, f"Brend{c}x", []) for n, c in enumerate("abcdefgh")], "brand_id int, brand_name string, aliases array<string>")
+    wrapped = spark.createDataFrame([(i, f"{w} brend{c}x", None) for i, (w, c) in enumerate([*(("tvrtka", c) for c in "abcdef"), ("razna", "g")])], "id long, brand string, title string")
+    # what stands beside many names says nothing, what stands beside one does not hide in it
+    assert rows(canonical.map_values(wrapped, "id", "brand", "title", many)) == [*((i, i) for i in range(6)), (6, 0)]
     with pytest.raises(ValueError, match="canonical"):
         canonical.MOST_NAMES, keep = 1, canonical.MOST_NAMES
         try:

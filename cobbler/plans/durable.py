@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Tables written by this process.
+#: Tables written by this process and not yet dropped; lazily read results may still need them.
 _WRITTEN: set[str] = set()
 
 
@@ -46,14 +46,20 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{shared_dir(spark)}/cobbler/{name}-{uuid.uuid4().hex}"
     _WRITTEN.add(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_all(spark: SparkSession) -> None:
-    """Deletes every table written by this process that is still there: for the end of a session."""
+    """Deletes every table written by this process that is still there: for the end of a session, once all results are read."""
     while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _WRITTEN.pop())
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -62,9 +68,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def drop_written(*frames: DataFrame) -> None:
-    """Deletes tables that ``written`` made, once nothing will read them again."""
+    """Deletes tables that ``written`` or ``cut`` gave, once nothing will read them again."""
     for df in frames:
-        spark = df.sparkSession
-        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.discard(df._written)
+        _delete(df.sparkSession, df._written)

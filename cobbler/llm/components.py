@@ -31,9 +31,9 @@ def _jump(hooks: DataFrame) -> DataFrame:
         to = table.select(F.col("x").alias("m"), F.col("m").alias("mm"))
         moved = cut(table.join(to, "m", "left").select("x", F.coalesce("mm", "m").alias("m"), F.col("mm").isNotNull().alias("moved")))
         drop_written(table)
+        table = moved
         if moved.where("moved").isEmpty():
-            return moved.select("x", "m")
-        table = moved.select("x", "m")
+            return moved
 
 
 def group_pairs(pairs: DataFrame, a: str, b: str, linked: Column | None = None) -> DataFrame:
@@ -57,5 +57,7 @@ def group_pairs(pairs: DataFrame, a: str, b: str, linked: Column | None = None)
     while rounds:
         earlier = rounds.pop()
         on = earlier.join(final.select(F.col("x").alias("m"), F.col("m").alias("mm")), "m", "left").select("x", F.coalesce("mm", "m").alias("m"))
-        final = cut(on.unionByName(final))
+        both = cut(on.unionByName(final.select("x", "m")))
+        drop_written(earlier, final)
+        final = both
     return vertices.join(final.select(F.col("x").alias("id"), "m"), "id", "left").select("id", F.coalesce("m", "id").alias("group_id"))

@@ -31,6 +31,8 @@ one with the least node).  Empty tables give an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +45,8 @@ from cobbler.plans.durable import cut, drop_written, written
 THRESHOLD, PLAUSIBLE, STILL = 0.5, 0.2, 0.02
 #: Pairs of a term's kind that are added to the term's own, and pairs added to the kind's that all match, or none for a difference: few pairs tell little.
 SMOOTHING = 50.0
-#: A term weighs as much as a chance between these bounds.
-LEAST = 0.001
+#: A term weighs as much as a chance between this and one less this; the share of all pairs from which a term is common.
+LEAST, COMMON = 0.001, 0.001
 #: A misspelt model word is at most this often met, as a share of the sound one.
 SLIP_SHARE = 0.2
 #: What a profile says; the kinds of terms of a pair, by the number that a term's last bits hold.
@@ -120,34 +122,50 @@ def _terms() -> Column:
 
 
 def _reinforced(pairs: DataFrame) -> DataFrame:
-    """(p, score): ``pairs`` (p, terms) scored once weights and scores agree.
+    """(p, score): ``pairs`` (p, terms) scored once weights and scores agree; to begin with, a pair matches if it differs in nothing.
 
-    To begin with, a pair matches if it differs in nothing.
+    Terms that many pairs hold (colours, audiences, differences) are few; their sums come to the driver and
+    their weights go out as constants.  The others, such as model words and codes, meet their pairs in joins.
     """
-    # kinds of differing terms have even numbers; 0 is the term of all pairs
-    differs = F.exists("terms", lambda t: (t.bitwiseAND(F.lit(63)) > 0) & (F.pmod(t.bitwiseAND(F.lit(63)), F.lit(2)) == 0))
-    scores = pairs.select("p", "terms", F.when(differs, 0.0).otherwise(1.0).alias("score"))
-    table = None
+    spark = pairs.sparkSession
+    kind = lambda t: t.bitwiseAND(F.lit(63))
+    differs = F.exists("terms", lambda t: (kind(t) > 0) & (F.pmod(kind(t), F.lit(2)) == 0))
+    said = pairs.select("p", F.explode("terms").alias("t"))
+    counted = said.groupBy("t").agg(F.count("*").alias("n"))
+    # a pair has ten terms at most, so at most 10 / COMMON of them are common
+    common = counted.join(F.broadcast(counted.agg(F.max("n").alias("all"))), F.col("n") >= COMMON * F.col("all")).select("t", "n").collect()  # one row
+    if not common:
+        return pairs.select("p", F.lit(0.0).alias("score"))
+    held = [(r["t"], r["n"]) for r in sorted(common)]
+    index = F.broadcast(spark.createDataFrame([(t, i) for i, (t, _) in enumerate(held)], "t long, i int"))
+    split = said.join(index, "t", "left").groupBy("p").agg(F.collect_list("i").alias("common"), F.collect_list(F.when(F.col("i").isNull(), F.col("t"))).alias("rare"))
+    start = pairs.select("p", F.when(differs, 0.0).otherwise(1.0).alias("score"))
+    scores = cut(split.join(start, "p"))
+    odds = lambda x: math.log(min(max(x, LEAST), 1 - LEAST) / (1 - min(max(x, LEAST), 1 - LEAST)))
     while True:
-        counted = cut(scores.select(F.explode("terms").alias("t"), "score").groupBy("t").agg(F.sum("score").alias("s"), F.count("*").alias("n")))
-        sums = {r["k"]: (r["s"], r["n"]) for r in counted.groupBy(F.col("t").bitwiseAND(F.lit(63)).alias("k")).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}  # a row a kind
-        if not sums:
-            return pairs.select("p", F.lit(0.0).alias("score"))
-        share = sums[0][0] / sums[0][1]
+        sums = dict(scores.select(F.explode("common").alias("i"), "score").groupBy("i").agg(F.sum("score")).collect())  # a row a common term
+        rare = cut(scores.select(F.explode("rare").alias("t"), "score").groupBy("t").agg(F.sum("score").alias("s"), F.count("*").alias("n")))
+        of_kind = {r["k"]: [r["s"], r["n"]] for r in rare.groupBy(kind(F.col("t")).alias("k")).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}  # a row a kind
+        for i, (t, n) in enumerate(held):
+            s, m = of_kind.get(t & 63, (0.0, 0))
+            of_kind[t & 63] = [s + sums.get(i, 0.0), m + n]
+        base = of_kind[0][0] / of_kind[0][1]
         # until many pairs say otherwise, what is shared speaks for a match and what differs against it
-        kinds = {k: share if k == 0 else (s + SMOOTHING * (k % 2)) / (n + SMOOTHING) for k, (s, n) in sums.items()}
-        of_kind = F.get(F.array(*[F.lit(float(kinds.get(k, 0.0))) for k in range(len(KINDS))]), F.col("t").bitwiseAND(F.lit(63)).cast("int"))
-        odds = lambda x: F.log(x / (1 - x))
-        kept = lambda x: F.greatest(F.least(x, F.lit(1 - LEAST)), F.lit(LEAST))
-        base = odds(kept(F.lit(float(kinds[0]))))
-        weights = counted.select("t", (odds(kept((F.col("s") + SMOOTHING * of_kind) / (F.col("n") + SMOOTHING))) - F.when(F.col("t") == 0, 0.0).otherwise(base)).alias("w"))
-        told = scores.select("p", "score", F.explode("terms").alias("t")).join(weights, "t").groupBy("p").agg(F.sum("w").alias("w"), F.collect_list("t").alias("terms"), F.first("score").alias("old"))
-        fresh = cut(told.select("p", "terms", (1 / (1 + F.exp(-F.col("w")))).alias("score"), "old"))
+        share = {k: (s + SMOOTHING * (k % 2)) / (n + SMOOTHING) for k, (s, n) in of_kind.items()}
+        weights = [odds(base) if t == 0 else odds((sums.get(i, 0.0) + SMOOTHING * share[t & 63]) / (n + SMOOTHING)) - odds(base) for i, (t, n) in enumerate(held)]
+        constants = F.split(F.lit(" ".join(map(repr, weights))), " ").cast("array<double>")
+        kinds = F.array(*[F.lit(float(share.get(k, base))) for k in range(len(KINDS))])
+        chance = F.greatest(F.least((F.col("s") + SMOOTHING * F.get(kinds, kind(F.col("t")).cast("int"))) / (F.col("n") + SMOOTHING), F.lit(1 - LEAST)), F.lit(LEAST))
+        weighed = rare.select("t", (F.log(chance / (1 - chance)) - odds(base)).alias("w"))
+        told = scores.select("p", F.explode("rare").alias("t")).join(weighed, "t").groupBy("p").agg(F.sum("w").alias("w"))
+        known = F.aggregate("common", F.lit(0.0), lambda a, i: a + F.get(constants, i))
+        fresh = scores.join(told, "p", "left").select("p", "common", "rare", (1 / (1 + F.exp(-known - F.coalesce("w", F.lit(0.0))))).alias("score"), F.col("score").alias("old"))
+        fresh = cut(fresh)
         moved = fresh.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
-        drop_written(counted, *([table] if table is not None else []))
-        scores, table = fresh.select("p", "terms", "score"), fresh
+        drop_written(rare, scores)
+        scores = fresh
         if moved <= STILL:
-            return scores.select("p", "score")
+            return scores
 
 
 def _links(scored: DataFrame, nodes: DataFrame, centres: DataFrame) -> DataFrame:
@@ -183,18 +201,20 @@ def same_product(offers: DataFrame, codes: DataFrame, brands: DataFrame) -> Data
     offers = offers.where("id is not null")
     said = [c for c in SCHEMA.names if c != "id"]
     held = codes.where("id is not null").select("id", barcodes("gtins").alias("g")).where("size(g) > 0").groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("g")))).alias("gtins"))
-    listings = _mended(written(parsed(offers, names, learned_grammar(offers)).join(held, "id", "left"), "listings"))
+    listings = written(parsed(offers, names, learned_grammar(offers)).join(held, "id", "left"), "listings")
     apart = F.when((F.col("sku") != "") | _whole(), "").when(F.size("gtins") > 0, F.get("gtins", F.lit(0)).cast("string")).when(F.col("word") == "", F.concat(F.lit("id "), F.col("id").cast("string"))).otherwise("")
     # the node of a listing is the 64-bit hash of what it says: no join is needed to find it
-    keyed = written(listings.withColumn("apart", apart).withColumn("node", F.xxhash64(*said, "apart")), "nodes")
+    keyed = written(_mended(listings).withColumn("apart", apart).withColumn("node", F.xxhash64(*said, "apart")), "nodes")
+    drop_written(listings)
     nodes = written(keyed.groupBy("node").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in said]), "profiles")
     gtins = keyed.where("size(gtins) > 0").select("node", F.explode("gtins").alias("gtin")).distinct()
     centres = nodes.where("sku <> ''").groupBy("sku").agg(F.min_by("node", F.struct(-F.col("n"), "node")).alias("node"), *[_most(c).alias(c) for c in PROFILE])
     centres = written(centres.withColumn("profile", _profile()), "centres")
     pairs = written(_candidates(nodes, gtins, centres).withColumn("terms", _terms()).withColumn("p", F.xxhash64("a", "b", "kind")), "pairs")
-    scores = _reinforced(pairs.select("p", "terms"))
-    links = _links(pairs.drop("terms").join(scores, "p"), nodes, centres)
-    groups = group_pairs(written(links, "links"), "a", "b").withColumnRenamed("id", "node")
+    scores = _reinforced(pairs.select("p", "terms")).select("p", "score")
+    links = written(_links(pairs.drop("terms").join(scores, "p"), nodes, centres), "links")
+    drop_written(pairs)
+    groups = group_pairs(links, "a", "b").withColumnRenamed("id", "node")
     loose = (F.col("sku") == "") & ~_whole()
     out = keyed.groupBy("id").agg(F.min("node").alias("node")).join(nodes.select("node", loose.alias("loose")).join(groups, "node", "left"), "node")
     # nodes that say too little and found no partner are not known to be one product

@@ -130,6 +130,7 @@ def test_edits(a, b, most, d):
     [
         ("Skeke Pro 2", "Ｓｋｅｋｅ Pro 2", True), ("Kurtež", "Kurtež", True), ("glide", "gli​de", True), ("a b", "a b", True), ("x-y", "x‑y", True), ("gold", "gоld", True), ("retro", "rеtrо", True), ("ν5", "v5", True), ("ﬁ", "fi", True), ("𝟪mm", "8mm", True), ("Ⅲ", "III", True),
         ("Gold", "gold", False), ("Kurtež", "Kurtez", False), ("x-y", "x y", False), ("đ", "d", False), ("Патике роса", "Патике poca", False), ("Патике бордo", "Патике бордо", True), ("", "​", True), ("l", "I", False), ("0", "O", False),
+        ("ɡold", "gold", True), ("ɑdidas", "adidas", True), ("goldı", "goldi", True), ("Ꭺdidas", "Adidas", True), ("օn", "on", True), ("ꓟ1", "M1", True), ("ⲟn", "on", True), ("x²", "x2", False), ("①", "1", False), ("½", "1⁄2", False), ("´", " ", False),
     ],
 )
 def test_skeletons(a, b, same):

@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Tables written by this process and not yet dropped; lazily read results may still need them.
@@ -51,6 +52,13 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
+def cut_counted(df: DataFrame, which: str = "true") -> tuple[DataFrame, int]:
+    """``cut``, and how many of the rows hold the SQL condition ``which``: counted while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count_if(F.expr(which)).alias("n")))
+    return out, seen.get["n"]
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

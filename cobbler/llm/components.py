@@ -21,35 +21,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cobbler.plans.durable import cut, drop_written
+from cobbler.plans.durable import cut, cut_counted, drop_written
 
 
 def _jump(hooks: DataFrame) -> DataFrame:
     """hooks: x -> m, m < x.  Follows m until it is no x any more; each pass doubles the steps taken."""
-    table = cut(hooks)
-    while True:
+    table, moved = cut(hooks), 1
+    while moved:
         to = table.select(F.col("x").alias("m"), F.col("m").alias("mm"))
-        moved = cut(table.join(to, "m", "left").select("x", F.coalesce("mm", "m").alias("m"), F.col("mm").isNotNull().alias("moved")))
+        further, moved = cut_counted(table.join(to, "m", "left").select("x", F.coalesce("mm", "m").alias("m"), F.col("mm").isNotNull().alias("moved")), "moved")
         drop_written(table)
-        table = moved
-        if moved.where("moved").isEmpty():
-            return moved
+        table = further
+    return table
 
 
 def group_pairs(pairs: DataFrame, a: str, b: str, linked: Column | None = None) -> DataFrame:
     """(id, group_id) of every id in ``a`` or ``b``; rows link their ids where ``linked`` holds and both are there."""
     both = pairs.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"), (F.lit(True) if linked is None else F.coalesce(linked, F.lit(False))).alias("on"))
     vertices = both.select(F.explode(F.array("a", "b")).alias("id")).where("id is not null").distinct()
-    edges = cut(both.where("on and a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges, left = cut_counted(both.where("on and a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rounds: list[DataFrame] = []
-    while not edges.isEmpty():
+    while left:
         # both directions in one pass; the smallest label each vertex hears of
         heard = edges.select(F.explode(F.array(F.struct(F.col("b").alias("x"), F.col("a").alias("m")), F.struct(F.col("a").alias("x"), F.col("b").alias("m")))).alias("e")).groupBy("e.x").agg(F.min("e.m").alias("m"))
         roots = _jump(heard.where("m < x"))
         rounds.append(roots)
-        left = edges.join(roots.select(F.col("x").alias("a"), F.col("m").alias("ma")), "a", "left").select("b", F.coalesce("ma", "a").alias("a"))
-        moved = left.join(roots.select(F.col("x").alias("b"), F.col("m").alias("mb")), "b", "left").select("a", F.coalesce("mb", "b").alias("b"))
-        before, edges = edges, cut(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        moved = edges.join(roots.select(F.col("x").alias("a"), F.col("m").alias("ma")), "a", "left").select("b", F.coalesce("ma", "a").alias("a"))
+        moved = moved.join(roots.select(F.col("x").alias("b"), F.col("m").alias("mb")), "b", "left").select("a", F.coalesce("mb", "b").alias("b"))
+        before = edges
+        edges, left = cut_counted(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         drop_written(before)
     if not rounds:
         return vertices.select("id", F.col("id").alias("group_id"))

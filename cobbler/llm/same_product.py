@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from cobbler.llm.canonical import MOST_NAMES
 from cobbler.llm.components import group_pairs
 from cobbler.llm.listings import SCHEMA, barcodes, learned_grammar, parsed
-from cobbler.plans.durable import cut, drop_written, written
+from cobbler.plans.durable import cut, cut_counted, drop_written, written
 
 #: Score from which a pair is a link, and from which it may be one; change of a score that counts as none.
 THRESHOLD, PLAUSIBLE, STILL = 0.5, 0.2, 0.02
@@ -90,11 +90,11 @@ def _candidates(nodes: DataFrame, gtins: DataFrame, centres: DataFrame) -> DataF
     """(a, b, kind, x, y): candidate pairs of nodes (by 'code', 'barcode') and of profiles ('profile'), with what each says."""
     said = F.struct(*PROFILE, "sku").alias("x")
     by_code = nodes.where("sku <> ''").select("sku", F.col("node").alias("a"), said).join(centres.select("sku", F.col("node").alias("b"), said.alias("y")), "sku").where("a <> b").select("a", "b", F.lit("code").alias("kind"), "x", "y")
-    # barcodes that stand with one style code at most; the centre is a node with that code, if there is one
-    held = gtins.join(nodes.select("node", said), "node")
-    clear = held.groupBy("gtin").agg(F.min(F.when(F.col("x.sku") != "", F.col("x.sku"))).alias("s1"), F.max("x.sku").alias("s2"), F.min_by("node", F.struct(F.col("x.sku") == "", "node")).alias("b"), F.count("*").alias("k"))
-    clear = clear.where("k > 1 and coalesce(s1, '') = s2").select("gtin", "b")
-    met = gtins.join(clear, "gtin").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    # barcodes that stand with one style code at most; the centre is a node with that code, if there is one.
+    # Nodes with a code meet by it, so only the others need their barcodes' centres
+    clear = gtins.groupBy("gtin").agg(F.min(F.when(F.col("sku") != "", F.col("sku"))).alias("s1"), F.max("sku").alias("s2"), F.min(F.when(F.col("sku") != "", F.col("node"))).alias("coded"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    clear = clear.where("lo <> hi and coalesce(s1, '') = s2").select("gtin", F.coalesce("coded", "lo").alias("b"))
+    met = gtins.where("sku = ''").select("node", "gtin").join(clear, "gtin").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     by_barcode = met.join(nodes.select(F.col("node").alias("a"), said), "a").join(nodes.select(F.col("node").alias("b"), said.alias("y")), "b").select("a", "b", F.lit("barcode").alias("kind"), "x", "y")
     free = nodes.where("sku = '' and word <> ''").select(_profile().alias("a"), said).dropDuplicates(["a"])
     coded = centres.where("word <> ''").select(F.col("profile").alias("b"), F.struct(*PROFILE, F.lit("").alias("sku")).alias("y")).dropDuplicates(["b"])
@@ -160,11 +160,10 @@ def _reinforced(pairs: DataFrame) -> DataFrame:
         told = scores.select("p", F.explode("rare").alias("t")).join(weighed, "t").groupBy("p").agg(F.sum("w").alias("w"))
         known = F.aggregate("common", F.lit(0.0), lambda a, i: a + F.get(constants, i))
         fresh = scores.join(told, "p", "left").select("p", "common", "rare", (1 / (1 + F.exp(-known - F.coalesce("w", F.lit(0.0))))).alias("score"), F.col("score").alias("old"))
-        fresh = cut(fresh)
-        moved = fresh.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
+        fresh, moved = cut_counted(fresh, f"abs(score - old) > {STILL}")
         drop_written(rare, scores)
         scores = fresh
-        if moved <= STILL:
+        if not moved:
             return scores
 
 
@@ -207,7 +206,7 @@ def same_product(offers: DataFrame, codes: DataFrame, brands: DataFrame) -> Data
     keyed = written(_mended(listings).withColumn("apart", apart).withColumn("node", F.xxhash64(*said, "apart")), "nodes")
     drop_written(listings)
     nodes = written(keyed.groupBy("node").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in said]), "profiles")
-    gtins = keyed.where("size(gtins) > 0").select("node", F.explode("gtins").alias("gtin")).distinct()
+    gtins = keyed.where("size(gtins) > 0").select("node", "sku", F.explode("gtins").alias("gtin"))
     centres = nodes.where("sku <> ''").groupBy("sku").agg(F.min_by("node", F.struct(-F.col("n"), "node")).alias("node"), *[_most(c).alias(c) for c in PROFILE])
     centres = written(centres.withColumn("profile", _profile()), "centres")
     pairs = written(_candidates(nodes, gtins, centres).withColumn("terms", _terms()).withColumn("p", F.xxhash64("a", "b", "kind")), "pairs")

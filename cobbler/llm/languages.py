@@ -6,15 +6,20 @@ words of the whole text, with a penalty for every switch, labels stretches.  Str
 with character offsets and a confidence; a text's language is the one with most characters in
 whole sentences.
 
-The scores are trained here: on at most ``FIT_DOCS`` labelled documents, chosen by hash of their id
-(a documented bound), from counts of words and character n-grams per language.  Labels may be wrong
-and texts mixed, so counting is repeated after relabelling sentences with the model at hand.  The
-model has a fixed size (``BUCKETS`` x languages); applying it is a map over all documents, without a
-shuffle, over whole texts.
+The scores are trained here: on at most ``FIT_DOCS`` labelled documents of at most ``FIT_CHARS``
+characters, those of the least hashes of their ids (documented bounds, one scan), from counts of words
+and character n-grams per language.  Labels may be wrong and texts mixed, so counting is repeated after
+relabelling sentences with the model at hand.  Evidence of neighbouring words is not independent: what a
+stretch's summed evidence is divided by before it becomes a confidence is fitted too, on how often the
+first words of a sentence agree with the whole of it.  The model has a fixed size (``BUCKETS`` x
+languages); applying it is a map over all documents, without a shuffle, over whole texts.  Words of a
+batch are scored once and summed as arrays; a text in which no other language gains more over any stretch
+than a switch costs has one language by Viterbi, so only the others are searched.
 
 Defined results.  Null and empty texts, and texts without a word, have no stretches and no language.
-Ties go to the language listed first.  Confidence lies between 0 and 1; a stretch of names only has
-a confidence near one over the number of languages.
+Ties go to the language listed first.  Confidence lies between 0 and 1.  A stretch without evidence for
+one language (names only, or a script that none of the languages is written in) has the language
+``UNKNOWN``.
 """
 
 from __future__ import annotations
@@ -46,6 +51,12 @@ NAMED = {n: lang for lang, names in NAMES.items() for n in names.split()}
 
 #: Documents the scores are fitted on at most; hash buckets of n-grams; rounds of relabelling.
 FIT_DOCS, BUCKETS, ROUNDS = 3_000, 1 << 17, 2
+#: Characters of a document that is fitted on at most.
+FIT_CHARS = 100_000
+#: The language of a stretch whose confidence is below this.
+UNKNOWN, LEAST_SURE = "und", 0.5
+#: Words whose evidence is held as one array.
+BLOCK_WORDS = 200_000
 #: What a switch of language costs, in nats; the bounds of one word's evidence.
 SWITCH, MOST_EVIDENCE = 7.0, 6.0
 #: Words that make a whole sentence.
@@ -55,6 +66,7 @@ PROSE = 0.6
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*")
 _END = regex.compile(r"[.!?…]+(?=\s|$|[\"'”)])|[\n\r\u2028\u2029]+|\s[/|•]\s")
+_WRITTEN = regex.compile(r"[\p{Latin}\p{Cyrillic}]")
 _CYRILLIC = regex.compile(r"\p{Cyrillic}")
 _LATIN_ONLY = [i for i, x in enumerate(LANGUAGES) if x not in SCRIPTS]
 _SR = LANGUAGES.index("sr")
@@ -71,13 +83,13 @@ def named_language(label: str | None) -> str | None:
 @lru_cache(maxsize=100_000)
 def _grams(word: str) -> tuple[int, ...]:
     """Hash buckets of a word's character n-grams (two to four, with its borders)."""
-    w = f"^{word}$"
+    codes = [94, *map(ord, word), 36]
     out = []
-    for n in (2, 3, 4):
-        for i in range(len(w) - n + 1):
-            h = 2166136261
-            for c in w[i : i + n]:
-                h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+    n = len(codes)
+    for i in range(n - 1):
+        h = ((2166136261 ^ codes[i]) * 16777619) & 0xFFFFFFFF
+        for c in codes[i + 1 : i + 4]:  # each gram goes on from the one before
+            h = ((h ^ c) * 16777619) & 0xFFFFFFFF
             out.append((h ^ (h >> 15)) & (BUCKETS - 1))
     return tuple(out)
 
@@ -85,10 +97,15 @@ def _grams(word: str) -> tuple[int, ...]:
 class Scores:
     """Evidence for each language in a word."""
 
-    def __init__(self, words: dict[str, tuple[float, ...]], grams: np.ndarray):
-        self.words, self.grams = words, grams
+    def __init__(self, words: dict[str, tuple[float, ...]], grams: np.ndarray, spread: float = 1.0):
+        self.words, self.grams, self.spread = words, grams, spread
         self.cache: dict[str, tuple[float, ...]] = {}
 
+    def sure(self, totals: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The confidence in each row's language ``own``, given the evidence of its words."""
+        off = np.clip((totals - totals[np.arange(len(own)), own][:, None]) / self.spread, -50.0, 50.0)
+        return 1.0 / np.exp(off).sum(axis=1)
+
     def of(self, word: str) -> tuple[float, ...]:
         got = self.cache.get(word)
         if got is None:
@@ -100,6 +117,8 @@ class Scores:
     def _of(self, word: str) -> tuple[float, ...]:
         w = word.lower().replace("’", "'")
         n = len(LANGUAGES)
+        if not _WRITTEN.search(w):
+            return (0.0,) * n
         if _CYRILLIC.search(w):
             return tuple(0.0 if i == _SR else -MOST_EVIDENCE for i in range(n))
         if (known := self.words.get(w)) is not None:
@@ -155,9 +174,8 @@ def labelled(text: str, scores: Scores) -> tuple[list[tuple[int, int]], list[int
     return spots, path, evidence
 
 
-def _confidence(total: list[float]) -> tuple[int, float]:
-    m = max(total)
-    return total.index(m), 1.0 / sum(math.exp(max(t - m, -50.0)) for t in total)
+def _confidence(total: list[float], own: int, scores: Scores) -> float:
+    return 1.0 / sum(math.exp(min(max((t - total[own]) / scores.spread, -50.0), 50.0)) for t in total)
 
 
 def stretches(text: str, scores: Scores) -> list[tuple[int, int, str, float]]:
@@ -172,9 +190,8 @@ def stretches(text: str, scores: Scores) -> list[tuple[int, int, str, float]]:
             for k, v in enumerate(evidence[j]):
                 total[k] += v
             j += 1
-        own = total[path[i]]
-        conf = 1.0 / sum(math.exp(min(max(t - own, -50.0), 50.0)) for t in total)
-        out.append((spots[i][0], spots[j - 1][1], LANGUAGES[path[i]], conf))
+        conf = _confidence(total, path[i], scores)
+        out.append((spots[i][0], spots[j - 1][1], LANGUAGES[path[i]] if conf >= LEAST_SURE else UNKNOWN, conf))
         i = j
     return out
 
@@ -202,8 +219,7 @@ def sentence_languages(text: str, scores: Scores) -> dict[str, tuple[int, float]
             end = b if j == at else spots[j][0]
             letters = sum(y - x for x, y in spots[i:j])
             if j - i >= SENTENCE_WORDS and letters >= PROSE * len("".join(text[spots[i][0] : end].split())):
-                own = total[path[i]]
-                conf = 1.0 / sum(math.exp(min(max(t - own, -50.0), 50.0)) for t in total)
+                conf = _confidence(total, path[i], scores)
                 chars, best = out.get(LANGUAGES[path[i]], (0, 0.0))
                 out[LANGUAGES[path[i]]] = (chars + end - spots[i][0], max(best, conf))
             i = j
@@ -242,12 +258,11 @@ def _counted(sentences: list[tuple[int, set[str], int | None]]) -> Scores:
 def fit_scores(docs: DataFrame, id_col: str, text: str, label: str, fit_docs: int = FIT_DOCS) -> Scores:
     """Scores from at most ``fit_docs`` documents whose label names a language."""
     named = F.lower(F.regexp_extract(F.trim(F.col(label)), r"^([\p{L}]+)", 1)).isin(list(NAMED))
-    usable = docs.where(named & (F.length(text) > 0))
-    n = usable.count()
-    bar = 1_000_000 if n <= fit_docs else int(1_000_000 * fit_docs / n)
-    rows = usable.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < bar).select(text, label).orderBy(F.xxhash64(id_col), id_col).limit(fit_docs).collect()
+    usable = docs.where(named & F.length(text).between(1, FIT_CHARS))
+    # a heap of fit_docs rows in each task, one scan
+    rows = usable.select(text, label, F.xxhash64(id_col).alias("_h"), F.col(id_col).alias("_id")).orderBy("_h", "_id").limit(fit_docs).collect()
     sentences: list[tuple[int, set[str], int | None]] = []
-    for doc, (t, lab) in enumerate(rows):
+    for doc, (t, lab, *_) in enumerate(rows):
         lang = named_language(lab)
         if lang is None:
             continue
@@ -268,16 +283,124 @@ def fit_scores(docs: DataFrame, id_col: str, text: str, label: str, fit_docs: in
             again.append((doc, ws, best if first - second > 3.0 else None))
         sentences = again
         scores = _counted(sentences)
+    scores.spread = _spread(scores, [t for t, *_ in rows])
     return scores
 
 
+def _spread(scores: Scores, texts: list[str]) -> float:
+    """By what to divide evidence so that the first three words of a sentence are as often right as they are sure; the whole sentence tells what is right."""
+    some, right = [], []
+    for t in texts:
+        for a, b in _sentences(t):
+            ws = _WORD.findall(t[a:b])
+            if len(ws) >= 8:
+                each = np.array([scores.of(w) for w in ws])
+                some.append(each[:3].sum(axis=0))
+                right.append(int(each.sum(axis=0).argmax()))
+    if not some:
+        return 1.0
+    some_, right_ = np.array(some), np.array(right)
+    return float(min((0.5 + k / 4 for k in range(40)), key=lambda x: -np.log(np.maximum(Scores({}, scores.grams, x).sure(some_, right_), 1e-12)).mean()))
+
+
+class _Block:
+    """Evidence of the words of some texts, as arrays."""
+
+    def __init__(self, scores: Scores):
+        self.scores = scores
+        self.index: dict[str, int] = {}
+        self.rows: list[tuple[float, ...]] = []
+        self.table = np.zeros((0, len(LANGUAGES)))
+
+    def numbers(self, words: list[str]) -> list[int]:
+        out = list(map(self.index.get, words))
+        if None in out:
+            for k, w in enumerate(words):
+                if out[k] is None:
+                    out[k] = self.index.setdefault(w, len(self.rows))
+                    if out[k] == len(self.rows):
+                        self.rows.append(self.scores.of(w))
+        return out
+
+    def evidence(self, numbers: list[int]) -> np.ndarray:
+        if len(self.table) < len(self.rows):
+            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], dtype=float)])
+        out = self.table[numbers]
+        if len(self.rows) > 500_000:
+            self.index, self.rows, self.table = {}, [], np.zeros((0, len(LANGUAGES)))
+        return out
+
+
+def _one_language(e: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each text (its words' evidence from ``starts`` on) the language of all its words by Viterbi, or -1 if it must be searched.
+
+    Against the language of the largest sum, no other language gains more than a switch on any stretch of
+    words: then no path with switches is better.
+    """
+    best = np.add.reduceat(e, starts).argmax(axis=1)
+    sizes = np.diff(np.append(starts, len(e)))
+    gain = e - e[np.arange(len(e)), np.repeat(best, sizes)][:, None]
+    # a row of zeros before each text, from which its sums are counted
+    padded = np.insert(gain, starts, 0.0, axis=0)
+    at = starts + np.arange(len(starts))
+    sums = np.cumsum(padded, axis=0)
+    sums -= np.repeat(sums[at], sizes + 1, axis=0)
+    # each text lies far below the one before, so the running minimum starts anew
+    deep = np.repeat(np.arange(len(starts)), sizes + 1)[:, None] * (2 * np.abs(sums).max() + 1.0)
+    most = np.maximum.reduceat(sums - deep - np.minimum.accumulate(sums - deep, axis=0), at).max(axis=1)
+    return np.where(most < SWITCH - 1e-6, best, -1)
+
+
+def languages_of(texts: list[str], block: _Block) -> Iterator[dict[str, tuple[int, float]]]:
+    """``sentence_languages`` of each text, most of them without a search."""
+    at = 0
+    while at < len(texts):
+        numbers: list[int] = []
+        starts, sentences, begins, which = [], [], [], []
+        first = at
+        while at < len(texts) and len(numbers) < BLOCK_WORDS:
+            t = texts[at]
+            starts.append(len(numbers))
+            for a, b in _sentences(t):
+                s = t[a:b]
+                ws = _WORD.findall(s)
+                if len(ws) >= SENTENCE_WORDS:
+                    begins.append(len(numbers))
+                    begin = s.find(ws[0])
+                    sentences.append((len(numbers) + len(ws), b - a - begin, sum(map(len, ws)) >= PROSE * len("".join(s[begin:].split()))))
+                    which.append(at - first)
+                numbers += block.numbers(ws)
+            at += 1
+        found: list[dict[str, tuple[int, float]]] = [{} for _ in range(at - first)]
+        if numbers:
+            e = block.evidence(numbers)
+            some = np.flatnonzero(np.diff(np.append(starts, len(e))))  # texts with words
+            alone = np.full(at - first, -2)
+            alone[some] = _one_language(e, np.asarray(starts)[some])
+            if sentences:
+                ends = [x for x, *_ in sentences]
+                own = alone[which]
+                totals = np.add.reduceat(np.concatenate([e, np.zeros((1, e.shape[1]))]), np.ravel(np.column_stack([begins, ends])))[::2]
+                sure = block.scores.sure(totals, np.maximum(own, 0)).tolist()
+                for (_, chars, prose), d, k, conf in zip(sentences, which, own.tolist(), sure, strict=True):
+                    if prose and k >= 0:
+                        before, best = found[d].get(LANGUAGES[k], (0, 0.0))
+                        found[d][LANGUAGES[k]] = (before + chars, max(best, conf))
+            for d in np.flatnonzero(alone == -1).tolist():
+                found[d] = sentence_languages(texts[first + d], block.scores)
+        yield from found
+
+
 def language_stretches(docs: DataFrame, id_col: str, text: str, scores: Scores) -> DataFrame:
     """(id, part, start, end, lang, confidence) of every stretch of every text."""
     schema = T.StructType([docs.schema[id_col], T.StructField("part", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType())])
 
+    sent = docs.sparkSession.sparkContext.broadcast(scores)  # of fixed size
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = sent.value
         for pdf in batches:
-            out = [(i, n, *s) for i, t in zip(pdf[id_col], pdf[text], strict=True) if t for n, s in enumerate(stretches(t, scores))]
+            out = [(i, n, *s) for i, t in zip(pdf[id_col], pdf[text], strict=True) if t for n, s in enumerate(stretches(t, known))]
             yield pd.DataFrame(out, columns=schema.names)
 
     return docs.select(id_col, text).mapInPandas(run, schema)
@@ -287,13 +410,14 @@ def language_cases(docs: DataFrame, id_col: str, text: str, label: str, scores:
     """(id, kind, lang, confidence): missing or wrong labels, and the languages of mixed texts."""
     schema = T.StructType([docs.schema[id_col], T.StructField("kind", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType())])
 
+    sent = docs.sparkSession.sparkContext.broadcast(scores)  # of fixed size
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = _Block(sent.value)
         for pdf in batches:
             out = []
-            for i, t, lab in zip(pdf[id_col], pdf[text], pdf[label], strict=True):
-                if not t:
-                    continue
-                found = sentence_languages(t, scores)
+            pdf = pdf[pdf[text].notna()]
+            for i, lab, found in zip(pdf[id_col], pdf[label], languages_of(pdf[text].tolist(), block), strict=True):
                 if not found:
                     continue
                 main = max(LANGUAGES, key=lambda x: found.get(x, (0, 0.0))[0])

@@ -3,6 +3,7 @@ import random
 from datetime import UTC, datetime
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,6 +270,21 @@ def test_languages(spark):
     assert languages.language_cases(none, "doc_id", "text", "lang", languages.fit_scores(none, "doc_id", "text", "lang")).count() == 0
 
 
+def test_languages_without_a_search(monkeypatch):
+    """Texts taken as one language at once, and in small blocks, come out as the search finds them."""
+    rng = random.Random(3)
+    words = {"".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))): tuple(rng.gauss(0, 2.5) if k != 1 else -2.0 for k in range(7)) for _ in range(60)}
+    scores = languages.Scores(words, np.zeros((languages.BUCKETS, 7), dtype=np.float32), 1.5)
+    texts = ["", "...", "12 34", "одно", " ".join(["abc"] * 3000), "漢字 かな " * 9]
+    texts += ["".join(rng.choice(list(words)) + rng.choice([" ", " ", " ", " ", " ", ". ", "\n"]) for _ in range(rng.randint(1, 90))) for _ in range(400)]
+    monkeypatch.setattr(languages, "BLOCK_WORDS", 500)
+    got = list(languages.languages_of(texts, languages._Block(scores)))
+    want = [languages.sentence_languages(t, scores) for t in texts]
+    assert [{k: v[0] for k, v in g.items()} for g in got] == [{k: v[0] for k, v in w.items()} for w in want]
+    assert all(abs(g[k][1] - w[k][1]) < 1e-9 for g, w in zip(got, want, strict=True) for k in g)
+    assert [s[2] for s in languages.stretches("漢字 かな", scores)] == [languages.UNKNOWN]
+
+
 def test_labels():
     for label, lang in [("bs-BA", "bs"), ("BS", "bs"), ("Deutsch", "de"), ("sr-Cyrl", "sr"), ("en_US", "en"), (" it ", "it"), ("xx", None), ("??", None), (None, None), ("", None)]:
         assert languages.named_language(label) == lang

@@ -9,7 +9,7 @@ from cobbler.functions import display
 from cobbler.functions import money as M
 from cobbler.functions import size as Z
 from cobbler.functions.text import fold_lower, search_text, slugify, words
-from cobbler.functions.titles import SYNONYMS, cleaned_models
+from cobbler.functions.titles import SYNONYMS, cleaned_models, expanded
 from cobbler.operators import matching, upsert, validate
 from cobbler.plans.catalogue import Catalogue
 from cobbler.plans.catalogue_queries import BASE, fl, query, wd
@@ -113,10 +113,7 @@ _SYN = " ".join(f"WHEN '{k}' THEN ['{k}', {', '.join(repr(x) for x in v if x !=
 @query(f"SELECT offer_id, array_to_string(list_distinct(flatten([CASE w {_SYN} ELSE [w] END for w in string_split(trim(regexp_replace({fl('title')}, '{_B}+', ' ', 'g')), ' ') if w <> '']).list_sort()), ' ') AS terms FROM normalized_offer WHERE title IS NOT NULL".replace("list_distinct(flatten(", "list_sort(list_distinct(flatten(").replace("]).list_sort()), ' ')", "]))), ' ')"))
 def expand_queries(cat: Catalogue) -> DataFrame:
     """The words of every title with what they also mean, sorted."""
-    also = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in dict.fromkeys([k, *v])]))])
-    ws = F.filter(F.split(search_text("title"), " "), lambda w: w != "")
-    terms = F.array_sort(F.array_distinct(F.flatten(F.transform(ws, lambda w: F.coalesce(also[w], F.array(w))))))
-    return cat.coded.where("title is not null").select("offer_id", F.array_join(terms, " ").alias("terms"))
+    return cat.coded.where("title is not null").select("offer_id", F.array_join(F.array_sort(expanded("title")), " ").alias("terms"))
 
 
 @query("SELECT offer_id, CASE WHEN h <> '' THEN h || CASE WHEN t <> '' THEN '-' || t ELSE '' END END AS code FROM (SELECT offer_id, regexp_extract(upper(sku), '\\b([A-Z]{1,3}\\d{4,6})[\\s-]?(\\d{2,3})?\\b', 1) AS h, regexp_extract(upper(sku), '\\b([A-Z]{1,3}\\d{4,6})[\\s-]?(\\d{2,3})?\\b', 2) AS t FROM normalized_offer)")

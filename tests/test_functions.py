@@ -96,10 +96,15 @@ def test_names():
         assert titles.title_case(shouted) == cased
     assert titles.canonical_brand("361°") == "361 Degrees"
     assert titles.canonical_brand("NIKE") == "NIKE"
-    assert titles.expand_query("tenisice") == ["tenisice", "patike"]
-    assert titles.expand_query("patike tenisice") == ["patike", "tenisice"]
-    assert titles.clean_model(None, "x") is None
-    assert titles.is_placeholder("Patike")
+    assert titles.clean_model(None, "x") is None and titles.clean_model("", "x") == ""
+    assert titles.clean_model("Nike Nike", "nike") == "Nike Nike" and titles.clean_model("NikeNike x", "Nike") == "NikeNike x"
+    assert titles.is_placeholder("Patike") and titles.is_placeholder(" ") and not titles.is_placeholder("Patike 5")
+    assert titles.word_kind("mu?ke") == "wearer" and titles.word_kind("mu??e") == "wearer" and titles.word_kind("m?x") is None
+
+
+def test_expanded_queries(spark):
+    d = spark.createDataFrame([("tenisice",), ("Patike  Tenisice",), ("Obuća x",), ("",), (None,)], "q string")
+    assert [r[0] for r in d.select(titles.expanded("q")).collect()] == [["tenisice", "patike"], ["patike", "tenisice"], ["obuca", "patike", "cipele", "x"], [], None]
 
 
 def test_display(spark):

@@ -7,12 +7,13 @@ the names of many different models are line words, and the shapes in which codes
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,11 +67,15 @@ def learned_grammar(df: DataFrame) -> Grammar:
     shape = lambda x: F.regexp_replace(F.regexp_replace(x, r"\d", "9"), "[A-Z]", "A")
     cut = df.select(groups.alias("g")).where("size(g) > 1").select(shape(F.array_join(F.slice("g", F.lit(1), F.size("g") - 1), "")).alias("first"), shape(F.element_at("g", -1)).alias("last"))
     cut = cut.where(F.col("first").rlike("^A+9[A9]*$") & F.col("last").rlike("^9{2,4}$")).groupBy("first", "last").agg(F.count("*").alias("n"))
-    total = lambda d: d.agg(F.sum("n").alias("all"))
-    few = counted.join(F.broadcast(total(counted))).where(f"n >= {LINE_WORDS} and n >= {LINE_SHARE} * all").select(F.lit("").alias("first"), "last")  # one row
-    shapes = cut.join(F.broadcast(total(cut))).where(f"n >= {CODE_SHARE} * all").select("first", "last")  # one row
-    rows = few.unionByName(shapes).collect()
-    return Grammar(tuple(sorted(r["last"] for r in rows if not r["first"])), tuple(sorted((r["first"], r["last"]) for r in rows if r["first"])))
+    lines = [r["last"] for r in _frequent(counted, LINE_SHARE) if r["n"] >= LINE_WORDS]
+    return Grammar(tuple(sorted(lines)), tuple(sorted((r["first"], r["last"]) for r in _frequent(cut, CODE_SHARE))))
+
+
+def _frequent(counted: DataFrame, share: float) -> list:
+    """The rows that hold at least ``share`` of all of column n; there can't be more than 1 / share."""
+    seen = Observation()
+    rows = counted.observe(seen, F.sum("n").alias("all")).orderBy(F.desc("n"), *[c for c in counted.columns if c != "n"]).limit(math.ceil(1 / share)).collect()
+    return [r for r in rows if r["n"] >= share * seen.get["all"]]
 
 
 def model_parts(model: str | None, lines: tuple[str, ...]) -> tuple[str, str, str, str, str]:

@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cobbler.llm.canonical import MOST_NAMES
@@ -86,10 +86,18 @@ def _whole(at: str = "") -> Column:
     return (F.col(f"{at}colours") != "") & (F.col(f"{at}audience") != "") & (F.col(f"{at}word") != "")
 
 
+def _centres(nodes: DataFrame) -> DataFrame:
+    """(sku, node, profile, what it says): of each code the largest node; what that leaves out the next largest says."""
+    coded = nodes.where("sku <> ''")
+    alone = coded.where("k = 1").select("sku", "node", *PROFILE)
+    several = coded.where("k > 1").groupBy("sku").agg(F.min_by("node", F.struct(-F.col("n"), "node")).alias("node"), *[_most(c).alias(c) for c in PROFILE])
+    return alone.unionByName(several).withColumn("profile", _profile())
+
+
 def _candidates(nodes: DataFrame, gtins: DataFrame, centres: DataFrame) -> DataFrame:
     """(a, b, kind, x, y): candidate pairs of nodes (by 'code', 'barcode') and of profiles ('profile'), with what each says."""
     said = F.struct(*PROFILE, "sku").alias("x")
-    by_code = nodes.where("sku <> ''").select("sku", F.col("node").alias("a"), said).join(centres.select("sku", F.col("node").alias("b"), said.alias("y")), "sku").where("a <> b").select("a", "b", F.lit("code").alias("kind"), "x", "y")
+    by_code = nodes.where("k > 1").select("sku", F.col("node").alias("a"), said).join(centres.select("sku", F.col("node").alias("b"), said.alias("y")), "sku").where("a <> b").select("a", "b", F.lit("code").alias("kind"), "x", "y")
     # barcodes that stand with one style code at most; the centre is a node with that code, if there is one.
     # Nodes with a code meet by it, so only the others need their barcodes' centres
     clear = gtins.groupBy("gtin").agg(F.min(F.when(F.col("sku") != "", F.col("sku"))).alias("s1"), F.max("sku").alias("s2"), F.min(F.when(F.col("sku") != "", F.col("node"))).alias("coded"), F.min("node").alias("lo"), F.max("node").alias("hi"))
@@ -122,7 +130,7 @@ def _terms() -> Column:
 
 
 def _reinforced(pairs: DataFrame) -> DataFrame:
-    """(p, score): ``pairs`` (p, terms) scored once weights and scores agree; to begin with, a pair matches if it differs in nothing.
+    """``pairs`` (p, terms and what else is carried) with their score once weights and scores agree; to begin with, a pair matches if it differs in nothing.
 
     Terms that many pairs hold (colours, audiences, differences) are few; their sums come to the driver and
     their weights go out as constants.  The others, such as model words and codes, meet their pairs in joins.
@@ -131,15 +139,15 @@ def _reinforced(pairs: DataFrame) -> DataFrame:
     kind = lambda t: t.bitwiseAND(F.lit(63))
     differs = F.exists("terms", lambda t: (kind(t) > 0) & (F.pmod(kind(t), F.lit(2)) == 0))
     said = pairs.select("p", F.explode("terms").alias("t"))
-    counted = said.groupBy("t").agg(F.count("*").alias("n"))
-    # a pair has ten terms at most, so at most 10 / COMMON of them are common
-    common = counted.join(F.broadcast(counted.agg(F.max("n").alias("all"))), F.col("n") >= COMMON * F.col("all")).select("t", "n").collect()  # one row
-    if not common:
-        return pairs.select("p", F.lit(0.0).alias("score"))
-    held = [(r["t"], r["n"]) for r in sorted(common)]
+    # a pair has ten terms at most, one of which all pairs hold, so at most 10 / COMMON of them are common
+    rows = said.groupBy("t").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(math.ceil(10 / COMMON)).collect()
+    if not rows:
+        return pairs.drop("terms").withColumn("score", F.lit(0.0))
+    held = [(r["t"], r["n"]) for r in rows if r["n"] >= COMMON * rows[0]["n"]]
     index = F.broadcast(spark.createDataFrame([(t, i) for i, (t, _) in enumerate(held)], "t long, i int"))
     split = said.join(index, "t", "left").groupBy("p").agg(F.collect_list("i").alias("common"), F.collect_list(F.when(F.col("i").isNull(), F.col("t"))).alias("rare"))
-    start = pairs.select("p", F.when(differs, 0.0).otherwise(1.0).alias("score"))
+    start = pairs.withColumn("score", F.when(differs, 0.0).otherwise(1.0)).drop("terms")
+    carried = start.columns[:-1]
     scores = cut(split.join(start, "p"))
     odds = lambda x: math.log(min(max(x, LEAST), 1 - LEAST) / (1 - min(max(x, LEAST), 1 - LEAST)))
     while True:
@@ -159,7 +167,7 @@ def _reinforced(pairs: DataFrame) -> DataFrame:
         weighed = rare.select("t", (F.log(chance / (1 - chance)) - odds(base)).alias("w"))
         told = scores.select("p", F.explode("rare").alias("t")).join(weighed, "t").groupBy("p").agg(F.sum("w").alias("w"))
         known = F.aggregate("common", F.lit(0.0), lambda a, i: a + F.get(constants, i))
-        fresh = scores.join(told, "p", "left").select("p", "common", "rare", (1 / (1 + F.exp(-known - F.coalesce("w", F.lit(0.0))))).alias("score"), F.col("score").alias("old"))
+        fresh = scores.join(told, "p", "left").select(*carried, "common", "rare", (1 / (1 + F.exp(-known - F.coalesce("w", F.lit(0.0))))).alias("score"), F.col("score").alias("old"))
         fresh, moved = cut_counted(fresh, f"abs(score - old) > {STILL}")
         drop_written(rare, scores)
         scores = fresh
@@ -171,10 +179,7 @@ def _links(scored: DataFrame, nodes: DataFrame, centres: DataFrame) -> DataFrame
     """(a, b): links of nodes, and of nodes with the profiles that stand between them."""
     sure = scored.where(F.col("kind") != "profile").where(F.col("score") >= THRESHOLD).select("a", "b")
     # a profile that leaves something out needs partners that are one product
-    may = scored.where((F.col("kind") == "profile") & (F.col("score") >= PLAUSIBLE))
-    product = lambda s: F.struct(*[f"{s}.{c}" for c in ("line", "version", "colours", "audience")])
-    la, lb = ~_whole("x."), ~_whole("y.")
-    may = may.select("a", "b", "score", la.alias("la"), lb.alias("lb"), product("x").alias("pa"), product("y").alias("pb"))
+    may = scored.where((F.col("kind") == "profile") & (F.col("score") >= PLAUSIBLE)).select("a", "b", "score", "la", "lb", "pa", "pb")
     loose = may.where("la").select(F.col("a").alias("me"), F.col("pb").alias("them")).unionByName(may.where("lb").select(F.col("b").alias("me"), F.col("pa").alias("them")))
     torn = loose.groupBy("me").agg(F.min("them").alias("lo"), F.max("them").alias("hi")).where("lo <> hi").select("me")
     may = may.where(F.col("score") >= THRESHOLD).join(torn.withColumnRenamed("me", "a"), "a", "left_anti").join(torn.withColumnRenamed("me", "b"), "b", "left_anti").select("a", "b")
@@ -205,13 +210,16 @@ def same_product(offers: DataFrame, codes: DataFrame, brands: DataFrame) -> Data
     # the node of a listing is the 64-bit hash of what it says: no join is needed to find it
     keyed = written(_mended(listings).withColumn("apart", apart).withColumn("node", F.xxhash64(*said, "apart")), "nodes")
     drop_written(listings)
-    nodes = written(keyed.groupBy("node").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in said]), "profiles")
+    nodes = keyed.groupBy("node", *said).agg(F.count("*").alias("n"))  # the node stands for all that is said
+    coded = nodes.where("sku <> ''").withColumn("k", F.count("*").over(Window.partitionBy("sku")))
+    nodes = written(coded.unionByName(nodes.where("sku = ''").withColumn("k", F.lit(0).cast("long"))), "profiles")
     gtins = keyed.where("size(gtins) > 0").select("node", "sku", F.explode("gtins").alias("gtin"))
-    centres = nodes.where("sku <> ''").groupBy("sku").agg(F.min_by("node", F.struct(-F.col("n"), "node")).alias("node"), *[_most(c).alias(c) for c in PROFILE])
-    centres = written(centres.withColumn("profile", _profile()), "centres")
-    pairs = written(_candidates(nodes, gtins, centres).withColumn("terms", _terms()).withColumn("p", F.xxhash64("a", "b", "kind")), "pairs")
-    scores = _reinforced(pairs.select("p", "terms")).select("p", "score")
-    links = written(_links(pairs.drop("terms").join(scores, "p"), nodes, centres), "links")
+    centres = written(_centres(nodes), "centres")
+    product = lambda s: F.xxhash64(*[f"{s}.{c}" for c in ("line", "version", "colours", "audience")])
+    pairs = _candidates(nodes, gtins, centres).select("a", "b", "kind", F.xxhash64("a", "b", "kind").alias("p"), _terms().alias("terms"), (~_whole("x.")).alias("la"), (~_whole("y.")).alias("lb"), product("x").alias("pa"), product("y").alias("pb"))
+    pairs = written(pairs, "pairs")
+    scored = _reinforced(pairs)
+    links = written(_links(scored, nodes, centres), "links")
     drop_written(pairs)
     groups = group_pairs(links, "a", "b").withColumnRenamed("id", "node")
     loose = (F.col("sku") == "") & ~_whole()

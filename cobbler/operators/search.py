@@ -7,15 +7,16 @@ unpartitioned window is needed.  Shops are a small fixed table that Catalyst bro
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cobbler.functions.text import fold_lower, folded, spaced, words
 from cobbler.functions.trigram import similarity, word_similarity
 from cobbler.plans.catalogue import Catalogue
+from cobbler.plans.durable import written
 
 PAGE = 48
 #: Word similarity from which the second, typo-tolerant pass accepts a title.
@@ -31,14 +32,13 @@ class Search:
     shops: tuple[str, ...] = ()
     genders: tuple[str, ...] = ()
     on_sale: bool = False
-    family: str | None = None
-    without_product: int | None = None
+    family: str | DataFrame | None = None
+    without_product: int | DataFrame | None = None
     kids: bool = False
     fuzzy: bool = False
     sort: str | None = None
     page: int = 1
     limit: int = PAGE
-    extra: dict = field(default_factory=dict)
 
     @property
     def wants_kids(self) -> bool:
@@ -61,7 +61,7 @@ def _folded_literals(values: list[str]) -> Column:
 
 
 def candidates(cat: Catalogue, p: Search) -> DataFrame:
-    """The listings that pass every filter."""
+    """The listings that pass every filter; family and product may be given as frames of one row."""
     d = cat.live
     sizes = cat.stocked
     if p.on_sale:
@@ -72,9 +72,13 @@ def candidates(cat: Catalogue, p: Search) -> DataFrame:
         d = d.where(F.col("gender").isNull() | F.col("gender").isin(list(p.genders)))
     if p.brands:
         d = d.where(F.array_contains(F.array(*[fold_lower(F.lit(b)) for b in p.brands]), fold_lower("raw_brand")))
-    if p.family is not None:
+    if isinstance(p.family, DataFrame):
+        d = d.join(F.broadcast(p.family.toDF("family")), "family", "left_semi")
+    elif p.family is not None:
         d = d.where(F.col("family") == p.family)
-    if p.without_product is not None:
+    if isinstance(p.without_product, DataFrame):
+        d = d.join(F.broadcast(p.without_product.toDF("product_id")), "product_id", "left_anti")
+    elif p.without_product is not None:
         d = d.where(F.col("product_id").isNull() | (F.col("product_id") != p.without_product))
     if p.fuzzy:
         d = d.where(word_similarity(words(F.lit(p.query)), spaced("title")) >= FUZZY)
@@ -90,8 +94,10 @@ def candidates(cat: Catalogue, p: Search) -> DataFrame:
 
 def grouped(cand: DataFrame) -> DataFrame:
     """One row per group, with the cheapest listing as its face."""
-    discount = F.when(F.col("old_price") > F.col("price"), (F.col("old_price") - F.col("price")) / F.col("old_price")).otherwise(0.0)
-    face = F.struct("offer_id", "title", "name", "brand", "price", "old_price", "image_url", "product_id")
+    dec = lambda c: F.col(c).cast("decimal(12,0)")
+    none = F.lit("0").cast("decimal(25,13)")
+    discount = F.when(F.col("old_price") > F.col("price"), (dec("old_price") - dec("price")) / dec("old_price")).otherwise(none)
+    face = F.struct("offer_id", "title", "name", "brand", "price", "old_price", "image_url", "product_id", "brand_name", "product_model")
     return cand.groupBy("group_key").agg(
         F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.count_distinct("shop_id").alias("shop_count"), F.min("first_seen_at").alias("first_seen"),
         F.max(discount).alias("best_discount"), F.min_by(face, F.struct("price", "offer_id")).alias("face"),
@@ -111,10 +117,27 @@ def _order(p: Search) -> list[Column]:
         return [F.col("best_discount").desc(), *tail]
     if kind == "newest":
         return [F.col("first_seen").desc_nulls_last(), *tail]
-    asked = words(F.lit(p.query))
-    both = F.concat(F.coalesce(F.col("face.brand"), F.lit("")), F.lit(" "), F.col("face.name"))
-    exact = (words(F.col("face.name")) == asked) | (words(both) == asked)
-    return [F.when(exact, 0).otherwise(1).asc(), F.round(similarity(words(both), asked), 1).desc(), *tail]
+    asked = F.lit(p.query)
+    brand, model = (F.coalesce(F.col(f"face.{c}"), F.lit("")) for c in ("brand_name", "product_model"))
+    # separators count for nothing when names are compared as a whole
+    exact = (folded(model) == folded(asked)) | (folded(F.concat(brand, model)) == folded(asked))
+    return [F.when(exact, 0).otherwise(1).asc(), F.round(similarity(scored_name("face"), kept_words(asked)), 1).desc(), *tail]
+
+
+def kept_words(x: Column) -> Column:
+    """The folded text with its letters, digits and blanks; other signs leave nothing behind."""
+    return F.regexp_replace(fold_lower(x), "[^a-z0-9 ]", "")
+
+
+#: Fixed value: the word for the goods that shops put into titles.
+GOODS_WORD = " patike "
+
+
+def scored_name(face: str) -> Column:
+    """What a result is called when it is scored: the product's brand and model, else the listing's title without the word for the goods."""
+    product = F.btrim(F.concat_ws(" ", F.coalesce(F.col(f"{face}.brand_name"), F.lit("")), F.coalesce(F.col(f"{face}.product_model"), F.lit(""))))
+    said = F.when(product != "", product).otherwise(F.col(f"{face}.title"))
+    return F.btrim(F.replace(F.concat(F.lit(" "), kept_words(said), F.lit(" ")), F.lit(GOODS_WORD), F.lit(" ")))
 
 
 def page(groups: DataFrame, p: Search) -> DataFrame:
@@ -124,8 +147,9 @@ def page(groups: DataFrame, p: Search) -> DataFrame:
 
 
 def with_lists(cat: Catalogue, pages: DataFrame, cand: DataFrame) -> DataFrame:
-    """Sizes ascending and shops by their cheapest listing, of the page's groups only."""
-    members = cand.join(pages.select("group_key"), "group_key", "left_semi")
+    """Sizes ascending and shops by their cheapest listing, of the page's groups only; the page and its members are found once."""
+    pages = written(pages, "page")
+    members = written(cand.select("group_key", "offer_id", "shop_slug", "price").join(pages.select("group_key"), "group_key", "left_semi"), "members")
     sizes = members.join(cat.stocked, "offer_id").groupBy("group_key").agg(F.array_sort(F.collect_set("size_eu")).alias("sizes"))
     shops = members.groupBy("group_key", "shop_slug").agg(F.min("price").alias("p")).groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct("p", "shop_slug"))).alias("s"))
     shops = shops.select("group_key", F.transform("s", lambda x: x["shop_slug"]).alias("shops"))
@@ -154,21 +178,31 @@ def total(cat: Catalogue, p: Search) -> DataFrame:
 def facet_brands(cat: Catalogue, p: Search) -> DataFrame:
     """Groups per brand; the brand's own filter is left out, its label is the least shouting spelling of the whole catalogue."""
     key = fold_lower("raw_brand").alias("brand_key")
-    from dataclasses import replace
-
-    labels = cat.offer.where("raw_brand is not null").select(key, "raw_brand").groupBy("brand_key").agg(F.min_by("raw_brand", F.struct(F.col("raw_brand") == F.upper("raw_brand"), F.col("raw_brand"))).alias("label"))
+    labels = cat.coded.where("raw_brand is not null").select(key, "raw_brand").groupBy("brand_key").agg(F.min_by("raw_brand", F.struct(F.col("raw_brand") == F.upper("raw_brand"), F.col("raw_brand"))).alias("label"))
     counts = candidates(cat, replace(p, brands=())).where("raw_brand is not null").groupBy(key).agg(F.count_distinct("group_key").alias("groups"))
     return counts.join(labels, "brand_key").select("label", "groups")
 
 
+def brand_chips(facets: DataFrame, chosen: list[str], most: int) -> DataFrame:
+    """(label, groups, place) of ``facets`` (label, groups): chosen brands first, with 0 where they are missing, then by groups and label."""
+    spark = facets.sparkSession
+    key = fold_lower("label")
+    picked = spark.createDataFrame([(c, 0) for c in dict.fromkeys(chosen)], "label string, groups long").withColumn("key", key)
+    d = facets.withColumn("key", key)
+    every = d.unionByName(picked.join(d.select("key"), "key", "left_anti").select(d.columns)).join(F.broadcast(picked.select("key", F.lit(0).alias("picked"))), "key", "left")  # as many as were chosen
+    order = [F.coalesce("picked", F.lit(1)), F.col("groups").desc(), F.col("label")]
+    top = every.orderBy(*order).limit(most)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("label", "groups", "place")
+
+
 def suggestions(cat: Catalogue, query: str, fuzzy: bool = False, limit: int = 8) -> DataFrame:
-    """Model families that match the query, best first."""
+    """Model families that match the query, best first; a blank query matches none."""
     live = cat.live.where("product_id is not null and product_model <> ''").select("product_id", "shop_id", "brand_name", "product_model", "family")
     folded_family = F.regexp_replace("family", "-", "")
     if fuzzy:
         keep = word_similarity(words(F.lit(query)), F.regexp_replace("family", "-", " ")) >= FUZZY
     else:
-        keep = reduce(lambda a, b: a & b, [F.contains(folded_family, folded(F.lit(t))) for t in query.split()])
+        keep = reduce(lambda a, b: a & b, [F.contains(folded_family, folded(F.lit(t))) for t in query.split()], F.lit(bool(query.split())))
     score = similarity(words(F.concat(F.coalesce("brand_name", F.lit("")), F.lit(" "), F.col("product_model"))), words(F.lit(query)))
     by = live.where(keep).withColumn("score", score).groupBy("family").agg(
         F.min("brand_name").alias("brand"), F.min_by("product_model", F.struct(F.length("product_model"), F.col("product_model"))).alias("model"),

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cobbler.functions.text import family_key, folded
+from cobbler.functions.text import family_key
 from cobbler.sources.tables import table
 
 #: Fixed value: what a manufacturer's code with its colour suffix looks like once separators are gone.
@@ -52,7 +52,10 @@ class Catalogue:
     @cached_property
     def offer(self) -> DataFrame:
         """Listings with the product they belong to and the group they count as."""
-        o = self.coded.join(self.product, "code", "left")
+        # listings without a code would all meet at one join key
+        plain = self.product.columns[1:]
+        with_code = self.coded.where("code <> ''").join(self.product, "code", "left")
+        o = with_code.unionByName(self.coded.where("code = ''").select("*", *[F.lit(None).cast(self.product.schema[c].dataType).alias(c) for c in plain]))
         group = F.coalesce(F.concat(F.lit("p"), F.col("product_id").cast("string")), F.concat(F.lit("o"), F.col("offer_id").cast("string")))
         name = F.coalesce("product_model", "title")
         return o.withColumns({"group_key": group, "name": name, "brand": F.coalesce("brand_name", "raw_brand")})
@@ -73,8 +76,10 @@ class Catalogue:
         """In-stock listings of active shops."""
         return self.offer.where("in_stock").join(self.shop.where("active"), "shop_id")
 
-    def titled(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("folded_title", folded("title"))
+    @cached_property
+    def sold(self) -> DataFrame:
+        """In-stock listings of active shops, for what needs no product."""
+        return self.coded.where("in_stock").join(self.shop.where("active"), "shop_id")
 
 
 #: The same relations in SQL, as common table expressions for the queries' checks.

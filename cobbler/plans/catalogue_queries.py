@@ -69,7 +69,7 @@ GROUP = """
 grouped AS (
   SELECT group_key, min(price) AS min_price, max(price) AS max_price, count(DISTINCT shop_id) AS shop_count, min(first_seen_at) AS first_seen,
     max(CASE WHEN old_price > price THEN (old_price - price)::double / old_price ELSE 0 END) AS best_discount,
-    arg_min(struct_pack(offer_id := offer_id, name := name, brand := brand, price := price, old_price := old_price), (price, offer_id)) AS face
+    arg_min(struct_pack(offer_id := offer_id, name := name, brand := brand, price := price, old_price := old_price, title := title, brand_name := brand_name, product_model := product_model), (price, offer_id)) AS face
   FROM cand GROUP BY group_key)"""
 CARD = """SELECT group_key, face.offer_id AS offer_id, face.name AS name, face.brand AS brand, min_price, max_price, shop_count,
   CASE WHEN face.old_price > face.price THEN round((face.old_price - face.price)::double / face.old_price * 100)::int END AS discount_percent"""
@@ -110,13 +110,14 @@ _search("search_sort_newest", S.Search(), search_sql())
 _search("search_sort_dearest", S.Search(sort="dearest"), search_sql(order="min_price DESC, group_key"))
 _search("search_sort_discount", S.Search(sort="discount"), search_sql(order=f"best_discount DESC, {TAIL}"))
 _search("search_sort_alphabetical", S.Search(sort="alphabetical"), search_sql(order=f"{fl('face.name')} NULLS LAST, {TAIL}"))
-_both = wd("coalesce(face.brand, '') || ' ' || face.name")
+_kept = lambda x: f"regexp_replace({fl(x)}, '[^a-z0-9 ]', '', 'g')"
+_scored_name = f"trim(replace(' ' || {_kept("coalesce(nullif(trim(coalesce(face.brand_name, '') || ' ' || coalesce(face.product_model, '')), ''), face.title)")} || ' ', ' patike ', ' '))"
 _search(
     "search_sort_relevance",
     S.Search(query="skeke sport runner"),
     search_sql(
         " AND ".join(f"contains({fd('title')}, '{t}')" for t in ("skeke", "sport", "runner")),
-        f"CASE WHEN {wd('face.name')} = 'skeke sport runner' OR {_both} = 'skeke sport runner' THEN 0 ELSE 1 END, round({sim(_both, _q('skeke sport runner'))}, 1) DESC, {TAIL}",
+        f"CASE WHEN {fd("coalesce(face.product_model, '')")} = 'skekesportrunner' OR {fd("coalesce(face.brand_name, '') || coalesce(face.product_model, '')")} = 'skekesportrunner' THEN 0 ELSE 1 END, round({sim(_scored_name, _q('skeke sport runner'))}, 1) DESC, {TAIL}",
     ),
 )
 _search("search_page_deep", S.Search(sort="cheapest", page=9), search_sql("true", TAIL, limit="LIMIT 48 OFFSET 384"))
@@ -128,15 +129,19 @@ _first_family = "(SELECT family FROM product WHERE product_id = (SELECT min(prod
 @query(search_sql(f"family = {_first_family}", TAIL, kids=True))
 def search_model_family(cat: Catalogue) -> DataFrame:
     """All colours of the family of the first product, whatever the sizes."""
-    first = cat.product.agg(F.min_by("family", "product_id").alias("family")).first()
-    return S.search(cat, S.Search(family=first["family"] if first["family"] is not None else "", kids=True, sort="cheapest"))
+    return S.search(cat, S.Search(family=_first(cat).select("family"), kids=True, sort="cheapest"))
+
+
+def _first(cat: Catalogue) -> DataFrame:
+    """The product of least id, one row."""
+    return cat.product.agg(F.min_by(F.struct("family", "product_id"), "product_id").alias("f")).select("f.*")
 
 
 @query(search_sql(f"family = {_first_family} AND (product_id IS NULL OR product_id <> (SELECT min(product_id) FROM product))", TAIL, kids=True))
 def search_exclude_product(cat: Catalogue) -> DataFrame:
     """The other colours of that family."""
-    first = cat.product.agg(F.min_by(F.struct("family", "product_id"), "product_id").alias("f")).first()["f"]
-    return S.search(cat, S.Search(family=first["family"] if first else "", without_product=first["product_id"] if first else -1, kids=True, sort="cheapest"))
+    first = _first(cat)
+    return S.search(cat, S.Search(family=first.select("family"), without_product=first.select("product_id"), kids=True, sort="cheapest"))
 
 
 @query(f"WITH {BASE}, cand AS (SELECT * FROM live WHERE {ADULT}) SELECT count(DISTINCT group_key) AS total FROM cand")
@@ -175,9 +180,21 @@ def facet_brands(cat: Catalogue) -> DataFrame:
     return S.facet_brands(cat, S.Search(brands=("Skeke Sport",), on_sale=True))
 
 
+@query(
+    f"""WITH {BASE}, label AS (SELECT {fl('raw_brand')} AS k, arg_min(raw_brand, (raw_brand = upper(raw_brand), raw_brand)) AS label FROM offer WHERE raw_brand IS NOT NULL GROUP BY 1),
+    c AS (SELECT {fl('raw_brand')} AS k, count(DISTINCT group_key) AS groups FROM live WHERE raw_brand IS NOT NULL AND old_price > price AND {ADULT} GROUP BY 1),
+    f AS (SELECT label, k, groups FROM c JOIN label USING (k) UNION ALL SELECT v, {fl('v')}, 0 FROM (VALUES ('Skeke Sport'), ('No Such Brand')) t(v) WHERE {fl('v')} NOT IN (SELECT k FROM c))
+    SELECT label, groups, row_number() OVER (ORDER BY k NOT IN ('skeke sport', 'no such brand'), groups DESC, label) AS place FROM f QUALIFY place <= 30"""
+)
+def facet_chips(cat: Catalogue) -> DataFrame:
+    """The first thirty brand chips (a top-k report): chosen ones first, also those that nothing matches."""
+    chips = S.brand_chips(S.facet_brands(cat, S.Search(on_sale=True)), ["Skeke Sport", "No Such Brand"], 30)
+    return chips.select("label", "groups", "place")
+
+
 @query(f"WITH {BASE} SELECT DISTINCT size_eu FROM live JOIN offer_size USING (offer_id) WHERE size_in_stock")
 def available_sizes(cat: Catalogue) -> DataFrame:
-    return cat.live.select("offer_id").join(cat.stocked, "offer_id").select("size_eu").distinct()
+    return cat.sold.select("offer_id").join(cat.stocked, "offer_id").select("size_eu").distinct()
 
 
 @query(f"WITH {BASE} SELECT shop_slug, shop_name FROM shops WHERE active AND shop_id IN (SELECT shop_id FROM offer WHERE in_stock)")
@@ -206,6 +223,12 @@ def product_spread(cat: Catalogue) -> DataFrame:
     return cat.live.where("product_id is not null").groupBy("product_id").agg((F.max("price") - F.min("price")).alias("spread"), F.min_by("offer_id", key).alias("cheapest"), F.max_by("offer_id", key).alias("dearest"), F.max("last_seen_at").alias("checked_at"))
 
 
+@query(f"WITH {BASE} SELECT p.product_id, count(l.offer_id) AS offers, min(l.price) AS min_price FROM product p LEFT JOIN live l ON l.product_id = p.product_id GROUP BY 1")
+def product_stock(cat: Catalogue) -> DataFrame:
+    """Every product with its listings in stock; one that nobody has still returns."""
+    return cat.product.select("product_id").join(cat.live.select("product_id", "offer_id", "price"), "product_id", "left").groupBy("product_id").agg(F.count("offer_id").alias("offers"), F.min("price").alias("min_price"))
+
+
 _scored = wd("coalesce(brand_name, '') || ' ' || product_model")
 
 
@@ -254,29 +277,12 @@ def domain_similarity(cat: Catalogue) -> DataFrame:
     return cat.coded.where("title is not null and model is not null").select("offer_id", text_similarity(search_text("title"), search_text("model")).alias("score"))
 
 
-@query(
-    f"""WITH t AS (SELECT offer_id, list_distinct({tri("'dratundo'")}) AS q, {tri(wd('title'))} AS s FROM normalized_offer WHERE brand ILIKE 'd%' AND title IS NOT NULL),
-    e AS (SELECT offer_id, q, s, unnest(range(1, len(s) + 1)) AS i FROM t), f AS (SELECT offer_id, q, s, i, unnest(range(i, len(s) + 1)) AS j FROM e),
-    g AS (SELECT offer_id, len(list_intersect(q, list_slice(s, i, j)))::double / len(list_distinct(list_concat(q, list_slice(s, i, j)))) AS x FROM f)
-    SELECT offer_id, max(x) AS score FROM g GROUP BY 1"""
-)
-def trgm_word_similarity(cat: Catalogue) -> DataFrame:
-    """The best stretch of each title for a query, over one letter's brands."""
-    return cat.coded.where("raw_brand ilike 'd%' and title is not null").select("offer_id", word_similarity(F.lit("dratundo"), words("title")).alias("score"))
-
-
 @query()
-def trgm_word_similarity_all(cat: Catalogue) -> DataFrame:
+def trgm_word_similarity(cat: Catalogue) -> DataFrame:
     """The best stretch of every title for a query; null without a title."""
     return cat.coded.select("offer_id", word_similarity(F.lit("dratundo"), words("title")).alias("score"))
 
 
-@query("SELECT offer_id, upper(strip_accents(replace(replace(brand, 'đ', 'd'), 'Đ', 'D'))) AS plain FROM normalized_offer WHERE regexp_full_match(brand, '[A-Za-z čćžšđČĆŽŠĐ]+')")
-def fold_brand_case(cat: Catalogue) -> DataFrame:
-    """Accents dropped with the case kept, shown in capitals."""
-    return cat.coded.where("raw_brand rlike '^[A-Za-z čćžšđČĆŽŠĐ]+$'").select("offer_id", F.upper(fold_diacritics("raw_brand")).alias("plain"))
-
-
 def _fold_case(x: str) -> str:
     out = f"translate({x}, {_q(MARKED + MARKED.replace('ı', '').upper())}, {_q(FOLDED + _upper_folded())})"
     for a, b in DOUBLE.items():
@@ -285,7 +291,7 @@ def _fold_case(x: str) -> str:
 
 
 @query(f"SELECT offer_id, {_fold_case('brand')} AS plain FROM normalized_offer WHERE brand IS NOT NULL")
-def fold_every_brand_case(cat: Catalogue) -> DataFrame:
+def fold_brand_case(cat: Catalogue) -> DataFrame:
     """Accents of every brand dropped with the case kept."""
     return cat.coded.where("raw_brand is not null").select("offer_id", fold_diacritics("raw_brand").alias("plain"))
 

@@ -76,7 +76,7 @@ def size_chips(cat: Catalogue) -> DataFrame:
 
 @query(f"WITH {BASE} SELECT size_eu, count(*) AS offers FROM live JOIN offer_size USING (offer_id) WHERE size_in_stock GROUP BY 1 ORDER BY offers DESC, size_eu LIMIT 5")
 def size_popularity(cat: Catalogue) -> DataFrame:
-    d = cat.live.select("offer_id").join(cat.offer_size.where("size_in_stock"), "offer_id")
+    d = cat.sold.select("offer_id").join(cat.offer_size.where("size_in_stock"), "offer_id")
     return d.groupBy("size_eu").agg(F.count("*").alias("offers")).orderBy(F.col("offers").desc(), "size_eu").limit(5)
 
 
@@ -152,22 +152,6 @@ def latest_price(cat: Catalogue) -> DataFrame:
     return r.groupBy("shop_id", "external_id").agg(F.max_by("price_minor", F.struct("observed_at", "ingested_at", "price_minor")).alias("price"))
 
 
-_UP = "SELECT shop_id, external_id, price_minor AS price, currency, first_seen_at FROM normalized_offer"
-
-
-@query(
-    f"""WITH o AS ({_UP} WHERE offer_id % 3 <> 0), n AS (SELECT shop_id, external_id, price_minor + 100 AS price, 'EUR' AS currency, last_seen_at AS first_seen_at FROM normalized_offer WHERE offer_id % 2 = 0)
-    SELECT coalesce(n.shop_id, o.shop_id) AS shop_id, coalesce(n.external_id, o.external_id) AS external_id, coalesce(n.price, o.price) AS price, coalesce(o.currency, n.currency) AS currency, coalesce(o.first_seen_at, n.first_seen_at) AS first_seen_at
-    FROM o FULL JOIN n ON o.shop_id = n.shop_id AND o.external_id = n.external_id"""
-)
-def upsert_offers(cat: Catalogue) -> DataFrame:
-    """Two thirds of the listings as the old table, half of them as new rows: currency and first sight are kept."""
-    base = cat.raw("normalized_offer")
-    old = base.where("offer_id % 3 <> 0").select("shop_id", "external_id", F.col("price_minor").alias("price"), "currency", "first_seen_at")
-    new = base.where("offer_id % 2 = 0").select("shop_id", "external_id", (F.col("price_minor") + 100).alias("price"), F.lit("EUR").alias("currency"), F.col("last_seen_at").alias("first_seen_at"))
-    return upsert.upsert(old, new, ["shop_id", "external_id"], keep=["currency", "first_seen_at"])
-
-
 @query(
     """WITH n AS (SELECT shop_id, external_id, arg_max(struct_pack(price := price_minor, currency := currency, first_seen_at := observed_at), (observed_at, ingested_at, price_minor, coalesce(currency, ''))) AS r
       FROM offer_snapshot WHERE shop_id IS NOT NULL AND external_id IS NOT NULL AND price_minor IS NOT NULL GROUP BY ALL)
@@ -175,7 +159,7 @@ def upsert_offers(cat: Catalogue) -> DataFrame:
       CASE WHEN o.offer_id IS NULL THEN n.r.currency ELSE o.currency END AS currency, CASE WHEN o.offer_id IS NULL THEN n.r.first_seen_at ELSE o.first_seen_at END AS first_seen_at
     FROM normalized_offer o FULL JOIN n ON o.shop_id = n.shop_id AND o.external_id = n.external_id"""
 )
-def upsert_latest_readings(cat: Catalogue) -> DataFrame:
+def upsert_offers(cat: Catalogue) -> DataFrame:
     """Every listing with the price of its latest reading that has one; listings known by readings alone are added."""
     old = cat.raw("normalized_offer").select("shop_id", "external_id", F.col("price_minor").alias("price"), "currency", "first_seen_at")
     r = cat.raw("offer_snapshot").where("shop_id is not null and external_id is not null and price_minor is not null")
@@ -184,11 +168,14 @@ def upsert_latest_readings(cat: Catalogue) -> DataFrame:
     return upsert.upsert(old, new, ["shop_id", "external_id"], keep=["currency", "first_seen_at"])
 
 
-@query("WITH n AS (SELECT offer_id, size_id, true AS in_stock FROM normalized_size WHERE offer_id % 5 = 0 AND size_id % 2 = 0) SELECT offer_id, size_id, in_stock FROM normalized_size WHERE offer_id NOT IN (SELECT offer_id FROM n) UNION ALL SELECT * FROM n")
+@query(
+    """WITH n AS (SELECT offer_id, s AS size_eu FROM (SELECT offer_id, unnest(sizes_eu) AS s FROM match_candidate) WHERE s IS NOT NULL)
+    SELECT offer_id, size_eu FROM normalized_size WHERE offer_id NOT IN (SELECT offer_id FROM n) UNION ALL SELECT * FROM n"""
+)
 def replace_sizes(cat: Catalogue) -> DataFrame:
-    """Sizes of the listings read again are replaced as a whole."""
-    s = cat.raw("normalized_size").select("offer_id", "size_id", "in_stock")
-    return upsert.replace_groups(s, s.where("offer_id % 5 = 0 and size_id % 2 = 0").withColumn("in_stock", F.lit(True)), ["offer_id"])
+    """The sizes of every listing that the matcher has read are replaced as a whole by what it read."""
+    new = cat.raw("match_candidate").select("offer_id", F.explode("sizes_eu").alias("size_eu")).where("size_eu is not null")
+    return upsert.replace_groups(cat.raw("normalized_size").select("offer_id", "size_eu"), new, ["offer_id"])
 
 
 @query("SELECT brand_id, brand_name FROM brand WHERE brand_name IN (SELECT brand FROM normalized_offer)")
@@ -305,7 +292,7 @@ def page_links(cat: Catalogue) -> DataFrame:
     return pages.listing_links(d.select("offer_id", "base_url", card.alias("body")), "body", "base_url", "offer_id").select("offer_id", "link")
 
 
-@query("SELECT offer_id, (price_minor // 100)::varchar || '.' || lpad((price_minor % 100)::varchar, 2, '0') AS price_raw, '42' AS size, CASE WHEN in_stock THEN NULL ELSE 'sold out' END AS error, currency FROM normalized_offer")
+@query("SELECT offer_id, (price_minor // 100)::varchar || '.' || lpad((price_minor % 100)::varchar, 2, '0') AS price_raw, CASE WHEN in_stock THEN '42' END AS size, CASE WHEN in_stock THEN NULL ELSE 'sold out' END AS error, currency FROM normalized_offer")
 def product_page(cat: Catalogue) -> DataFrame:
     """Microdata pages of every listing, read back; sold-out pages are told from broken ones."""
     price = F.concat(F.floor(F.col("price") / 100).cast("string"), F.lit("."), F.lpad((F.col("price") % 100).cast("string"), 2, "0"))
@@ -314,7 +301,7 @@ def product_page(cat: Catalogue) -> DataFrame:
     body = F.concat(head, F.lit("'><link itemprop='availability' href='http://schema.org/OutOfStock'><ul class='sizes'>"), size, F.lit("</ul></section><ul class='sizes'><li data-product-size='13'>13</li></ul>"))
     d = cat.coded.select("offer_id", body.alias("body"), F.lit("microdata").alias("platform"))
     p = pages.product_pages(d, "body", "platform", "offer_id")
-    return p.select("offer_id", "price_raw", F.coalesce(F.get("sizes", F.lit(0))["raw"], F.lit("42")).alias("size"), "error", "currency")
+    return p.select("offer_id", "price_raw", F.get("sizes", F.lit(0))["raw"].alias("size"), "error", "currency")
 
 
 @query("SELECT offer_id, title AS name, sku, price_minor / 100.0::double AS price FROM normalized_offer")
@@ -324,16 +311,8 @@ def json_listing(cat: Catalogue) -> DataFrame:
     return pages.json_products(cat.coded.select("offer_id", j.alias("body")), "body", "offer_id").select("offer_id", "name", "sku", "price")
 
 
-@query("SELECT doc_id, length(text) + 21 AS n_chars, 2 AS secrets FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '@|(?i)token|secret|bearer|sessionid|key')")
-def redact_text(cat: Catalogue) -> DataFrame:
-    """Secrets put behind every document are found and blanked."""
-    d = cat.raw("documents").where("text is not null and not text rlike '@|(?i)token|secret|bearer|sessionid|key'")
-    text, n = pages.redacted(F.concat(F.col("text"), F.lit("\nshop@mail.example Bearer abcdefghijklmnop1234")))
-    return d.select("doc_id", (F.length(text) + 4).alias("n_chars"), n.alias("secrets"))
-
-
 @query()
-def redact_every_text(cat: Catalogue) -> DataFrame:
+def redact_text(cat: Catalogue) -> DataFrame:
     """Every document's text with its secrets blanked, and how many there were; null stays null."""
     text, n = pages.redacted(F.col("text"))
     return cat.raw("documents").select("doc_id", text.alias("text"), n.alias("secrets"))

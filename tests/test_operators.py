@@ -67,7 +67,7 @@ def test_word_similarity_of_every_title(spark, tmp_path):
     import re
 
     from cobbler.plans.catalogue import Catalogue
-    from cobbler.plans.catalogue_queries import trgm_word_similarity_all
+    from cobbler.plans.catalogue_queries import trgm_word_similarity
 
     titles = ["dratundo runner 5", "Air Dratund", "tundo dra", "", None, "x dratu undo dratundo2", "nothing here"]
     spark.createDataFrame([(i, 1, None, None, t, ("Nike", None, "Dra")[i % 3], *[None] * 10) for i, t in enumerate(titles)], OFFERS).write.parquet(f"{tmp_path}/normalized_offer.parquet")
@@ -79,31 +79,31 @@ def test_word_similarity_of_every_title(spark, tmp_path):
         q, s = set(grams("dratundo")), grams(t)
         return max((len(q & set(s[i:j])) / len(q | set(s[i:j])) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=0.0)
 
-    got = dict(rows(trgm_word_similarity_all(Catalogue(spark, str(tmp_path)))))
+    got = dict(rows(trgm_word_similarity(Catalogue(spark, str(tmp_path)))))
     assert got == {i: None if t is None else best(t) for i, t in enumerate(titles)}
 
 
 def test_fold_of_every_brand(spark, tmp_path):
     from cobbler.plans.catalogue import Catalogue
-    from cobbler.plans.catalogue_queries import fold_every_brand_case
+    from cobbler.plans.catalogue_queries import fold_brand_case
 
     brands = ["Žešus-9", "361°", "Øre", "Челси", None, "", "Đak"]
     spark.createDataFrame([(i, 1, None, None, None, b, *[None] * 10) for i, b in enumerate(brands)], OFFERS).write.parquet(f"{tmp_path}/normalized_offer.parquet")
-    assert rows(fold_every_brand_case(Catalogue(spark, str(tmp_path)))) == [(0, "Zesus-9"), (1, "361°"), (2, "Ore"), (3, "Челси"), (5, ""), (6, "Dak")]
+    assert rows(fold_brand_case(Catalogue(spark, str(tmp_path)))) == [(0, "Zesus-9"), (1, "361°"), (2, "Ore"), (3, "Челси"), (5, ""), (6, "Dak")]
 
 
 def test_upsert_of_latest_readings(spark, tmp_path):
     from datetime import datetime
 
     from cobbler.plans.catalogue import Catalogue
-    from cobbler.plans.domain_queries import upsert_latest_readings
+    from cobbler.plans.domain_queries import upsert_offers
 
     t = [datetime(2026, 1, d) for d in range(1, 5)]
     offers = [(i, 1, f"e{i}", *[None] * 7, 100, None, "BAM", True, t[0], t[0]) for i in (1, 2, 3)]
     spark.createDataFrame(offers, OFFERS).write.parquet(f"{tmp_path}/normalized_offer.parquet")
     readings = [(1, "e3", 200, "EUR", t[1], t[1]), (1, "e3", 300, "EUR", t[2], t[2]), (1, "e3", None, "EUR", t[3], t[3]), (1, "e9", 50, "EUR", t[1], t[1])]
     spark.createDataFrame(readings, "shop_id int, external_id string, price_minor int, currency string, observed_at timestamp, ingested_at timestamp").write.parquet(f"{tmp_path}/offer_snapshot.parquet")
-    got = [(r.external_id, r.price, r.currency) for r in upsert_latest_readings(Catalogue(spark, str(tmp_path))).orderBy("external_id").collect()]
+    got = [(r.external_id, r.price, r.currency) for r in upsert_offers(Catalogue(spark, str(tmp_path))).orderBy("external_id").collect()]
     assert got == [("e1", 100, "BAM"), ("e2", 100, "BAM"), ("e3", 300, "BAM"), ("e9", 50, "EUR")]
 
 
@@ -230,12 +230,12 @@ def test_redaction(spark):
 
 def test_redaction_of_every_text(spark, tmp_path):
     from cobbler.plans.catalogue import Catalogue
-    from cobbler.plans.domain_queries import redact_every_text
+    from cobbler.plans.domain_queries import redact_text
 
     d = [(1, "mail a@b.example"), (2, "api_key=abcdefghijklmnop12 and sessionid=abcdef123456"), (3, "a token of thanks, the key, a secret"), (4, None), (5, "Bearer abcdefghijklmnop1234"), (6, "plain")]
     spark.createDataFrame(d, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = [(1, "mail [email]", 1), (2, "[key] and [cookie]", 2), (3, d[2][1], 0), (4, None, None), (5, "[bearer]", 1), (6, "plain", 0)]
-    assert rows(redact_every_text(Catalogue(spark, str(tmp_path)))) == want
+    assert rows(redact_text(Catalogue(spark, str(tmp_path)))) == want
 
 
 def test_pictures(spark):

@@ -232,3 +232,24 @@ def claims(df: DataFrame, key: str, wish: str, votes: str) -> DataFrame:
     """Each wish goes to the key with most votes for it (of equals the least); losers get null."""
     best = df.where(F.col(wish).isNotNull()).groupBy(wish).agg(F.min_by(key, F.struct(-F.col(votes), F.col(key))).alias("winner"))
     return df.join(best, wish, "left").select(key, F.when(F.col(key) == F.col("winner"), F.col(wish)).alias(wish))
+
+
+def uncertain_partners(listings: DataFrame) -> DataFrame:
+    """(id, partners): to how many listings each is similar enough for a review and not for a link.
+
+    ``listings`` as for ``similar_listings``, with gtins.  Listings that say the same are one class with a count,
+    so copies are never paired; what shares a code or barcode is linked by it and not reviewed.
+    """
+    said = ["shop_id", "brand_key", "name", "code", "gender", "sizes", "gtins"]
+    d = listings.where("brand_key <> '' and name <> '' and size(sizes) > 0").select("id", "shop_id", "brand_key", "name", F.coalesce("code", F.lit("")).alias("code"), F.coalesce("gender", F.lit("")).alias("gender"), "sizes", F.filter("gtins", lambda g: g != "").alias("gtins"))
+    classes = cut(d.groupBy(*said).agg(F.count("*").alias("n")).withColumn("c", F.xxhash64(*said)))
+    near = similar_names(classes.select(F.col("brand_key").alias("block"), "name"), 0.6)
+    pairs = near.where(F.round("score", 3) < FUZZY_ACCEPT).select(F.col("block").alias("brand_key"), F.col("name_a").alias("name"), F.col("name_b").alias("other"))
+    one = lambda s: classes.select("brand_key", F.col("name").alias("name" if s == "x" else "other"), *[F.col(c).alias(f"{c}_{s}") for c in ("c", "n", "shop_id", "code", "gender", "sizes", "gtins")])
+    met = pairs.join(one("x"), ["brand_key", "name"]).join(one("y"), ["brand_key", "other"]).where("shop_id_x <> shop_id_y and not arrays_overlap(gtins_x, gtins_y)")
+    met = met.where("code_x = '' or code_y = '' or (code_x = code_y and length(code_x) < 5)")
+    met = met.where((F.col("gender_x") == "") | (F.col("gender_y") == "") | (F.col("gender_x") == F.col("gender_y")) | (F.col("gender_x").isin(*_ADULT) & F.col("gender_y").isin(*_ADULT)))
+    shared = F.size(F.array_intersect("sizes_x", "sizes_y"))
+    met = met.where(shared >= SIZES_SHARED * F.least(F.size("sizes_x"), F.size("sizes_y")))
+    both = met.select(F.inline(F.array(F.struct(F.col("c_x").alias("c"), F.col("n_y").alias("m")), F.struct(F.col("c_y").alias("c"), F.col("n_x").alias("m")))))
+    return d.withColumn("c", F.xxhash64(*said)).join(both.groupBy("c").agg(F.sum("m").alias("partners")), "c").select("id", "partners")

@@ -297,7 +297,7 @@ def fold_brand_case(cat: Catalogue) -> DataFrame:
 
 
 def _all() -> tuple[dict[str, Query], dict[str, str]]:
-    from cobbler.plans import domain_queries  # noqa: F401  registers its own
+    from cobbler.plans import domain_queries, rebuild_queries  # noqa: F401  register their own
 
     return QUERIES, SQL
 

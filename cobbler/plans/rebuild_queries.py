@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cobbler.functions import money as M
 from cobbler.functions import size as Z
+from cobbler.functions import listing_text as L
 from cobbler.functions.text import search_text
 from cobbler.operators import matching, normalize, products, upsert
 from cobbler.plans.catalogue import Catalogue
 from cobbler.plans.catalogue_queries import BASE, fl, query
 from cobbler.plans.domain_queries import _B, _NAME, _PARSED, _candidates, _table
+from cobbler.sources import pages
 
 _SLUG = lambda x: f"trim(regexp_replace({fl(x)}, '[^a-z0-9]+', '-', 'g'), '-')"
 
@@ -132,6 +134,90 @@ def normalize_offers(cat: Catalogue) -> DataFrame:
     return normalize.normalized_offers(offers, normalize.normalized_sizes(_read_sizes(cat), offers))
 
 
+# --- pages: bodies are made from the listings, so that reading them back can be checked -----------
+
+_READ = "SELECT offer_id, title, brand, sku, (price_minor // 100)::varchar || '.' || lpad((price_minor % 100)::varchar, 2, '0') AS price_raw"
+
+
+def _amount(c: str) -> Column:
+    return F.concat(F.floor(F.col(c) / 100).cast("string"), F.lit("."), F.lpad((F.col(c) % 100).cast("string"), 2, "0"))
+
+
+@query(f"{_READ}, '42' AS size, in_stock AS stocked, NULL::varchar AS error FROM normalized_offer WHERE title <> '' AND title NOT LIKE '%<%'")
+def json_ld_pages(cat: Catalogue) -> DataFrame:
+    """Pages with JSON-LD and a list of size attributes, read back; sizes in teasers don't count."""
+    o = cat.raw("normalized_offer").where("title <> '' and title not like '%<%'")
+    data = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("title").alias("name"), "sku", F.struct(F.col("brand").alias("name")).alias("brand"), F.struct(_amount("price_minor").alias("price"), F.lit("BAM").alias("priceCurrency")).alias("offers")))
+    off = F.when(F.col("in_stock"), F.lit("")).otherwise(F.lit("disabled"))
+    body = F.concat(F.lit("<div class='product-item'><ul class='product-attributes'><li data-productsize-name='13'></li></ul></div><script type='application/ld+json'>"), data, F.lit("</script><ul class='product-attributes'><li data-productsize-name=' 42 ' class='"), off, F.lit("'></li></ul>"))
+    p = pages.product_pages(o.select("offer_id", "in_stock", body.alias("body"), F.lit("json_ld").alias("platform")), "body", "platform", "offer_id")
+    first = F.get("sizes", F.lit(0))
+    return p.select("offer_id", "title", "brand", "sku", "price_raw", first["raw"].alias("size"), first["in_stock"].alias("stocked"), "error")
+
+
+@query(f"{_READ}, CASE WHEN in_stock THEN '42' END AS size, CASE WHEN original_price_minor > price_minor THEN (original_price_minor // 100)::varchar || '.' || lpad((original_price_minor % 100)::varchar, 2, '0') END AS old_price_raw, CASE WHEN NOT in_stock THEN 'sold out' END AS error FROM (SELECT * REPLACE ('T' AS title, 'B' AS brand, NULL::varchar AS sku) FROM normalized_offer)")
+def script_pages(cat: Catalogue) -> DataFrame:
+    """Pages whose data stands in script configurations, read back."""
+    o = cat.raw("normalized_offer")
+    label = F.when(F.col("in_stock"), F.lit('{"label": "42"}')).otherwise(F.lit(""))
+    prices = F.concat(F.lit('"prices": {"finalPrice": {"amount": '), _amount("price_minor"), F.lit('}, "oldPrice": {"amount": '), F.coalesce(_amount("original_price_minor"), F.lit("null")), F.lit("}}"))
+    config = F.concat(F.lit('{"x": {"jsonConfig": {"attributes": [{"code": "size", "options": ['), label, F.lit("]}], "), prices, F.lit("}}}"))
+    body = F.concat(F.lit("<h1> T </h1><script>var productBrand=\"B\";</script><script type='text/x-magento-init'>"), config, F.lit("</script>"))
+    p = pages.product_pages(o.select("offer_id", body.alias("body"), F.lit("script").alias("platform")), "body", "platform", "offer_id")
+    return p.select("offer_id", "title", "brand", "sku", "price_raw", F.get("sizes", F.lit(0))["raw"].alias("size"), "old_price_raw", "error")
+
+
+# --- what the platforms' texts say ---------------------------------------------------------------
+
+
+def _steps(platform: str, texts: dict[str, str]) -> str:
+    hit = lambda where, patterns: " AND ".join(f"regexp_matches({texts[where]}, '{p}')" for p in patterns)
+    return "CASE " + " ".join(f"WHEN {hit(where, patterns)} THEN '{who}'" for where, who, patterns in L.STEPS[platform]) + " END"
+
+
+_TEXTS = {"title": "lower(title)", "prose": "lower(search_doc)", "attribute": "lower(gender)", "both": "(coalesce(lower(search_doc), '') || ' ' || lower(title))"}
+_HEAD = f"regexp_replace(lower(regexp_extract(title, '(?s)^(.*?)(?:{L.HEAD_ENDS}|$)', 1)), '[^\\p{{L}}]', '', 'g')"
+_CODED = " ".join(f"WHEN regexp_matches(title, '^{c}\\s') THEN '{who}'" for c, who in L.CODES.items())
+_HEADED = " ".join(f"WHEN regexp_matches({_HEAD}, '{p}') THEN '{who}'" for who, p in L.HEADS)
+
+
+@query(f"SELECT offer_id, {_steps('json_ld', _TEXTS)} AS json_ld, {_steps('script', _TEXTS)} AS script, {_steps('microdata', _TEXTS)} AS microdata, CASE {_CODED} {_HEADED} END AS json_api FROM normalized_offer WHERE title IS NOT NULL")
+def platform_audiences(cat: Catalogue) -> DataFrame:
+    """Who every listing is for, as each platform's reader would say."""
+    o = cat.raw("normalized_offer").where("title is not null")
+    return o.select("offer_id", *[L.platform_audience(p, "title", "search_doc", "gender").alias(p) for p in ("json_ld", "script", "microdata", "json_api")])
+
+
+@query()
+def named_models(cat: Catalogue) -> DataFrame:
+    """The model after the word for the goods in every title."""
+    return cat.coded.select("offer_id", L.named_model("title").alias("model"))
+
+
+_LAST = "regexp_extract(regexp_replace(url, '\\?.*$', ''), '([^/]*)$', 1)"
+
+
+@query(
+    f"""WITH u AS (SELECT offer_id, lower(url) || coalesce('-' || lower(sku), '') AS url FROM normalized_offer WHERE url IS NOT NULL), p AS (SELECT offer_id, regexp_extract({_LAST}, '-([a-z0-9]{{4,}})(?:-(\\d{{2,3}}))?$', 1) AS h, regexp_extract({_LAST}, '-([a-z0-9]{{4,}})(?:-(\\d{{2,3}}))?$', 2) AS t FROM u)
+    SELECT offer_id, CASE WHEN regexp_matches(h, '\\d') THEN upper(h || CASE WHEN t <> '' THEN '-' || t ELSE '' END) END AS code FROM p"""
+)
+def slug_codes(cat: Catalogue) -> DataFrame:
+    """The style codes that end the listings' addresses, the article number added to each."""
+    url = F.concat(F.lower("url"), F.coalesce(F.concat(F.lit("-"), F.lower("sku")), F.lit("")))
+    return cat.coded.where("url is not null").select("offer_id", L.slug_code(url).alias("code"))
+
+
+@query(
+    f"""SELECT offer_id, CASE WHEN trim(brand_logo_url) <> '' AND NOT brand_logo_url LIKE 'data:%' AND NOT regexp_matches(brand_logo_url, '(?i){L.NO_LOGO}') THEN
+      CASE WHEN regexp_matches(brand_logo_url, '^https?://') THEN brand_logo_url WHEN brand_logo_url LIKE '//%' THEN 'https:' || brand_logo_url WHEN brand_logo_url LIKE '/%' THEN base_url || brand_logo_url WHEN regexp_matches(brand_logo_url, '(?i)^[a-z][a-z0-9+.-]*:') THEN NULL ELSE base_url || '/' || brand_logo_url END END AS logo
+    FROM (SELECT offer_id, trim(brand_logo_url) AS brand_logo_url, base_url FROM normalized_offer JOIN shop USING (shop_id))"""
+)
+def logo_addresses(cat: Catalogue) -> DataFrame:
+    """The absolute address of every listing's logo."""
+    d = cat.raw("normalized_offer").join(cat.raw("shop").select("shop_id", "base_url"), "shop_id")
+    return d.select("offer_id", L.logo_address("brand_logo_url", "base_url").alias("logo"))
+
+
 # --- writes and work lists ---------------------------------------------------------------------
 
 

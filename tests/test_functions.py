@@ -123,3 +123,27 @@ def test_display(spark):
     p = spark.createDataFrame([("b", ["a", "b"], ["a", "b"]), ("a", ["a"], ["c", "a"]), (None, [], ["c"]), ("x", ["a"], [])], "s string, o array<string>, n array<string>")
     assert [r[0] for r in p.select(display.kept_picture("s", "o", "n")).collect()] == ["b", "c", "c", None]
     assert [one(spark, t, display.audience) for t in ("muske patike", "djecija obuca muska", "za zenske", "unisex", "x", None)] == ["men", "kids", "women", "unisex", None, None]
+
+
+def test_platform_texts(spark):
+    from cobbler.functions import listing_text as L
+
+    def one(column, *values):
+        d = spark.createDataFrame([tuple(values)], ", ".join(f"c{i} string" for i in range(len(values))))
+        return d.select(column(*[F.col(f"c{i}") for i in range(len(values))])).first()[0]
+
+    for platform, title, prose, attribute, who in [
+        ("json_ld", "Air Max GS", "Muške patike", None, "kids"), ("json_ld", "x", "za muškarce i žene", None, "unisex"), ("json_ld", "x", "ženske", None, "women"), ("json_ld", "Dunk W", None, None, "women"), ("json_ld", "x", None, None, None), ("json_ld", None, None, None, None),
+        ("script", "NIKE PATIKE MOTIF ZA DEČAKE", None, None, "kids"), ("script", "PUMA KARMEN JR", None, "Muškarci", "men"), ("script", "x za  žene", None, None, "women"), ("microdata", "x", "Dječije patike", None, "kids"), ("microdata", "x", " Muške patike", None, "men"),
+        ("json_api", "Z PATIKE LS UNO", None, None, "women"), ("json_api", "Muške patike GALAXY 8", None, None, "men"), ("json_api", "Dj ečije patike X", None, None, "kids"), ("json_api", "Unisex kopacke", None, None, "unisex"), ("json_api", "GALAXY 8", None, None, None),
+    ]:
+        assert one(lambda t, p, a: L.platform_audience(platform, t, p, a), title, prose, attribute) == who, (platform, title)
+    for name, model in [
+        ("Muške patike za trčanje GALAXY 8", "GALAXY 8"), ("Ženske patike performance running CLOUDSURFER TRAIL 2", "CLOUDSURFER TRAIL 2"), ("Muške patikeTURF PHANTOM 6", "PHANTOM 6"), ("Ženske patikeS UNO RUGGED", "UNO RUGGED"),
+        ("Z PATIKE LS RUN 70S 2.0 FTWWHT/CBLACK", "RUN 70S 2.0"), ("patike AIR MAX FIRE)", "AIR MAX FIRE"), ("patike VL COURT 00s", "VL COURT 00s"), ("patike samo opis", ""), (None, None),
+    ]:
+        assert one(L.named_model, name) == model, name
+    for url, code in [("https://x/a-398878-01", "398878-01"), ("https://x/nike-hq6953?c=1", "HQ6953"), ("https://x/karmen-ii-za-muskarce", None), ("", None), (None, None)]:
+        assert one(L.slug_code, url) == code, url
+    for src, logo in [("/l/a.svg", "https://s.example/l/a.svg"), ("//cdn/x.png", "https://cdn/x.png"), ("http://y/z.png", "http://y/z.png"), ("b.png", "https://s.example/p/b.png"), ("data:image/png;x", None), ("/no-image.png", None), ("ftp://a/b", None), (" ", None), (None, None)]:
+        assert one(L.logo_address, src, "https://s.example/p/q?r=1") == logo, src

@@ -44,7 +44,7 @@ _QUICK = {n: d for n in range(0xC0, 0x180) if (c := chr(n)).isalpha() and c not
 
 def plain(text: str) -> str:
     """Lower-case Latin letters, digits and single spaces."""
-    quick = text.translate(_QUICK)
+    quick = text if text.isascii() else text.translate(_QUICK)
     if quick.isascii() and quick.isprintable():
         return _APART.sub(" ", quick.lower()).strip()
     text = unbroken(text)

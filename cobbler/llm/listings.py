@@ -58,9 +58,9 @@ class Grammar(NamedTuple):
 
 def learned_grammar(df: DataFrame) -> Grammar:
     """Learned from all rows of ``df`` (model, sku); at most 1 / LINE_SHARE words and 1 / CODE_SHARE shapes reach the driver."""
-    known = [*COLOUR_OF, *AUDIENCE_OF, *ROMAN]
-    said = F.filter(F.split(words(F.regexp_replace("model", "(\\p{Ll})(\\p{Lu}\\p{Ll})", "$1 $2")), " "), lambda w: ~w.rlike(r"^v?\d{1,2}$") & ~w.isin(known) & (w != ""))
-    ends = df.select(said.alias("w")).where("size(w) > 1").select(F.get("w", F.lit(0)).alias("first"), F.element_at("w", -1).alias("last")).distinct()
+    known = "|".join([*COLOUR_OF, *AUDIENCE_OF, *ROMAN, r"v?\d{1,2}"])
+    said = F.regexp_replace(words(F.regexp_replace("model", "(\\p{Ll})(\\p{Lu}\\p{Ll})", "$1 $2")), f"(?: (?:{known}))+$", "")
+    ends = df.select(F.regexp_extract(said, "^(\\S+) ", 1).alias("first"), F.regexp_extract(said, " (\\S+)$", 1).alias("last")).where("last <> ''").distinct()
     counted = ends.groupBy("last").agg(F.count("*").alias("n"))
     sku = F.regexp_replace(F.upper("sku"), LABEL, "")
     groups = F.filter(F.split(sku, APART), lambda g: g != "")

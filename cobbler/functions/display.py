@@ -67,3 +67,28 @@ def audience(text: Column | str) -> Column:
     for name, marks in reversed(AUDIENCE_MARKS):
         out = F.when(_c(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(marks.split())})"), name).otherwise(out)
     return out
+
+
+# The forms of counted words after one, after two to four, and after the rest.
+SHOPS, COLOURS = ("prodavnica", "prodavnice", "prodavnica"), ("boja", "boje", "boja")
+
+
+def counted_word(n: Column | str, forms: tuple[str, str, str]) -> Column:
+    """The form of a word after a count: by its last digit, but numbers that end in 11 to 14 take the last form."""
+    digit, two = F.pmod(_c(n), F.lit(10)), F.pmod(_c(n), F.lit(100))
+    return F.when(two.between(11, 14), forms[2]).when(digit == 1, forms[0]).when(digit.between(2, 4), forms[1]).when(_c(n).isNotNull(), forms[2])
+
+
+def shown_range(page: int, per_page: int, total: Column | str) -> Column:
+    """Prikazano 49-96 od 1.207."""
+    last = F.least(F.lit(page * per_page), _c(total))
+    return F.concat(F.lit(f"Prikazano {(page - 1) * per_page + 1}-"), last.cast("string"), F.lit(" od "), F.translate(F.format_number(_c(total), 0), ",", "."), F.lit("."))
+
+
+def clicked_size(chosen: list[float], sizes: Column | str | None = None) -> Column:
+    """The size a click counts for: on a card the only chosen one, in a product's row the first chosen one that the shop has."""
+    want = F.array(*[F.lit(float(x)) for x in chosen]).cast("array<double>")
+    if sizes is None:
+        return F.when(F.lit(len(chosen) == 1), F.get(want, F.lit(0)))
+    have = F.transform(_c(sizes), lambda x: x.cast("double"))
+    return F.get(F.filter(want, lambda x: F.array_contains(have, x)), F.lit(0))

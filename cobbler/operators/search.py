@@ -7,6 +7,7 @@ unpartitioned window is needed.  Shops are a small fixed table that Catalyst bro
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -24,6 +25,12 @@ FUZZY = 0.4
 KIDS_BELOW = 36
 
 
+# Names of the parameters in an address, the orders and audiences they may name, and the sizes they may give.
+PARAMETERS = {"sizes": "velicina", "query": "q", "brands": "brend", "shops": "prodavnica", "genders": "pol", "on_sale": "akcija", "sort": "sort", "page": "strana"}
+SORTS = {"najnovije": "newest", "najjeftinije": "cheapest", "najskuplje": "dearest", "snizenje": "discount", "abecedno": "alphabetical"}
+AUDIENCES, SIZE_RANGE = ("men", "women", "unisex", "kids"), (15, 52)
+
+
 @dataclass(frozen=True)
 class Search:
     sizes: tuple[float, ...] = ()
@@ -40,6 +47,18 @@ class Search:
     page: int = 1
     limit: int = PAGE
 
+    @classmethod
+    def from_parameters(cls, given: dict[str, str]) -> Search:
+        """A search by the parameters of an address; what is no value of a parameter is left out."""
+        said = {k: (given.get(name) or "").strip() for k, name in PARAMETERS.items()}
+        listed = lambda k: tuple(dict.fromkeys(x.strip() for x in said[k].split(",") if x.strip()))
+        sizes = {float(x) for x in listed("sizes") if re.fullmatch(r"\d{1,2}(\.\d{1,2})?", x)}
+        page = int(said["page"]) if re.fullmatch(r"\d{1,9}", said["page"]) else 1
+        return cls(
+            sizes=tuple(sorted(x for x in sizes if SIZE_RANGE[0] <= x <= SIZE_RANGE[1])), query=said["query"], brands=listed("brands"), shops=listed("shops"),
+            genders=tuple(g for g in listed("genders") if g in AUDIENCES), on_sale=said["on_sale"] == "1", sort=SORTS.get(said["sort"]), page=max(1, page),
+        )
+
     @property
     def wants_kids(self) -> bool:
         return self.kids or "kids" in self.genders or any(s < KIDS_BELOW for s in self.sizes)

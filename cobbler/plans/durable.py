@@ -7,6 +7,7 @@ none (tests, a laptop) a temporary folder is set once per context.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -45,6 +46,8 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cobbler/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_leave, spark)
     _WRITTEN.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -70,6 +73,14 @@ def drop_all(spark: SparkSession) -> None:
         _delete(spark, _WRITTEN.pop())
 
 
+def _leave(spark: SparkSession) -> None:
+    """At the end of the process: its tables go, unless the session went before."""
+    try:
+        drop_all(spark)
+    except Exception:  # noqa: BLE001  the gateway may be gone; the folder's owner cleans up then
+        _WRITTEN.clear()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a round of an iteration."""
     return written(df, "round")

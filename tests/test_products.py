@@ -96,3 +96,39 @@ def test_review_against_all_pairs(spark):
             if fits and 0.6 <= s < 0.82:
                 want[x[0]] = want.get(x[0], 0) + 1
     assert dict(rows(uncertain_partners(d))) == want and want
+
+
+def test_pictures_and_logos(spark):
+    import numpy as np
+
+    from cobbler.operators import pictures
+
+    img = np.full((20, 30, 3), 200, dtype=np.uint8)
+    img[5:9, 10:20] = 10
+    assert pictures.trimmed(img).shape == (4, 10, 3) and (pictures.trimmed(img) == 10).all()
+    assert (pictures.trimmed(np.full((3, 3, 3), 7, dtype=np.uint8)) == 7).all()
+    out = pictures.fitted(img)
+    dark = np.argwhere((out == 10).all(axis=2))
+    assert out.shape == (640, 640, 3) and (out[0] == 255).all() and np.ptp(dark[:, 1]) + 1 == 563 and abs(dark[:, 0].mean() - 319.5) < 1
+    white, busy = np.full((4, 4, 3), 255, dtype=np.uint8), np.zeros((4, 4, 3), dtype=np.uint8)
+    assert pictures.best_pack_shot([busy, white]) == 1 and pictures.best_pack_shot([busy]) == 0 and pictures.best_pack_shot([]) is None
+    logos = spark.createDataFrame([([("a", 100), ("b", 109), ("c", 111), ("d", 120)],), ([],), (None,)], "l array<struct<url: string, area: int>>")
+    assert [r[0] and r[0].url for r in logos.select(pictures.chosen_logo("l")).collect()] == ["c", None, None]
+
+
+def test_addresses_and_shown_counts(spark):
+    from pyspark.sql import functions as F
+
+    from cobbler.functions import display
+    from cobbler.operators.search import Search
+
+    p = Search.from_parameters({"velicina": "44, 42.5,44,x,99,", "strana": "3", "sort": "snizenje", "pol": "men,robots", "akcija": "1", "prodavnica": "a,,b", "q": " samba "})
+    assert p == Search(sizes=(42.5, 44.0), query="samba", shops=("a", "b"), genders=("men",), on_sale=True, sort="discount", page=3)
+    assert Search.from_parameters({"strana": "0", "sort": "zz", "velicina": ""}) == Search() and Search.from_parameters({"strana": "1.5"}).page == 1
+    d = spark.createDataFrame([(1,), (2,), (5,), (11,), (12,), (21,), (112,), (None,)], "n int")
+    assert [r[0] for r in d.select(display.counted_word("n", display.COLOURS)).collect()] == ["boja", "boje", "boja", "boja", "boja", "boja", "boja", None]
+    one = d.limit(1)
+    assert one.select(display.shown_range(2, 48, F.lit(1207))).first()[0] == "Prikazano 49-96 od 1.207."
+    assert one.select(display.shown_range(2, 48, F.lit(60))).first()[0] == "Prikazano 49-60 od 60."
+    sizes = F.array(F.lit(41), F.lit(44))
+    assert [one.select(x).first()[0] for x in (display.clicked_size([44]), display.clicked_size([44, 45]), display.clicked_size([43, 44], sizes), display.clicked_size([40], sizes), display.clicked_size([]))] == [44.0, None, 44.0, None, None]

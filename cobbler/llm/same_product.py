@@ -78,8 +78,16 @@ def _most(c: str) -> Column:
     return F.coalesce(F.max_by(F.col(c), F.struct(F.col(c) != empty, F.col("n"), F.col(c))), F.lit(empty))
 
 
+#: The sign bit of a long: hubs (profiles and codes) have negative numbers and nodes others, so that the least label of a group is a hub's.
+HUB = -(1 << 63)
+
+
+def _hub(*what: Column | str) -> Column:
+    return F.xxhash64(*what).bitwiseOR(F.lit(HUB))
+
+
 def _profile() -> Column:
-    return F.xxhash64(F.lit("profile"), *PROFILE)
+    return _hub(F.lit("profile"), *PROFILE)
 
 
 def _whole(at: str = "") -> Column:
@@ -177,7 +185,7 @@ def _reinforced(pairs: DataFrame) -> DataFrame:
 
 def _links(scored: DataFrame, nodes: DataFrame, centres: DataFrame) -> DataFrame:
     """(a, b): links of nodes, and of nodes with the profiles that stand between them."""
-    sure = scored.where(F.col("kind") != "profile").where(F.col("score") >= THRESHOLD).select("a", "b")
+    sure = scored.where(F.col("kind") != "profile").where(F.col("score") >= THRESHOLD).select("a", "b", "hub")
     # a profile that leaves something out needs partners that are one product
     may = scored.where((F.col("kind") == "profile") & (F.col("score") >= PLAUSIBLE)).select("a", "b", "score", "la", "lb", "pa", "pb")
     loose = may.where("la").select(F.col("a").alias("me"), F.col("pb").alias("them")).unionByName(may.where("lb").select(F.col("b").alias("me"), F.col("pa").alias("them")))
@@ -190,8 +198,11 @@ def _links(scored: DataFrame, nodes: DataFrame, centres: DataFrame) -> DataFrame
     # whole profiles that listings with and without a code share need no pair
     shared = centres.where(_whole()).select("profile").join(mine, "profile", "left_semi")
     linked = may.select(F.explode(F.array("a", "b")).alias("profile")).unionByName(shared).distinct()
-    stand = mine.unionByName(centres.select("node", "profile")).join(linked, "profile").select(F.col("node").alias("a"), F.col("profile").alias("b"))
-    return sure.unionByName(may).unionByName(stand)
+    code = _hub(F.lit("sku"), "sku")
+    stand = mine.unionByName(centres.select(code.alias("node"), "profile")).join(linked, "profile").select(F.col("node").alias("a"), F.col("profile").alias("b"))
+    # what shares a code meets at the code, which every group's walk finds first
+    at_code = sure.select(F.explode(F.array("a", "b")).alias("a"), F.col("hub").alias("b")).unionByName(centres.select(F.col("node").alias("a"), code.alias("b")))
+    return at_code.where("a <> b").unionByName(may).unionByName(stand)
 
 
 def same_product(offers: DataFrame, codes: DataFrame, brands: DataFrame) -> DataFrame:
@@ -207,8 +218,8 @@ def same_product(offers: DataFrame, codes: DataFrame, brands: DataFrame) -> Data
     held = codes.where("id is not null").select("id", barcodes("gtins").alias("g")).where("size(g) > 0").groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("g")))).alias("gtins"))
     listings = written(parsed(offers, names, learned_grammar(offers)).join(held, "id", "left"), "listings")
     apart = F.when((F.col("sku") != "") | _whole(), "").when(F.size("gtins") > 0, F.get("gtins", F.lit(0)).cast("string")).when(F.col("word") == "", F.concat(F.lit("id "), F.col("id").cast("string"))).otherwise("")
-    # the node of a listing is the 64-bit hash of what it says: no join is needed to find it
-    keyed = written(_mended(listings).withColumn("apart", apart).withColumn("node", F.xxhash64(*said, "apart")), "nodes")
+    # the node of a listing is the 63-bit hash of what it says: no join is needed to find it
+    keyed = written(_mended(listings).withColumn("apart", apart).withColumn("node", F.xxhash64(*said, "apart").bitwiseAND(F.lit(~HUB))), "nodes")
     drop_written(listings)
     nodes = keyed.groupBy("node", *said).agg(F.count("*").alias("n"))  # the node stands for all that is said
     coded = nodes.where("sku <> ''").withColumn("k", F.count("*").over(Window.partitionBy("sku")))
@@ -216,7 +227,7 @@ def same_product(offers: DataFrame, codes: DataFrame, brands: DataFrame) -> Data
     gtins = keyed.where("size(gtins) > 0").select("node", "sku", F.explode("gtins").alias("gtin"))
     centres = written(_centres(nodes), "centres")
     product = lambda s: F.xxhash64(*[f"{s}.{c}" for c in ("line", "version", "colours", "audience")])
-    pairs = _candidates(nodes, gtins, centres).select("a", "b", "kind", F.xxhash64("a", "b", "kind").alias("p"), _terms().alias("terms"), (~_whole("x.")).alias("la"), (~_whole("y.")).alias("lb"), product("x").alias("pa"), product("y").alias("pb"))
+    pairs = _candidates(nodes, gtins, centres).select("a", "b", "kind", F.xxhash64("a", "b", "kind").alias("p"), _terms().alias("terms"), (~_whole("x.")).alias("la"), (~_whole("y.")).alias("lb"), F.when(F.col("y.sku") != "", _hub(F.lit("sku"), "y.sku")).otherwise(F.col("b")).alias("hub"), product("x").alias("pa"), product("y").alias("pb"))
     pairs = written(pairs, "pairs")
     scored = _reinforced(pairs)
     links = written(_links(scored, nodes, centres), "links")

@@ -7,8 +7,8 @@ with character offsets and a confidence; a text's language is the one with most
 whole sentences.
 
 The scores are trained here: on at most ``FIT_DOCS`` labelled documents of at most ``FIT_CHARS``
-characters, those of the least hashes of their ids (documented bounds, one scan), from counts of words
-and character n-grams per language.  Labels may be wrong and texts mixed, so counting is repeated after
+characters, drawn by the hashes of their ids (documented bounds), from counts of words and character
+n-grams per language.  Labels may be wrong and texts mixed, so counting is repeated after
 relabelling sentences with the model at hand.  Evidence of neighbouring words is not independent: what a
 stretch's summed evidence is divided by before it becomes a confidence is fitted too, on how often the
 first words of a sentence agree with the whole of it.  The model has a fixed size (``BUCKETS`` x
@@ -258,9 +258,12 @@ def _counted(sentences: list[tuple[int, set[str], int | None]]) -> Scores:
 def fit_scores(docs: DataFrame, id_col: str, text: str, label: str, fit_docs: int = FIT_DOCS) -> Scores:
     """Scores from at most ``fit_docs`` documents whose label names a language."""
     named = F.lower(F.regexp_extract(F.trim(F.col(label)), r"^([\p{L}]+)", 1)).isin(list(NAMED))
-    usable = docs.where(named & F.length(text).between(1, FIT_CHARS))
-    # a heap of fit_docs rows in each task, one scan
-    rows = usable.select(text, label, F.xxhash64(id_col).alias("_h"), F.col(id_col).alias("_id")).orderBy("_h", "_id").limit(fit_docs).collect()
+    # the count reads labels only; by their hashes about as many rows as are wanted reach the driver
+    n = docs.where(named).count()
+    step = 1_000_000_000
+    drawn = F.pmod(F.xxhash64(id_col), F.lit(step))
+    usable = docs.where(named & (drawn < (step if n <= fit_docs else step * fit_docs // n)) & F.length(text).between(1, FIT_CHARS))
+    rows = sorted(usable.select(text, label, drawn.alias("_h")).collect(), key=lambda r: (r[2], r[0]))[:fit_docs]
     sentences: list[tuple[int, set[str], int | None]] = []
     for doc, (t, lab, *_) in enumerate(rows):
         lang = named_language(lab)
@@ -355,25 +358,27 @@ def languages_of(texts: list[str], block: _Block) -> Iterator[dict[str, tuple[in
     """``sentence_languages`` of each text, most of them without a search."""
     at = 0
     while at < len(texts):
-        numbers: list[int] = []
+        words: list[str] = []
         starts, sentences, begins, which = [], [], [], []
         first = at
-        while at < len(texts) and len(numbers) < BLOCK_WORDS:
+        while at < len(texts) and len(words) < BLOCK_WORDS:
             t = texts[at]
-            starts.append(len(numbers))
+            starts.append(len(words))
             for a, b in _sentences(t):
                 s = t[a:b]
                 ws = _WORD.findall(s)
                 if len(ws) >= SENTENCE_WORDS:
-                    begins.append(len(numbers))
+                    begins.append(len(words))
                     begin = s.find(ws[0])
-                    sentences.append((len(numbers) + len(ws), b - a - begin, sum(map(len, ws)) >= PROSE * len("".join(s[begin:].split()))))
+                    chars, letters = b - a - begin, sum(map(len, ws))
+                    # blanks don't count, but most sentences are prose with them
+                    sentences.append((len(words) + len(ws), chars, letters >= PROSE * chars or letters >= PROSE * len("".join(s[begin:].split()))))
                     which.append(at - first)
-                numbers += block.numbers(ws)
+                words += ws
             at += 1
         found: list[dict[str, tuple[int, float]]] = [{} for _ in range(at - first)]
-        if numbers:
-            e = block.evidence(numbers)
+        if words:
+            e = block.evidence(block.numbers(words))
             some = np.flatnonzero(np.diff(np.append(starts, len(e))))  # texts with words
             alone = np.full(at - first, -2)
             alone[some] = _one_language(e, np.asarray(starts)[some])

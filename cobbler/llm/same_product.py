@@ -198,11 +198,10 @@ def _links(scored: DataFrame, nodes: DataFrame, centres: DataFrame) -> DataFrame
     # whole profiles that listings with and without a code share need no pair
     shared = centres.where(_whole()).select("profile").join(mine, "profile", "left_semi")
     linked = may.select(F.explode(F.array("a", "b")).alias("profile")).unionByName(shared).distinct()
-    code = _hub(F.lit("sku"), "sku")
-    stand = mine.unionByName(centres.select(code.alias("node"), "profile")).join(linked, "profile").select(F.col("node").alias("a"), F.col("profile").alias("b"))
-    # what shares a code meets at the code, which every group's walk finds first
-    at_code = sure.select(F.explode(F.array("a", "b")).alias("a"), F.col("hub").alias("b")).unionByName(centres.select(F.col("node").alias("a"), code.alias("b")))
-    return at_code.where("a <> b").unionByName(may).unionByName(stand)
+    stand = mine.unionByName(centres.select("node", "profile")).join(linked, "profile").select(F.col("node").alias("a"), F.col("profile").alias("b"))
+    # what shares a code meets at the code's hub, which every walk through a group finds first
+    at_code = sure.select(F.explode(F.array("a", "b")).alias("a"), F.col("hub").alias("b")).where("a <> b")
+    return at_code.unionByName(may).unionByName(stand)
 
 
 def same_product(offers: DataFrame, codes: DataFrame, brands: DataFrame) -> DataFrame:

@@ -60,12 +60,13 @@ def learned_grammar(df: DataFrame) -> Grammar:
     """Learned from all rows of ``df`` (model, sku); at most 1 / LINE_SHARE words and 1 / CODE_SHARE shapes reach the driver."""
     known = "|".join([*COLOUR_OF, *AUDIENCE_OF, *ROMAN, r"v?\d{1,2}"])
     said = F.regexp_replace(words(F.regexp_replace("model", "(\\p{Ll})(\\p{Lu}\\p{Ll})", "$1 $2")), f"(?: (?:{known}))+$", "")
-    ends = df.select(F.regexp_extract(said, "^(\\S+) ", 1).alias("first"), F.regexp_extract(said, " (\\S+)$", 1).alias("last")).where("last <> ''").distinct()
+    once = lambda x: F.explode(F.array(x))  # noqa: E731  conditions on x are not moved before it, where x would be computed again
+    ends = df.select(once(said).alias("said")).where(F.contains("said", F.lit(" "))).select(F.substring_index("said", " ", 1).alias("first"), F.substring_index("said", " ", -1).alias("last")).distinct()
     counted = ends.groupBy("last").agg(F.count("*").alias("n"))
     sku = F.regexp_replace(F.upper("sku"), LABEL, "")
     groups = F.filter(F.split(sku, APART), lambda g: g != "")
     shape = lambda x: F.regexp_replace(F.regexp_replace(x, r"\d", "9"), "[A-Z]", "A")
-    cut = df.select(groups.alias("g")).where("size(g) > 1").select(shape(F.array_join(F.slice("g", F.lit(1), F.size("g") - 1), "")).alias("first"), shape(F.element_at("g", -1)).alias("last"))
+    cut = df.select(once(groups).alias("g")).where("size(g) > 1").select(once(F.struct(shape(F.array_join(F.slice("g", F.lit(1), F.size("g") - 1), "")).alias("first"), shape(F.element_at("g", -1)).alias("last"))).alias("s")).select("s.*")
     cut = cut.where(F.col("first").rlike("^A+9[A9]*$") & F.col("last").rlike("^9{2,4}$")).groupBy("first", "last").agg(F.count("*").alias("n"))
     lines = [r["last"] for r in _frequent(counted, LINE_SHARE) if r["n"] >= LINE_WORDS]
     return Grammar(tuple(sorted(lines)), tuple(sorted((r["first"], r["last"]) for r in _frequent(cut, CODE_SHARE))))

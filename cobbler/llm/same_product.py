@@ -138,49 +138,52 @@ def _terms() -> Column:
 
 
 def _reinforced(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (p, terms and what else is carried) with their score once weights and scores agree; to begin with, a pair matches if it differs in nothing.
+    """``pairs`` (terms and what else is carried) with their score once weights and scores agree; to begin with, a pair matches if it differs in nothing.
 
+    Pairs of equal terms have equal scores, so the rounds run over the distinct lists of terms, each with the number of its pairs.
     Terms that many pairs hold (colours, audiences, differences) are few; their sums come to the driver and
-    their weights go out as constants.  The others, such as model words and codes, meet their pairs in joins.
+    their weights go out as constants.  The others, such as model words and codes, are summed in windows: none is held by more than
+    ``COMMON`` of all pairs.  A round's numbers go out in arrays, so that all rounds are the same compiled code.
     """
     spark = pairs.sparkSession
-    kind = lambda t: t.bitwiseAND(F.lit(63))
+    kind = lambda t: t.bitwiseAND(F.lit(63)).cast("int")
+    numbers = lambda xs: F.split(F.lit(" ".join(map(repr, xs))), " ").cast("array<double>")
     differs = F.exists("terms", lambda t: (kind(t) > 0) & (F.pmod(kind(t), F.lit(2)) == 0))
-    said = pairs.select("p", F.explode("terms").alias("t"))
     # a pair has ten terms at most, one of which all pairs hold, so at most 10 / COMMON of them are common
-    rows = said.groupBy("t").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(math.ceil(10 / COMMON)).collect()
+    rows = pairs.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(math.ceil(10 / COMMON)).collect()
     if not rows:
         return pairs.drop("terms").withColumn("score", F.lit(0.0))
     held = [(r["t"], r["n"]) for r in rows if r["n"] >= COMMON * rows[0]["n"]]
-    index = F.broadcast(spark.createDataFrame([(t, i) for i, (t, _) in enumerate(held)], "t long, i int"))
-    split = said.join(index, "t", "left").groupBy("p").agg(F.collect_list("i").alias("common"), F.collect_list(F.when(F.col("i").isNull(), F.col("t"))).alias("rare"))
-    start = pairs.withColumn("score", F.when(differs, 0.0).otherwise(1.0)).drop("terms")
-    carried = start.columns[:-1]
-    scores = cut(split.join(start, "p"))
+    index = F.broadcast(spark.createDataFrame([(t, i) for i, (t, _) in enumerate(held)], "t long, i short"))
+    alike = F.xxhash64("terms").alias("alike")
+    lists = pairs.select(alike, "terms").groupBy("alike").agg(F.first("terms").alias("terms"), F.count("*").alias("m"))
+    said = lists.select("alike", "m", F.when(differs, 0.0).otherwise(1.0).alias("score"), F.explode("terms").alias("t")).join(index, "t", "left")
+    scores = cut(said.groupBy("alike").agg(F.first("m").alias("m"), F.first("score").alias("score"), F.collect_list("i").alias("common"), F.collect_list(F.when(F.col("i").isNull(), F.col("t"))).alias("rare")))
     odds = lambda x: math.log(min(max(x, LEAST), 1 - LEAST) / (1 - min(max(x, LEAST), 1 - LEAST)))
+    of_term = Window.partitionBy("t")
     while True:
-        sums = dict(scores.select(F.explode("common").alias("i"), "score").groupBy("i").agg(F.sum("score")).collect())  # a row a common term
-        rare = cut(scores.select(F.explode("rare").alias("t"), "score").groupBy("t").agg(F.sum("score").alias("s"), F.count("*").alias("n")))
-        of_kind = {r["k"]: [r["s"], r["n"]] for r in rare.groupBy(kind(F.col("t")).alias("k")).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}  # a row a kind
+        # a row a common term, and one for all others of a kind: -1 less the kind
+        held_by = scores.select(F.explode(F.concat(F.col("common").cast("array<int>"), F.transform("rare", lambda t: -1 - kind(t)))).alias("i"), "m", (F.col("m") * F.col("score")).alias("s"))
+        sums = {r["i"]: (r["s"], r["n"]) for r in held_by.groupBy("i").agg(F.sum("s").alias("s"), F.sum("m").alias("n")).collect()}
+        of_kind = {-1 - i: list(x) for i, x in sums.items() if i < 0}
         for i, (t, n) in enumerate(held):
             s, m = of_kind.get(t & 63, (0.0, 0))
-            of_kind[t & 63] = [s + sums.get(i, 0.0), m + n]
+            of_kind[t & 63] = [s + sums[i][0], m + n]
         base = of_kind[0][0] / of_kind[0][1]
         # until many pairs say otherwise, what is shared speaks for a match and what differs against it
         share = {k: (s + SMOOTHING * (k % 2)) / (n + SMOOTHING) for k, (s, n) in of_kind.items()}
-        weights = [odds(base) if t == 0 else odds((sums.get(i, 0.0) + SMOOTHING * share[t & 63]) / (n + SMOOTHING)) - odds(base) for i, (t, n) in enumerate(held)]
-        constants = F.split(F.lit(" ".join(map(repr, weights))), " ").cast("array<double>")
-        kinds = F.array(*[F.lit(float(share.get(k, base))) for k in range(len(KINDS))])
-        chance = F.greatest(F.least((F.col("s") + SMOOTHING * F.get(kinds, kind(F.col("t")).cast("int"))) / (F.col("n") + SMOOTHING), F.lit(1 - LEAST)), F.lit(LEAST))
-        weighed = rare.select("t", (F.log(chance / (1 - chance)) - odds(base)).alias("w"))
-        told = scores.select("p", F.explode("rare").alias("t")).join(weighed, "t").groupBy("p").agg(F.sum("w").alias("w"))
+        constants = numbers([odds(base) if t == 0 else odds((sums[i][0] + SMOOTHING * share[t & 63]) / (n + SMOOTHING)) - odds(base) for i, (t, n) in enumerate(held)])
+        added, less = numbers([SMOOTHING * share.get(k, base) for k in range(64)]), numbers([odds(base)] * 64)
+        rare = scores.select("alike", F.explode("rare").alias("t"), "m", (F.col("m") * F.col("score")).alias("s")).select("alike", "t", F.sum("s").over(of_term).alias("s"), F.sum("m").over(of_term).alias("n"))
+        chance = F.greatest(F.least((F.col("s") + F.get(added, kind(F.col("t")))) / (F.col("n") + SMOOTHING), F.lit(1 - LEAST)), F.lit(LEAST))
+        told = rare.select("alike", (F.log(chance / (1 - chance)) - F.get(less, kind(F.col("t")))).alias("w")).groupBy("alike").agg(F.sum("w").alias("w"))
         known = F.aggregate("common", F.lit(0.0), lambda a, i: a + F.get(constants, i))
-        fresh = scores.join(told, "p", "left").select(*carried, "common", "rare", (1 / (1 + F.exp(-known - F.coalesce("w", F.lit(0.0))))).alias("score"), F.col("score").alias("old"))
+        fresh = scores.join(told, "alike", "left").select("alike", "m", (1 / (1 + F.exp(-known - F.coalesce("w", F.lit(0.0))))).alias("score"), "common", "rare", F.col("score").alias("old"))
         fresh, moved = cut_counted(fresh, f"abs(score - old) > {STILL}")
-        drop_written(rare, scores)
+        drop_written(scores)
         scores = fresh
         if not moved:
-            return scores
+            return pairs.withColumn("alike", alike).drop("terms").join(scores.select("alike", "score"), "alike").drop("alike")
 
 
 def _links(scored: DataFrame, nodes: DataFrame, centres: DataFrame) -> DataFrame:
@@ -226,11 +229,12 @@ def same_product(offers: DataFrame, codes: DataFrame, brands: DataFrame) -> Data
     gtins = keyed.where("size(gtins) > 0").select("node", "sku", F.explode("gtins").alias("gtin"))
     centres = written(_centres(nodes), "centres")
     product = lambda s: F.xxhash64(*[f"{s}.{c}" for c in ("line", "version", "colours", "audience")])
-    pairs = _candidates(nodes, gtins, centres).select("a", "b", "kind", F.xxhash64("a", "b", "kind").alias("p"), _terms().alias("terms"), (~_whole("x.")).alias("la"), (~_whole("y.")).alias("lb"), F.when(F.col("y.sku") != "", _hub(F.lit("sku"), "y.sku")).otherwise(F.col("b")).alias("hub"), product("x").alias("pa"), product("y").alias("pb"))
+    pairs = _candidates(nodes, gtins, centres).select("a", "b", "kind", _terms().alias("terms"), (~_whole("x.")).alias("la"), (~_whole("y.")).alias("lb"), F.when(F.col("y.sku") != "", _hub(F.lit("sku"), "y.sku")).otherwise(F.col("b")).alias("hub"), product("x").alias("pa"), product("y").alias("pb"))
     pairs = written(pairs, "pairs")
-    scored = _reinforced(pairs)
-    links = written(_links(scored, nodes, centres), "links")
+    scored = written(_reinforced(pairs), "scored")
     drop_written(pairs)
+    links = written(_links(scored, nodes, centres), "links")
+    drop_written(scored)
     groups = group_pairs(links, "a", "b").withColumnRenamed("id", "node")
     loose = (F.col("sku") == "") & ~_whole()
     out = keyed.groupBy("id").agg(F.min("node").alias("node")).join(nodes.select("node", loose.alias("loose")).join(groups, "node", "left"), "node")

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 from datetime import UTC, datetime
 from pathlib import Path
@@ -366,6 +367,43 @@ def test_weights_are_learned(spark):
     assert same_product._reinforced(spark.createDataFrame([], "p long, terms array<long>")).count() == 0
 
 
+def brute_scores(pairs):
+    """Scores by the definition, pair by pair; ``pairs``: lists of terms, the last of which is 0."""
+    odds = lambda x: math.log(min(max(x, same_product.LEAST), 1 - same_product.LEAST) / (1 - min(max(x, same_product.LEAST), 1 - same_product.LEAST)))
+    score = [0.0 if any((t & 63) and (t & 63) % 2 == 0 for t in ts) else 1.0 for ts in pairs]
+    while True:
+        of_term, of_kind = {}, {}
+        for ts, x in zip(pairs, score, strict=True):
+            for t in ts:
+                of_term.setdefault(t, []).append(x)
+                of_kind.setdefault(t & 63, []).append(x)
+        base = sum(score) / len(score)
+        share = {k: (sum(xs) + same_product.SMOOTHING * (k % 2)) / (len(xs) + same_product.SMOOTHING) for k, xs in of_kind.items()}
+        weight = {t: odds(base) if t == 0 else odds((sum(xs) + same_product.SMOOTHING * share[t & 63]) / (len(xs) + same_product.SMOOTHING)) - odds(base) for t, xs in of_term.items()}
+        old, score = score, [1 / (1 + math.exp(-sum(weight[t] for t in ts))) for ts in pairs]
+        if all(abs(x - y) <= same_product.STILL for x, y in zip(score, old, strict=True)):
+            return score
+
+
+def test_pairs_of_equal_terms_are_scored_once(spark, monkeypatch):
+    """The rounds hold one row for each list of terms, and every pair comes out with the score of its definition."""
+    number = {k: i for i, k in enumerate(same_product.KINDS)}
+    t = lambda kind, n: (n << 6) | number[kind]
+    rng, terms = random.Random(3), []
+    for n in range(1, 60):
+        for _ in range(rng.randint(1, 60)):
+            terms.append([t("sku=", n), t("word=", n // 3), t("colours=", n % 5), 0] if n % 3 else [t("sku=", n), t("word~", 1), t("colours~", 1), 0])
+        terms.append([t("word=", n // 3), t("colours#", 1) if n % 2 else t("colours=", n % 5), 0])
+    monkeypatch.setattr(same_product, "COMMON", 0.05)  # most words and codes are not common
+    held = []
+    for name in ("cut", "cut_counted"):
+        monkeypatch.setattr(same_product, name, lambda df, *a, f=getattr(same_product, name): (held.append(df.count()), f(df, *a))[1])
+    got = dict(rows(same_product._reinforced(spark.createDataFrame(list(enumerate(terms)), "p long, terms array<long>")).select("p", "score")))
+    want = brute_scores(terms)
+    assert len(got) == len(terms) and all(abs(got[p] - x) < 1e-9 for p, x in enumerate(want))
+    assert len(held) > 2 and set(held) == {len({tuple(x) for x in terms})}
+
+
 def test_barcodes(spark):
     d = spark.createDataFrame([(["4006381333931", " 4 006381 333931", "4006381333932", "0000000000000", "", None, "abc", "04006381333931"],), (None,), ([],)], "g array<string>")
     assert [r[0] for r in d.select(listings.barcodes("g")).collect()] == [[4006381333931], [], []]
